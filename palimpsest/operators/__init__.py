@@ -1,0 +1 @@
+"""operators of the versioned key/value engine."""

@@ -1,0 +1 @@
+"""plans of the versioned key/value engine."""

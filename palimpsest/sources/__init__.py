@@ -1,0 +1 @@
+"""sources of the versioned key/value engine."""

@@ -1,0 +1 @@
+"""streaming of the versioned key/value engine."""
