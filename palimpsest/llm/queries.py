@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import mixture, spans, tokens
+from palimpsest.llm import mixture, residue, spans, tokens
 from palimpsest.session import table
 
 
@@ -53,5 +53,15 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_shared, p4_removals, p6_ids, p6_round_trip, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by kind of residue."""
+    found = residue.residue(table(spark, sf_dir, "documents")).select(F.explode("kinds").alias("kind"))
+    return found.groupBy("kind").agg(F.count("*").alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_shared, p4_removals, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_kinds)}
 ORACLE: dict[str, str] = {}
