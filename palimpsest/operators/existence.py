@@ -64,10 +64,11 @@ def contains(probes: DataFrame, f: Filter, salt: int, key: str = "key", out: str
         for batch in f.words.toArrow().to_batches(1 << 16):
             table[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
         shared = probes.sparkSession.sparkContext.broadcast(table)
+        mixed, m = f.keys, f.m
 
         @F.arrow_udf("boolean")
         def probe(values: pa.Array) -> pa.Array:
-            bits = bit_positions(murmur3_array(values, salt), f.keys, f.m)
+            bits = bit_positions(murmur3_array(values, salt), mixed, m)
             hit = ((shared.value[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1)).all(1)
             return pa.array(hit & ~np.asarray(values.is_null()))
 
@@ -109,6 +110,7 @@ def find_salt(spark: SparkSession, keys: list[bytes], f: Filter, batch: int = 1
     if -(-f.m // 64) > BROADCAST_WORDS:
         raise ValueError("the filter is too large to search")
     shared = spark.sparkContext.broadcast(_words(f))
+    mixed, m = f.keys, f.m
     sample = list(keys[:SEARCH_KEYS])
 
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +120,7 @@ def find_salt(spark: SparkSession, keys: list[bytes], f: Filter, batch: int = 1
             good = []
             for salt in b.column(0).to_pylist():
                 for a in arrays:
-                    bits = bit_positions(murmur3_array(a, salt), f.keys, f.m)[0]
+                    bits = bit_positions(murmur3_array(a, salt), mixed, m)[0]
                     if not all(int(words[i >> 6]) >> int(i & 63) & 1 for i in bits):
                         break
                 else:

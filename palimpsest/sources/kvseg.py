@@ -333,13 +333,6 @@ class _Reader(DataSourceReader):
         self.words = options.get("words", "false").lower() == "true"
         self.key: bytes | None = None
 
-    def pushFilters(self, filters):  # noqa: N802
-        for f in filters:
-            if not self.words and isinstance(f, EqualTo) and f.attribute == ("key",) and self.key is None:
-                self.key = bytes(f.value)
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         return [_File(p) for p in _kv_files(self.path)]
 
@@ -357,6 +350,17 @@ class _Reader(DataSourceReader):
                 return
 
 
+class _PushingReader(_Reader):
+    """A reader that takes a key equality upon itself; Spark does not apply it again."""
+
+    def pushFilters(self, filters):  # noqa: N802
+        for f in filters:
+            if not self.words and isinstance(f, EqualTo) and f.attribute == ("key",) and self.key is None:
+                self.key = bytes(f.value)
+            else:
+                yield f
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     base: str | None
@@ -397,7 +401,8 @@ class _Writer(DataSourceWriter):
 
 
 class KvSegSource(DataSource):
-    """Options: path (a file or folder), hasMetadata, words (a row a word instead of a pair); writing: compress, salt, layout."""
+    """Options: path (a file or folder), hasMetadata, words (a row a word instead of a pair), pushdown
+    (with ``spark.sql.python.filterPushdown.enabled``); writing: compress, salt, layout."""
 
     @classmethod
     def name(cls) -> str:
@@ -407,7 +412,7 @@ class KvSegSource(DataSource):
         return "pos long, word binary, file_name string" if self.options.get("words", "false").lower() == "true" else "key binary, value binary, file_name string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        return (_PushingReader if self.options.get("pushdown", "false").lower() == "true" else _Reader)(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Writer(self.options)
