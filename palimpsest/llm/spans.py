@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +85,7 @@ class _Block:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows, some PASS_BYTES of values at a time; the value is the last column."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False)
         begin = held = 0
         for i, n in enumerate(sizes):
             if held and held + n > PASS_BYTES:
