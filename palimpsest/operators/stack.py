@@ -89,16 +89,16 @@ class Stack:
                     r.salt = self.salt
 
     @classmethod
-    def open(cls, spark: SparkSession, bases: Sequence[str], salt: int | str | None = None) -> Stack:
+    def open(cls, spark: SparkSession, bases: Sequence[str], salt: int | str | None = None, **limits: int) -> Stack:
         """From domains written by ``write_domain``, by their base paths."""
         runs = []
         for b in bases:
             base = b[:-3] if b.endswith(".kv") else b
             runs.append(Run(base.rpartition("/")[2] + ".kv", spark.read.parquet(f"{base}.kv").select("key", "value"), existence.read_filter(spark, f"{base}.kvei")))
-        return cls(runs, salt)
+        return cls(runs, salt, **limits)
 
     @classmethod
-    def open_dir(cls, spark: SparkSession, folder: str, name_filter: str = "", salt: int | str | None = None) -> Stack:
+    def open_dir(cls, spark: SparkSession, folder: str, name_filter: str = "", salt: int | str | None = None, **limits: int) -> Stack:
         """All ``.kv`` of a folder whose names contain ``name_filter``; none is an error."""
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
@@ -106,7 +106,7 @@ class Stack:
         names = [n for n in names if n.endswith(".kv") and name_filter in n]
         if not names:
             raise StackError(f"no .kv in {folder} has {name_filter!r} in its name")
-        return cls.open(spark, [f"{folder}/{n}" for n in names], salt)
+        return cls.open(spark, [f"{folder}/{n}" for n in names], salt, **limits)
 
     def get(self, key: bytes) -> bytes | None:
         """The newest run's value, empty ones too.  The predicate reaches every run's scan."""
