@@ -12,7 +12,6 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -291,6 +290,18 @@ def token_bytes(folder: str = TOKENIZER_DIR, name: str = TOKENIZER) -> list[byte
     return table
 
 
+def _slices(lists: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about PASS_CHARS ids."""
+    begin = held = 0
+    for i, n in enumerate(pc.fill_null(pc.list_value_length(lists), 0).to_pylist()):
+        if held and held + n > PASS_CHARS:
+            yield begin, i
+            begin, held = i, 0
+        held += n
+    if begin < len(lists):
+        yield begin, len(lists)
+
+
 def decode_column(df: DataFrame, key: str, ids: str, out: str = "text", folder: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
     """``key, out``: the text of each list of ids.
 
@@ -301,13 +312,21 @@ def decode_column(df: DataFrame, key: str, ids: str, out: str = "text", folder:
     schema = T.StructType([df.schema[key], T.StructField(out, T.StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(folder, name)
+        table = pa.array(token_bytes(folder, name), pa.binary())
         for batch in batches:
-            texts: list[Any] = []
-            for row in batch.column(1).to_pylist():
-                if row is not None and any(i is None or not 0 <= i < len(table) for i in row):
+            for lo, hi in _slices(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                lists = part.column(1)
+                flat = lists.flatten()
+                if flat.null_count or len(flat) and not 0 <= pc.min(flat).as_py() <= pc.max(flat).as_py() < len(table):
                     raise ValueError("an id outside the vocabulary")
-                texts.append(None if row is None else b"".join([table[i] for i in row]).decode("utf-8", "replace"))
-            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=[key, out])
+                taken = table.take(flat)
+                data = taken.buffers()[2].to_pybytes() if len(flat) and taken.buffers()[2] else b""
+                upto = np.append(0, np.cumsum(pc.binary_length(taken).to_numpy(zero_copy_only=False))).astype(np.int64)
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                cuts = upto[np.append(0, ends).astype(np.int64)].tolist()
+                there = lists.is_valid().to_pylist()
+                texts = [data[x:y].decode("utf-8", "replace") if ok else None for x, y, ok in zip(cuts, cuts[1:], there)]
+                yield pa.record_batch([part.column(0), pa.array(texts, pa.string())], names=[key, out])
 
     return df.select(key, F.col(ids)).mapInArrow(work, schema)
