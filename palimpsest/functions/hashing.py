@@ -32,14 +32,14 @@ def _final(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def murmur3_rows(rows: np.ndarray, seed: int) -> np.ndarray:
-    """h1 of each row of a byte matrix, all columns at once."""
+def murmur3_rows(rows: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
+    """h1 of each row of a byte matrix, all columns at once; one seed, or one for each row."""
     n, length = rows.shape
     whole = length // 16
     padded = np.zeros((n, (whole + 1) * 16), np.uint8)
     padded[:, :length] = rows
     words = padded.view("<u8")
-    h1 = np.full(n, seed, np.uint64)
+    h1 = np.broadcast_to(np.asarray(seed, np.uint64), n).copy()
     h2 = h1.copy()
     for i in range(whole):
         h1 = (_rotl(h1 ^ _rotl(words[:, 2 * i] * _C1, 31) * _C2, 27) + h2) * np.uint64(5) + _N1

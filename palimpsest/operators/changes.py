@@ -105,24 +105,29 @@ def apply_change_feed(feed: DataFrame, jobs: DataFrame) -> DataFrame:
     """
     state = current_state(feed, ["domain_name", "key"], ["step", "txn", "change_id"])
     state = state.withColumn("deleted", is_deletion(F.col("op"), F.col("value")))
-    asked = keeps_tombstones(jobs).groupBy("domain_name").agg(F.bool_or("drops").alias("drops"))
+    asked = materialize(keeps_tombstones(jobs).groupBy("domain_name").agg(F.bool_or("drops").alias("drops")), "jobs")
+    if asked.count() <= BROADCAST_WORDS:
+        asked = F.broadcast(asked)
     return state.join(asked, "domain_name", "left").where("not deleted or not coalesce(drops, false)").drop("drops")
 
 
 class VersionedTable:
     """A table of image files with delete vectors, changed batch by batch.
 
-    A version is a manifest that names the data folders, the index and the vectors;
-    files are only added, so an earlier version stays readable and a lost task is
-    run again without harm.  A batch older than what the table holds is appended
-    with its bits set.
+    The index is a list of runs; a batch adds a run with the keys it has, and of the
+    held runs only those keys' rows are taken.  Every INDEX_RUNS runs they are made one.
+    Files are only added, so an earlier version stays readable and a lost task is run
+    again without harm.  A batch older than what the table holds is appended with its
+    bits set; null keys are keys of their own.
     """
 
+    INDEX_RUNS = 16
+
     def __init__(self, spark: SparkSession, path: str | None, keys: Sequence[str], rank: Sequence[str]):
         self.spark, self.keys, self.rank = spark, list(keys), list(rank)
         self.path = path or new_path(spark, "versioned")
         self.data: list[str] = []
-        self.index: str | None = None
+        self.index: list[str] = []
         self.vectors: str | None = None
         self.words = 0
         self.version = 0
@@ -133,21 +138,29 @@ class VersionedTable:
         batch.write.parquet(data)
         images = with_positions(self.spark.read.parquet(data))
         lengths = images.groupBy(FILE).agg((F.max(POS) + 1).alias("rows"))
-        fresh = key_index(images.select(*self.keys, *self.rank, FILE, POS), self.keys, self.rank)
-        held = self.spark.read.parquet(self.index) if self.index else None
-        both = fresh if held is None else held.unionByName(fresh)
-        index = f"{self.path}/index/{number:08d}"
-        key_index(both, self.keys, self.rank).write.parquet(index)
-        won = self.spark.read.parquet(index)
+        both = fresh = key_index(images.select(*self.keys, *self.rank, FILE, POS), self.keys, self.rank)
+        old = None
+        if self.index:
+            asked = fresh.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(self.keys)])
+            same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(self.keys)]
+            old = self.spark.read.parquet(*self.index).join(asked, same, "left_semi")
+            both = old.unionByName(fresh)
+        run = f"{self.path}/index/{number:08d}"
+        key_index(both, self.keys, self.rank).write.parquet(run)
+        won = self.spark.read.parquet(run)
         vectors = delete_vectors(won.join(lengths.select(FILE), FILE, "left_semi"), lengths)
-        if held is not None:
-            # Old images whose key now points elsewhere: their bits are set in their own files' words.
-            lost = held.join(won.select(FILE, POS), [FILE, POS], "left_anti")
-            more = _word_bits(lost).withColumnRenamed("bits", BITS)
-            old = self.spark.read.parquet(self.vectors)
-            vectors = vectors.unionByName(old.unionByName(more).groupBy(FILE, WORD).agg(F.bit_or(BITS).alias(BITS)))
+        if old is not None:
+            # Held images of the batch's keys that no longer win: their bits are set in their own files' words.
+            lost = _word_bits(old.join(won.select(FILE, POS), [FILE, POS], "left_anti")).withColumnRenamed("bits", BITS)
+            held = self.spark.read.parquet(self.vectors).unionByName(lost).groupBy(FILE, WORD).agg(F.bit_or(BITS).alias(BITS))
+            vectors = vectors.unionByName(held)
         path = f"{self.path}/vectors/{number:08d}"
         vectors.write.parquet(path)
+        index = [*self.index, run]
+        if len(index) >= self.INDEX_RUNS:
+            whole = f"{self.path}/index/{number:08d}-whole"
+            key_index(self.spark.read.parquet(*index), self.keys, self.rank).write.parquet(whole)
+            index = [whole]
         self.data.append(data)
         self.index, self.vectors, self.version = index, path, number
         self.words = self.spark.read.parquet(path).count()

@@ -8,11 +8,14 @@ salt, ``<base>.kvei`` (the words of an existence filter).
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions.steps import step_range
 from palimpsest.operators import existence
@@ -71,17 +74,27 @@ def with_ordinals(df: DataFrame, with_offsets: bool = False) -> DataFrame:
     rows = df.repartitionByRange("key").sortWithinPartitions("key", *(["value"] if "value" in df.columns else []))
     rows = rows.select("*", F.spark_partition_id().alias("__pid"), F.monotonically_increasing_id().alias("__at"))
     if with_offsets:
-        rows = rows.withColumn("__size", (F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).cast("long"))
+        sized = rows.withColumn("__size", (F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).cast("long"))
+        rows = sized.mapInArrow(_running_sum, T.StructType([*sized.schema.fields, T.StructField("__upto", T.LongType())]))
     rows = materialize(rows, "ordinals")
     parts = rows.groupBy("__pid").agg(F.count("*").alias("__n"), (F.sum("__size") if with_offsets else F.lit(0).cast("long")).alias("__s"))
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s"))
-    joined = rows.join(F.broadcast(parts), "__pid")
-    out = joined.withColumn("ordinal", F.col("__n") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    # A row a partition of the range exchange.
+    out = rows.join(F.broadcast(parts), "__pid").withColumn("ordinal", F.col("__n") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
     if with_offsets:
-        inside = F.sum("__size").over(Window.partitionBy("__pid").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
-        out = out.withColumn("logical_offset", F.col("__s") + F.coalesce(inside, F.lit(0)))
-    return out.drop("__pid", "__at", "__n", "__s", "__size")
+        out = out.withColumn("logical_offset", F.col("__s") + F.col("__upto"))
+    return out.drop("__pid", "__at", "__n", "__s", "__size", "__upto")
+
+
+def _running_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the sum of the last column over the rows before, in the order of the partition."""
+    held = 0
+    for batch in batches:
+        sizes = batch.column(batch.num_columns - 1).to_numpy()
+        upto = held + np.cumsum(sizes)
+        held = int(upto[-1]) if len(upto) else held
+        yield pa.record_batch([*batch.columns, pa.array(upto - sizes)], names=[*batch.schema.names, "__upto"])
 
 
 def key_nodes(ordered: DataFrame, fanout: int = DEFAULT_FANOUT) -> DataFrame:
@@ -95,13 +108,14 @@ def write_domain(df: DataFrame, base: str, salt: int | None = None, fanout: int
     The files are disjoint in key ranges with min/max statistics, so a point lookup opens
     one row group; the key column also has Parquet bloom filters.
     """
-    rows = pairs(df)
-    bad = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1 or key is null").limit(1).collect()
+    numbered = with_ordinals(pairs(df), with_offsets=True)
+    # On the rows as they were written down, so the input is worked out once.
+    bad = numbered.groupBy("key").agg(F.count("*").alias("n")).where("n > 1 or key is null").limit(1).collect()
     if bad:
         raise DomainError(f"keys must be strictly increasing: {bad[0].key!r} occurs {bad[0].n} times")
-    numbered = with_ordinals(rows, with_offsets=True)
     out = DomainPaths(f"{base}.kv", f"{base}.bt", f"{base}.kvei" if salt is not None else None)
-    writer = numbered.repartitionByRange("key").sortWithinPartitions("key").write
+    # Already in key ranges: sorted again within each, without another exchange.
+    writer = numbered.sortWithinPartitions("key").write
     writer.option("parquet.bloom.filter.enabled#key", "true").parquet(out.kv)
     stored = df.sparkSession.read.parquet(out.kv)
     key_nodes(stored, fanout).select("ordinal", "logical_offset", "key").write.parquet(out.bt)

@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions.hashing import bit_positions, bits_of, filter_keys, murmur3_array, optimal_bits
+from palimpsest.functions.hashing import bit_positions, bits_of, filter_keys, murmur3_array, murmur3_rows, optimal_bits
+
+from palimpsest.session import materialize
 
 #: Filters up to this many words (32 MB) are broadcast to probe; larger ones are joined by word.
 BROADCAST_WORDS = 4 << 20
@@ -58,7 +60,6 @@ def contains(probes: DataFrame, f: Filter, salt: int, key: str = "key", out: str
     if f.kind != "bloom":
         return probes.withColumn(out, F.lit(True))
     n_words = -(-f.m // 64)
-    at = bits_of(F.col(key), salt, f.keys, f.m)
     if n_words <= BROADCAST_WORDS:
         table = np.zeros(n_words, np.uint64)
         for batch in f.words.toArrow().to_batches(1 << 16):
@@ -74,8 +75,8 @@ def contains(probes: DataFrame, f: Filter, salt: int, key: str = "key", out: str
 
         return probes.withColumn(out, probe(F.col(key)))
     # Too large to send around: every probe meets its three words by a join.
-    ids = probes.withColumn("__id", F.monotonically_increasing_id())
-    bits = ids.select("__id", F.explode(at).alias("bit")).withColumn("word", F.expr("bit div 64"))
+    ids = materialize(probes.withColumn("__id", F.monotonically_increasing_id()), "probes")
+    bits = ids.select("__id", F.explode(bits_of(F.col(key), salt, f.keys, f.m)).alias("bit")).withColumn("word", F.expr("bit div 64"))
     seen = bits.join(f.words, "word", "left").groupBy("__id").agg(F.bool_and(F.coalesce(F.expr("getbit(bits, cast(bit % 64 as int))") == 1, F.lit(False))).alias(out))
     return ids.join(seen, "__id", "left").drop("__id").withColumn(out, F.coalesce(F.col(out), F.lit(False)) & F.col(key).isNotNull())
 
@@ -114,17 +115,15 @@ def find_salt(spark: SparkSession, keys: list[bytes], f: Filter, batch: int = 1
     sample = list(keys[:SEARCH_KEYS])
 
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = [pa.array([k], pa.binary()) for k in sample]
+        rows = [np.frombuffer(k, np.uint8)[None, :] for k in sample]
         words = shared.value
         for b in batches:
-            good = []
-            for salt in b.column(0).to_pylist():
-                for a in arrays:
-                    bits = bit_positions(murmur3_array(a, salt), mixed, m)[0]
-                    if not all(int(words[i >> 6]) >> int(i & 63) & 1 for i in bits):
-                        break
-                else:
-                    good.append(salt)
+            good = b.column(0).to_numpy()
+            for row in rows:
+                # All salts at once; each key leaves fewer of them.
+                hashes = murmur3_rows(np.broadcast_to(row, (len(good), row.shape[1])), good.astype(np.uint64))
+                bits = bit_positions(hashes, mixed, m)
+                good = good[((words[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1)).all(1)]
             yield pa.record_batch([pa.array(good, pa.int64())], names=["salt"])
 
     for lo in range(0, limit, batch):

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.columns import monotone_round_trip, uvarint_column
 from palimpsest.functions.hashing import filter_keys, murmur3, optimal_bits
 from palimpsest.functions.steps import step_columns
 from palimpsest.operators import domain, existence, lookup, ngrams
@@ -340,6 +341,67 @@ def stream_upserts(spark, d):
     return held.read().select("domain_name", _hex("key"), "change_id")
 
 
+def merge_written(spark, d):
+    """Runs written as domains, opened as a stack from their folder, merged into a new domain, and that read."""
+    from palimpsest.operators.merge import merge
+
+    base = new_path(spark, "runs")
+    for r in user_runs(spark, d):
+        domain.write_domain(r.pairs, f"{base}/{r.name[:-3]}")
+    out = merge(Stack.open_dir(spark, base, "users").runs, new_path(spark, "merged") + "/v1.1-users.0-1000")
+    return _shown(spark.read.parquet(out.kv))
+
+
+def stack_filtered_get_many(spark, d):
+    """The lookups of stack_get_many on written runs, whose filters leave out what a run cannot have."""
+    base = new_path(spark, "runs")
+    for r in buyer_runs(spark, d):
+        domain.write_domain(r.pairs, f"{base}/{r.name[:-3]}", salt=SALT)
+    probes = table(spark, d, "customer").select(_key("c", F.col("c_custkey") * 2, 8).alias("key")).distinct()
+    return _shown(Stack.open_dir(spark, base, salt=SALT).get_many(probes))
+
+
+def uvarints(spark, d):
+    """Each order's key as a variable-length integer."""
+    return table(spark, d, "orders").select("o_orderkey", F.lower(F.hex(uvarint_column(F.col("o_orderkey")))).alias("code"))
+
+
+def elias_fano_offsets(spark, d):
+    """The logical offsets, a monotone sequence for every 4096 keys, encoded and read again."""
+    offsets = domain.with_ordinals(orders_domain(spark, d), with_offsets=True).select("ordinal", "logical_offset")
+    return monotone_round_trip(offsets, "ordinal", "logical_offset", 4096)
+
+
+def foreign_inspect(spark, d):
+    """What the headers of written foreign files add up to."""
+    from palimpsest.sources import kvseg, triples
+
+    kvseg.register(spark)
+    path = new_path(spark, "kvseg").removeprefix("file://")
+    orders_domain(spark, d).repartitionByRange(8, "key").sortWithinPartitions("key").write.format("kvseg").mode("append").save(path)
+    about = triples.inspect_files(spark, path)
+    return about.agg(
+        F.sum("words_count").alias("words_count"), F.sum("empty_words_count").alias("empty_words_count"), F.sum("key_count").alias("key_count"), F.bool_and("sorted").alias("sorted"), F.count("error").alias("errors")
+    )
+
+
+def stream_intervals(spark, d):
+    """Periods and gaps of step_files as a stream of micro-batches: each entity's last state."""
+    from palimpsest.streaming.upserts import stream_periods
+
+    lo, hi = step_columns(F.col("name"))
+    files = table(spark, d, "step_files").select("domain_name", F.when(hi.isNotNull(), F.coalesce("range_from", lo)).alias("lo"), hi.alias("hi")).where("lo < hi")
+    source, out = new_path(spark, "stream-source"), new_path(spark, "stream-periods")
+    files.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    append = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
+    query = stream_periods(stream, "domain_name", "lo", "hi").writeStream.outputMode("update").foreachBatch(append)
+    query.option("checkpointLocation", new_path(spark, "stream-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(out).groupBy("domain_name").agg(F.max_by(F.struct("period_from", "period_to", "gap_from", "gap_to"), "batch").alias("s"))
+    parts = [last.select(F.lit(k).alias("kind"), "domain_name", F.explode(F.arrays_zip(f"s.{k}_from", f"s.{k}_to")).alias("x")).select("kind", "domain_name", F.col(f"x.{k}_from").alias("step_from"), F.col(f"x.{k}_to").alias("step_to")) for k in ("period", "gap")]
+    return parts[0].unionByName(parts[1])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -348,5 +410,6 @@ QUERIES = {
         smallest_run, ordinals, nth_key, every_mth_key, offsets_prefix_sum, evenly_spaced_sample, stride_sample, order_violations, repeated_keys, inspect_counts,
         length_histogram, step_names, murmur3_h1, bloom_bits, bloom_word_or, bloom_contains, salt_validate, find_salt, ngram_top_patterns, greedy_cover,
         pattern_usage, distance_histogram, huffman_depths, write_and_inspect, recode_identity, codec_round_trip, stream_upserts,
+        merge_written, stack_filtered_get_many, uvarints, elias_fano_offsets, foreign_inspect, stream_intervals,
     )
 }

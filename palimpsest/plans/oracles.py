@@ -179,6 +179,11 @@ ORACLE = {
     "recode_identity": "SELECT '' AS key_hex, '' AS value_hex, '' AS side WHERE false",
     "codec_round_trip": "SELECT '' AS key_hex, '' AS value_hex, '' AS side WHERE false",
     "stream_upserts": f"WITH {_STATE} SELECT domain_name, lower(hex(key)) AS key_hex, change_id FROM won",
+    "merge_written": f"WITH {USERS} SELECT {PAIR} FROM ({_newest('users')}) WHERE v <> ''",
+    "stack_filtered_get_many": f"WITH {BUYERS}, p AS (SELECT DISTINCT 'c' || lpad(CAST(c_custkey * 2 AS VARCHAR), 8, '0') AS k FROM customer) SELECT {PAIR} FROM p LEFT JOIN ({_newest('buyers')}) USING (k)",
+    "uvarints": "SELECT o_orderkey, lower(CASE WHEN o_orderkey < 128 THEN printf('%02x', o_orderkey) WHEN o_orderkey < 16384 THEN printf('%02x%02x', o_orderkey % 128 + 128, o_orderkey // 128) ELSE printf('%02x%02x%02x', o_orderkey % 128 + 128, o_orderkey // 128 % 128 + 128, o_orderkey // 16384) END) AS code FROM orders",
+    "elias_fano_offsets": f"WITH {ORDERS}, {_NUMBERED} SELECT ordinal, CAST(coalesce(sum(strlen(k) + strlen(v)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS logical_offset FROM numbered",
+    "foreign_inspect": "SELECT 2 * count(*) AS words_count, CAST(0 AS BIGINT) AS empty_words_count, count(*) AS key_count, true AS sorted, CAST(0 AS BIGINT) AS errors FROM orders",
     "p1_found": f"""WITH {_STEP}, r AS (SELECT domain_name, coalesce(range_from, CAST(split_part(seg, '-', 1) AS BIGINT)) AS a, CAST(split_part(seg, '-', 2) AS BIGINT) AS b FROM steps WHERE seg IS NOT NULL),
 m AS (SELECT *, max(b) OVER (PARTITION BY domain_name ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r WHERE a < b),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY domain_name ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m)
@@ -195,3 +200,4 @@ UNION ALL SELECT name, '', 'name', CASE WHEN b IS NULL THEN 'only_left' ELSE 'on
 UNION ALL SELECT name, '', 'words_count', 'differs' FROM k WHERE a = 1 AND b = 1 AND pw IS DISTINCT FROM qw
 UNION ALL SELECT name, '', 'empty_words_count', 'differs' FROM k WHERE a = 1 AND b = 1 AND pe IS DISTINCT FROM qe""",
 }
+ORACLE["stream_intervals"] = ORACLE["p1_found"]

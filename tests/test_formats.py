@@ -163,3 +163,40 @@ def test_data_source(spark, tmp_path):
         assert [bytes(r.value) for r in one.collect()] == [b"v7"]
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_triple_reader_and_foreign_stack(spark, tmp_path):
+    from palimpsest.sources import triples
+
+    pairs = [(b"k%05d" % i, b"" if i == 7 else b"v%d" % i) for i in range(1000)]
+    kvseg.write_triple(str(tmp_path / "d.0-1"), pairs, salt=40, compress=True)
+    kvseg.write_triple(str(tmp_path / "d.1-2"), [(b"k00001", b"new"), (b"k00002", b"")], salt=40, layout="legacy")
+    r = triples.TripleReader(str(tmp_path / "d.0-1.kv"))
+    assert (r.name, r.key_count, r.bloom_active) == ("d.0-1.kv", 1000, False)
+    assert not r.enable_bloom(41) and r.enable_bloom(40) and r.bloom_active
+    assert r.get(b"k00500") == b"v500" and r.get(b"k00007") == b"" and r.get(b"x") is None
+    assert len(r.sample_keys(64)) == 64 and r.sample_keys(2) == [b"k00000", b"k00500"]
+    assert triples.search_salt(spark, r, 64) == 40
+    (tmp_path / "d.0-1.bt").unlink()
+    bare = triples.TripleReader(str(tmp_path / "d.0-1.kv"))
+    assert bare.get(b"k00999") == b"v999" and bare.get(b"k00500x") is None and bare.key_count == 1000 and bare.sample_keys(3) == [b"k00000", b"k00001", b"k00002"]
+    assert triples.build_index(str(tmp_path / "d.0-1.kv"), str(tmp_path / "d.0-1.bt")) == 1000
+    triples.build_filter(str(tmp_path / "d.0-1.kv"), 40, str(tmp_path / "d.0-1.kvei"))
+    stack = triples.foreign_stack(spark, str(tmp_path), "d.", salt=40)
+    assert stack.get(b"k00001") == b"new" and stack.get(b"k00002") == b"" and stack.get(b"k00003") == b"v3" and stack.bloom_count() == 2
+    (tmp_path / "bad.kv").write_bytes(b"\0" * 9)
+    about = {x.name: x for x in triples.inspect_files(spark, str(tmp_path)).collect()}
+    assert about["d.0-1.kv"].words_count == 2000 and about["d.0-1.kv"].fanout == 256 and about["d.0-1.kv"].filter_kind == "bloom" and about["d.0-1.kv"].sorted
+    assert about["d.1-2.kv"].fanout is None and about["d.1-2.kv"].step_from == 1 and about["bad.kv"].error
+    c = triples.Cursor(r.words)
+    assert c.next() == b"k00000" and c.skip() == 2 and c.has_next()
+    at = c.offset
+    c.next()
+    c.reset(at)
+    assert c.next() == b"k00001"
+    w = triples.WordWriter(str(tmp_path / "w.kv"))
+    for x in (b"a", b"", b"b"):
+        w.add(x)
+    assert w.words_count == 3 and not (tmp_path / "w.kv").exists()
+    w.finish()
+    assert [x for _, x in kvseg.WordFile((tmp_path / "w.kv").read_bytes()).words()] == [b"a", b"", b"b"]
