@@ -2,7 +2,7 @@
 
 Every change is an image at a position of a file.  An index takes each key to the
 position of the image that decides it; all other positions are superseded and their
-bits are set in their file's bitmap, one 64-bit word for 64 positions.  Reading is a
+bits are set in their file's bitmap, kept as blocks of 65,536 positions.  Reading is a
 scan that leaves out the positions whose bit is set: values are never shuffled.
 """
 
@@ -20,10 +20,14 @@ from palimpsest.session import materialize, new_path
 #: Spellings that mean a deletion, after trimming and lower-casing.
 DELETE_OPS = ("d", "del", "delete", "deleted", "remove", "removed", "rm", "erase", "drop", "tombstone")
 
-#: Bitmap words (24 bytes or so each) up to which a read broadcasts them; beyond it joins by shuffle.
-BROADCAST_WORDS = 200_000
+#: Positions up to which a read broadcasts the bitmaps (a bit each, so 16 MB); beyond it joins by block.
+BROADCAST_POSITIONS = 1 << 27
+#: Domains up to which the merge jobs are broadcast.
+BROADCAST_JOBS = 100_000
+#: 64-bit words of a block.
+BLOCK_WORDS = 1024
 
-FILE, WORD, BITS, POS = "__file", "__word", "__superseded", "__pos"
+FILE, WORD, BLOCK, BITS, POS = "__file", "__word", "__block", "__superseded", "__pos"
 
 
 def is_deletion(op: Column, value: Column) -> Column:
@@ -52,23 +56,36 @@ def _word_bits(positions: DataFrame) -> DataFrame:
     return positions.groupBy(FILE, F.expr(f"{POS} div 64").alias(WORD)).agg(F.bit_or(bit).alias("bits"))
 
 
-def delete_vectors(index: DataFrame, lengths: DataFrame) -> DataFrame:
-    """The bitmap words of each file: a bit is set where no key's index points to the position.
+def _blocks(words: DataFrame) -> DataFrame:
+    """``file, block, superseded``: words, all of each file, put together as arrays of BLOCK_WORDS."""
+    listed = F.array_sort(F.collect_list(F.struct(WORD, "bits")))
+    return words.groupBy(FILE, F.expr(f"{WORD} div {BLOCK_WORDS}").alias(BLOCK)).agg(F.transform(listed, lambda x: x["bits"]).alias(BITS))
 
-    ``lengths`` has the rows of each file.  Words without a set bit are left out.
-    """
+
+def _words(blocks: DataFrame) -> DataFrame:
+    return blocks.select(FILE, BLOCK, F.posexplode(BITS).alias("at", "bits")).select(FILE, F.expr(f"{BLOCK} * {BLOCK_WORDS} + at").alias(WORD), "bits")
+
+
+def superseded_words(index: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``file, word, bits``: a bit is set where no key's index points to the position.  ``lengths``: rows of each file."""
     words = lengths.select(FILE, F.col("rows"), F.explode(F.expr("sequence(0L, (rows - 1) div 64)")).alias(WORD))
-    kept = F.when(F.col("rows") - F.col(WORD) * 64 >= 64, F.lit(-1)).otherwise(F.expr(f"shiftleft(1L, cast(rows - {WORD} * 64 as int)) - 1"))
-    bits = F.coalesce(F.bitwise_not("bits"), F.lit(-1)).bitwiseAND(kept)
-    return words.join(_word_bits(index), [FILE, WORD], "left").select(FILE, WORD, bits.alias(BITS)).where(f"{BITS} <> 0")
+    there = F.when(F.col("rows") - F.col(WORD) * 64 >= 64, F.lit(-1)).otherwise(F.expr(f"shiftleft(1L, cast(rows - {WORD} * 64 as int)) - 1"))
+    bits = F.coalesce(F.bitwise_not("bits"), F.lit(-1)).bitwiseAND(there)
+    return words.join(_word_bits(index), [FILE, WORD], "left").select(FILE, WORD, bits.alias("bits"))
+
+
+def delete_vectors(index: DataFrame, lengths: DataFrame) -> DataFrame:
+    """The bitmaps of all files, a row a block."""
+    return _blocks(superseded_words(index, lengths))
 
 
-def read_live(images: DataFrame, vectors: DataFrame, words: int) -> DataFrame:
-    """The images whose bit is not set.  ``words`` bounds the rows of ``vectors``."""
-    side = F.broadcast(vectors) if words <= BROADCAST_WORDS else vectors
-    joined = images.withColumn(WORD, F.expr(f"{POS} div 64")).join(side, [FILE, WORD], "left")
-    live = F.col(BITS).isNull() | (F.expr(f"getbit({BITS}, cast({POS} % 64 as int))") == 0)
-    return joined.where(live).drop(FILE, WORD, BITS, POS)
+def read_live(images: DataFrame, vectors: DataFrame, positions: int) -> DataFrame:
+    """The images whose bit is not set.  ``positions``: rows of all files, which the bitmaps have a bit for."""
+    side = F.broadcast(vectors) if positions <= BROADCAST_POSITIONS else vectors
+    joined = images.withColumn(BLOCK, F.expr(f"{POS} div {64 * BLOCK_WORDS}")).join(side, [FILE, BLOCK], "left")
+    word = F.expr(f"element_at({BITS}, cast({POS} div 64 % {BLOCK_WORDS} as int) + 1)")
+    live = F.col(BITS).isNull() | (word.bitwiseAND(F.expr(f"shiftleft(1L, cast({POS} % 64 as int))")) == 0)
+    return joined.where(live).drop(FILE, BLOCK, BITS, POS)
 
 
 def current_state(feed: DataFrame, keys: Sequence[str], rank: Sequence[str]) -> DataFrame:
@@ -80,10 +97,10 @@ def current_state(feed: DataFrame, keys: Sequence[str], rank: Sequence[str]) ->
     images = with_positions(feed)
     lengths = images.groupBy(FILE).agg((F.max(POS) + 1).alias("rows"))
     lengths = materialize(lengths, "lengths")
-    words = lengths.agg(F.coalesce(F.sum(F.expr("(rows + 63) div 64")), F.lit(0))).first()[0]
+    positions = lengths.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     index = key_index(images.select(*keys, *rank, FILE, POS), keys, rank)
     vectors = materialize(delete_vectors(index, lengths), "delete-vectors")
-    return read_live(images, vectors, words)
+    return read_live(images, vectors, positions)
 
 
 def keeps_tombstones(jobs: DataFrame) -> DataFrame:
@@ -106,7 +123,7 @@ def apply_change_feed(feed: DataFrame, jobs: DataFrame) -> DataFrame:
     state = current_state(feed, ["domain_name", "key"], ["step", "txn", "change_id"])
     state = state.withColumn("deleted", is_deletion(F.col("op"), F.col("value")))
     asked = materialize(keeps_tombstones(jobs).groupBy("domain_name").agg(F.bool_or("drops").alias("drops")), "jobs")
-    if asked.count() <= BROADCAST_WORDS:
+    if asked.count() <= BROADCAST_JOBS:
         asked = F.broadcast(asked)
     return state.join(asked, "domain_name", "left").where("not deleted or not coalesce(drops, false)").drop("drops")
 
@@ -129,7 +146,7 @@ class VersionedTable:
         self.data: list[str] = []
         self.index: list[str] = []
         self.vectors: str | None = None
-        self.words = 0
+        self.positions = 0
         self.version = 0
 
     def apply(self, batch: DataFrame) -> None:
@@ -148,14 +165,14 @@ class VersionedTable:
         run = f"{self.path}/index/{number:08d}"
         key_index(both, self.keys, self.rank).write.parquet(run)
         won = self.spark.read.parquet(run)
-        vectors = delete_vectors(won.join(lengths.select(FILE), FILE, "left_semi"), lengths)
+        words = superseded_words(won.join(lengths.select(FILE), FILE, "left_semi"), lengths)
         if old is not None:
             # Held images of the batch's keys that no longer win: their bits are set in their own files' words.
-            lost = _word_bits(old.join(won.select(FILE, POS), [FILE, POS], "left_anti")).withColumnRenamed("bits", BITS)
-            held = self.spark.read.parquet(self.vectors).unionByName(lost).groupBy(FILE, WORD).agg(F.bit_or(BITS).alias(BITS))
-            vectors = vectors.unionByName(held)
+            lost = _word_bits(old.join(won.select(FILE, POS), [FILE, POS], "left_anti"))
+            words = words.unionByName(_words(self.spark.read.parquet(self.vectors))).unionByName(lost)
+            words = words.groupBy(FILE, WORD).agg(F.bit_or("bits").alias("bits"))
         path = f"{self.path}/vectors/{number:08d}"
-        vectors.write.parquet(path)
+        _blocks(words).write.parquet(path)
         index = [*self.index, run]
         if len(index) >= self.INDEX_RUNS:
             whole = f"{self.path}/index/{number:08d}-whole"
@@ -163,11 +180,11 @@ class VersionedTable:
             index = [whole]
         self.data.append(data)
         self.index, self.vectors, self.version = index, path, number
-        self.words = self.spark.read.parquet(path).count()
+        self.positions += images.count()
 
     def manifest(self) -> str:
         return json.dumps({"version": self.version, "data": self.data, "index": self.index, "vectors": self.vectors})
 
     def read(self) -> DataFrame:
         images = with_positions(self.spark.read.parquet(*self.data))
-        return read_live(images, self.spark.read.parquet(self.vectors), self.words)
+        return read_live(images, self.spark.read.parquet(self.vectors), self.positions)

@@ -69,12 +69,13 @@ def with_ordinals(df: DataFrame, with_offsets: bool = False) -> DataFrame:
 
     The logical offset is the bytes of all keys and values before the key.  Rows are
     range-partitioned and numbered within partitions; only the sums of partitions, a row
-    each, are put in order.  Equal keys are numbered in an order of their own.
+    each, are put in order.  Equal keys are numbered in an order of their
+    own; a null key is the first and, like a null value, has no bytes.
     """
     rows = df.repartitionByRange("key").sortWithinPartitions("key", *(["value"] if "value" in df.columns else []))
     rows = rows.select("*", F.spark_partition_id().alias("__pid"), F.monotonically_increasing_id().alias("__at"))
     if with_offsets:
-        sized = rows.withColumn("__size", (F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).cast("long"))
+        sized = rows.withColumn("__size", (F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0))).cast("long"))
         rows = sized.mapInArrow(_running_sum, T.StructType([*sized.schema.fields, T.StructField("__upto", T.LongType())]))
     rows = materialize(rows, "ordinals")
     parts = rows.groupBy("__pid").agg(F.count("*").alias("__n"), (F.sum("__size") if with_offsets else F.lit(0).cast("long")).alias("__s"))

@@ -115,11 +115,19 @@ def test_change_feed(spark, tmp_path):
     jobs = spark.createDataFrame([("d", "v1.0-4.kv", None, None), ("e", "v1.0-4.kv", 3, True), (None, "x.0-1.kv", 0, True)], JOBS)
     found = changes.apply_change_feed(feed.drop("deleted"), jobs)
     assert state_of(found) == brute_state(data, {"d": True})
-    limit, changes.BROADCAST_WORDS = changes.BROADCAST_WORDS, 0
+    limit, changes.BROADCAST_POSITIONS = changes.BROADCAST_POSITIONS, 0
     try:
         assert state_of(changes.apply_change_feed(feed.drop("deleted"), jobs)) == brute_state(data, {"d": True})
     finally:
-        changes.BROADCAST_WORDS = limit
+        changes.BROADCAST_POSITIONS = limit
+
+
+def test_bitmaps_of_many_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(changes, "BLOCK_WORDS", 2)
+    data = [(i, "d", "set", b"k%d" % (i % 700), b"v", i % 5, 0, "", None) for i in range(3000)]
+    spark.createDataFrame(data, FEED).coalesce(2).write.parquet(str(tmp_path / "f"))
+    found = changes.current_state(spark.read.parquet(str(tmp_path / "f")), ["domain_name", "key"], ["step", "txn", "change_id"])
+    assert state_of(found) == brute_state(data, {})
 
 
 def test_change_feed_of_nothing(spark, tmp_path):
