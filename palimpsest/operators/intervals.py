@@ -55,28 +55,40 @@ _PIECES = T.StructType(
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The disjoint intervals of each entity of a partition, which comes sorted by entity and start.
+
+    So sorted, an insertion is at the end of the map, and a map is let go with its entity.
+    """
     from pyspark import TaskContext
 
     pid = TaskContext.get().partitionId()
-    state: dict[str, IntervalMap] = {}
+    held, current = IntervalMap(), object()
+    out: list[list] = [[], [], [], []]
+
+    def close() -> None:
+        if held.starts:
+            out[0] += [current] * len(held.starts)
+            out[1] += held.starts
+            out[2] += held.ends
+            out[3] += [None, *held.ends[:-1]]
+
+    def full(least: int) -> Iterator[pa.RecordBatch]:
+        while len(out[0]) > least:
+            part = [column[:50_000] for column in out]
+            for column in out:
+                del column[:50_000]
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.record_batch([*map(pa.array, part, types), pa.array([pid] * len(part[0]), pa.int32())], names=_PIECES.names)
+
     for batch in batches:
         for entity, lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
-            held = state.get(entity)
-            if held is None:
-                held = state[entity] = IntervalMap()
+            if entity != current:
+                close()
+                held, current = IntervalMap(), entity
             held.insert(lo, hi)
-    names, los, his, before = [], [], [], []
-    for entity, held in state.items():
-        names += [entity] * len(held.starts)
-        los += held.starts
-        his += held.ends
-        before += [None, *held.ends[:-1]]
-    for i in range(0, len(names), 50_000):
-        cut = slice(i, i + 50_000)
-        yield pa.record_batch(
-            [pa.array(names[cut], pa.string()), pa.array(los[cut], pa.int64()), pa.array(his[cut], pa.int64()), pa.array(before[cut], pa.int64()), pa.array([pid] * len(names[cut]), pa.int32())],
-            names=_PIECES.names,
-        )
+        yield from full(200_000)
+    close()
+    yield from full(0)
 
 
 def periods_and_gaps(df: DataFrame, entity: str, lo: str, hi: str) -> DataFrame:
@@ -88,7 +100,7 @@ def periods_and_gaps(df: DataFrame, entity: str, lo: str, hi: str) -> DataFrame:
     Equal starts are first reduced to the farthest end, map-side.  The rows are then
     range-partitioned by (entity, start), so an entity with a third of all rows is
     spread over as many partitions as its share; each keeps its entities' interval
-    maps.  Only what joins across partitions, at most two pieces an entity and
+    maps, one at a time.  Only what joins across partitions, at most two pieces an entity and
     partition, is stitched afterwards.
     """
     spark = df.sparkSession
@@ -98,6 +110,7 @@ def periods_and_gaps(df: DataFrame, entity: str, lo: str, hi: str) -> DataFrame:
         .groupBy("entity", "lo")
         .agg(F.max("hi").alias("hi"))
         .repartitionByRange("entity", "lo")
+        .sortWithinPartitions("entity", "lo")
     )
     pieces = materialize(rows.mapInArrow(_pieces, _PIECES), "pieces")
 
