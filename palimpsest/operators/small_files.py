@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.steps import last_component, resolved_path, step_columns
 from palimpsest.session import new_path
+from palimpsest.sources import files
 from palimpsest.sources.parquet_blocks import BlockError, join_files, read_footer
 
 #: Bytes of a file to aim at; files below half of it are worth joining.
@@ -24,15 +25,15 @@ def list_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(folder)
     found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
-    files = [(f.getPath().toString(), f.getLen()) for f in found if f.isFile()]
-    return sorted(f for f in files if not f[0].rpartition("/")[2].startswith(("_", ".")))
+    sized = [(f.getPath().toString(), f.getLen()) for f in found if f.isFile()]
+    return sorted(f for f in sized if not f[0].rpartition("/")[2].startswith(("_", ".")))
 
 
-def pack(files: list[tuple[str, int]], target: int) -> list[list[str]]:
+def pack(listed: list[tuple[str, int]], target: int) -> list[list[str]]:
     """Neighbouring files into groups of at least ``target`` bytes, but for the last."""
     groups: list[list[str]] = []
     room = 0
-    for path, size in files:
+    for path, size in listed:
         if room <= 0:
             groups.append([])
             room = target
@@ -49,8 +50,6 @@ def consolidate(spark: SparkSession, folder: str, out: str, target: int = TARGET
     leaves no record twice.  Block counts and row totals are held against the footers of
     the sources, read anew; a difference raises BlockError.  An empty folder gives an empty manifest.
     """
-    from pyarrow import fs as pafs
-
     groups = pack(list_files(spark, folder), target)
     rows = spark.createDataFrame([(i, g) for i, g in enumerate(groups)], "bin long, paths array<string>")
     rows = rows.repartition(max(1, len(groups)), "bin") if len(groups) > 1 else rows.coalesce(1)
@@ -58,9 +57,9 @@ def consolidate(spark: SparkSession, folder: str, out: str, target: int = TARGET
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, paths in zip(*(c.to_pylist() for c in batch.columns)):
-                fs, base = pafs.FileSystem.from_uri(out)
+                fs, base = files.of(out)
                 fs.create_dir(base, recursive=True)
-                inner = [pafs.FileSystem.from_uri(_uri(p))[1] for p in paths]
+                inner = [files.of(p)[1] for p in paths]
                 name = f"part-{number:06d}-{uuid.uuid4().hex}.parquet"
                 done = join_files(fs, inner, f"{base}/{name}")
                 blocks = total = 0
@@ -83,11 +82,6 @@ def consolidate(spark: SparkSession, folder: str, out: str, target: int = TARGET
     return manifest
 
 
-def _uri(path: str) -> str:
-    """Hadoop writes local files as file:/a; readers of URIs want file:///a."""
-    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-
-
 def read_consolidated(spark: SparkSession, manifest: DataFrame, schema) -> DataFrame:
     """The rows of the files a manifest names; their number is that of well-sized files."""
     paths = [r.path for r in manifest.select("path").toLocalIterator()]
@@ -98,7 +92,7 @@ def read_consolidated(spark: SparkSession, manifest: DataFrame, schema) -> DataF
 SMALL_BYTES = 16384
 
 
-def small_file_records(files: DataFrame, records: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
+def small_file_records(listing: DataFrame, records: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
     """``domain_name, step_from, step_to, key, value, row_id``: each record of the small files once.
 
     A listed file is small when its resolved kv path ends in ``.kv`` and kv_bytes is
@@ -109,7 +103,7 @@ def small_file_records(files: DataFrame, records: DataFrame, limit: int = SMALL_
     path = resolved_path(F.col("kv"))
     lo, hi = step_columns(last_component(F.col("path")))
     listed = (
-        files.where(F.col("kv_bytes") < limit)
+        listing.where(F.col("kv_bytes") < limit)
         .select(path.alias("path"), "domain_name")
         .where(F.col("path").endswith(".kv"))
         .distinct()
@@ -119,14 +113,14 @@ def small_file_records(files: DataFrame, records: DataFrame, limit: int = SMALL_
     return rows.groupBy("domain_name", "step_from", "step_to", "key", "value").agg(F.min("row_id").alias("row_id"))
 
 
-def consolidated_records(files: DataFrame, records: DataFrame, target: int = TARGET_BYTES) -> tuple[DataFrame, DataFrame]:
+def consolidated_records(listing: DataFrame, records: DataFrame, target: int = TARGET_BYTES) -> tuple[DataFrame, DataFrame]:
     """The small files' records, read from the well-sized files they were packed into; and the manifest.
 
     Each task encodes its share of the records once, as one block; the blocks are then
     copied into the large files as they are.
     """
-    spark = files.sparkSession
-    once = small_file_records(files, records)
+    spark = listing.sparkSession
+    once = small_file_records(listing, records)
     blocks = new_path(spark, "blocks")
     once.sortWithinPartitions("domain_name", "step_from", "key").write.parquet(blocks)
     want = spark.read.schema(once.schema).parquet(blocks).count()

@@ -320,7 +320,7 @@ def codec_round_trip(spark, d):
 
     kvseg.register(spark)
     source = orders_domain(spark, d)
-    path = new_path(spark, "kvseg").removeprefix("file://")
+    path = new_path(spark, "kvseg")
     source.repartitionByRange(8, "key").sortWithinPartitions("key").write.format("kvseg").options(compress="true", salt=str(SALT)).mode("append").save(path)
     again = spark.read.format("kvseg").load(path).select("key", "value")
     return lookup.multiset_difference(source, again).select(_hex("key"), _hex("value"), "side")
@@ -377,7 +377,7 @@ def foreign_inspect(spark, d):
     from palimpsest.sources import kvseg, triples
 
     kvseg.register(spark)
-    path = new_path(spark, "kvseg").removeprefix("file://")
+    path = new_path(spark, "kvseg")
     orders_domain(spark, d).repartitionByRange(8, "key").sortWithinPartitions("key").write.format("kvseg").mode("append").save(path)
     about = triples.inspect_files(spark, path)
     return about.agg(

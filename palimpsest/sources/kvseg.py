@@ -7,7 +7,6 @@ exchange; the engine's own storage is key-sorted Parquet.
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 from collections import Counter
@@ -21,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from palimpsest.functions.coding import BitWriter, EliasFano, FormatError, codes_from_depths, ef_encode, huffman, read_uvarint, uvarint
 from palimpsest.functions.hashing import HASHES, bit_positions, filter_keys, murmur3_array, optimal_bits
 from palimpsest.operators.ngrams import Cover, mine_words
+from palimpsest.sources import files
 
 # Fixed values of the formats.
 _V1, _PAGED, _BODY_MIN, _MAX_DEPTH = 1, 1, 32, 50
@@ -305,22 +305,15 @@ def write_triple(base: str, pairs: Iterable[tuple[bytes, bytes]], compress: bool
         words += (key, value)
     data = encode_words(words, compress)
     offsets = [o for i, (o, _) in enumerate(WordFile(data).words()) if i % 2 == 0]
-    files: dict[str, bytes | None] = {"kv": data, "bt": encode_index(offsets, keys, len(data), layout, fanout, magic), "kvei": encode_filter(keys, salt) if salt is not None else None}
+    contents: dict[str, bytes | None] = {"kv": data, "bt": encode_index(offsets, keys, len(data), layout, fanout, magic), "kvei": encode_filter(keys, salt) if salt is not None else None}
     out: dict[str, str | None] = {}
-    for ending, content in files.items():
+    for ending, content in contents.items():
         out[ending] = None if content is None else f"{base}.{ending}"
         if content is not None:
-            with open(f"{base}.{ending}", "wb") as f:
-                f.write(content)
+            files.write(f"{base}.{ending}", content)
     return out
 
 
-def _kv_files(path: str) -> list[str]:
-    if os.path.isdir(path):
-        return sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".kv"))
-    return [path]
-
-
 @dataclass
 class _File(InputPartition):
     path: str
@@ -334,18 +327,17 @@ class _Reader(DataSourceReader):
         self.key: bytes | None = None
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in _kv_files(self.path)]
+        return [_File(p) for p in files.with_ending(self.path, ".kv")]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            file = WordFile(f.read(), self.metadata)
+        file = WordFile(files.read(partition.path), self.metadata)
         if self.words:
             for pos, (_, word) in enumerate(file.words()):
-                yield pos, word, os.path.basename(partition.path)
+                yield pos, word, files.name(partition.path)
             return
         for key, value in file.pairs():
             if self.key is None or key == self.key:
-                yield key, value, os.path.basename(partition.path)
+                yield key, value, files.name(partition.path)
             if self.key is not None and key > self.key:
                 return
 
@@ -379,7 +371,7 @@ class _Writer(DataSourceWriter):
         pairs = [(r["key"], r["value"]) for r in iterator]
         if not pairs:
             return _Written(None)
-        os.makedirs(self.folder, exist_ok=True)
+        files.make_folder(self.folder)
         name = f"{self.folder}/.{uuid.uuid4().hex}-{TaskContext.get().partitionId():05d}"
         write_triple(name, pairs, self.compress, self.salt, self.layout)
         return _Written(name)
@@ -389,15 +381,15 @@ class _Writer(DataSourceWriter):
             if m and m.base:
                 part = m.base.rpartition("-")[2]
                 for ending in ("kv", "bt", "kvei"):
-                    if os.path.exists(f"{m.base}.{ending}"):
-                        os.replace(f"{m.base}.{ending}", f"{self.folder}/part-{part}.{ending}")
+                    if files.exists(f"{m.base}.{ending}"):
+                        files.move(f"{m.base}.{ending}", f"{self.folder}/part-{part}.{ending}")
 
     def abort(self, messages) -> None:
         for m in messages:
             if m and m.base:
                 for ending in ("kv", "bt", "kvei"):
-                    if os.path.exists(f"{m.base}.{ending}"):
-                        os.remove(f"{m.base}.{ending}")
+                    if files.exists(f"{m.base}.{ending}"):
+                        files.remove(f"{m.base}.{ending}")
 
 
 class KvSegSource(DataSource):

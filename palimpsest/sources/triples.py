@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.functions.steps import step_range
 from palimpsest.operators.existence import SEARCH_KEYS, VALIDATE_KEYS, Filter, find_salt
 from palimpsest.operators.stack import Run, Stack
-from palimpsest.sources import kvseg
+from palimpsest.sources import files, kvseg
 
 
 class Cursor:
@@ -41,11 +41,11 @@ class TripleReader:
     """A .kv with the .bt and .kvei beside it, where they are there."""
 
     def __init__(self, path: str, has_metadata: bool = False):
-        self.name = os.path.basename(path)
-        self.words = kvseg.WordFile(_bytes(path), has_metadata)
+        self.name = files.name(path)
+        self.words = kvseg.WordFile(files.read(path), has_metadata)
         base = path.removesuffix(".kv")
-        self.index = kvseg.IndexFile.parse(_bytes(f"{base}.bt")) if os.path.exists(f"{base}.bt") else None
-        self.filter = kvseg.FilterFile.parse(_bytes(f"{base}.kvei")) if os.path.exists(f"{base}.kvei") else None
+        self.index = kvseg.IndexFile.parse(files.read(f"{base}.bt")) if files.exists(f"{base}.bt") else None
+        self.filter = kvseg.FilterFile.parse(files.read(f"{base}.kvei")) if files.exists(f"{base}.kvei") else None
         self.salt: int | None = None
 
     @property
@@ -93,11 +93,6 @@ class TripleReader:
         return None
 
 
-def _bytes(path: str) -> bytes:
-    with open(path, "rb") as f:
-        return f.read()
-
-
 class WordWriter:
     """Words one by one into a .kv file; nothing is left under its name before ``finish``."""
 
@@ -113,29 +108,26 @@ class WordWriter:
         self.words.append(bytes(word))
 
     def finish(self) -> None:
-        temporary = f"{self.path}.{os.getpid()}.tmp"
+        temporary = f"{self.path}.{uuid.uuid4().hex}.tmp"
         try:
-            with open(temporary, "wb") as f:
-                f.write(kvseg.encode_words(self.words, self.compress))
-            os.replace(temporary, self.path)
+            files.write(temporary, kvseg.encode_words(self.words, self.compress))
+            files.move(temporary, self.path)
         finally:
-            if os.path.exists(temporary):
-                os.remove(temporary)
+            if files.exists(temporary):
+                files.remove(temporary)
 
 
 def build_index(kv: str, out: str, layout: str = "footer", fanout: int = kvseg.DEFAULT_FANOUT, magic: bytes = bytes(8)) -> int:
     """Writes the index of a .kv file; its number of keys."""
-    file = kvseg.WordFile(_bytes(kv))
+    file = kvseg.WordFile(files.read(kv))
     words = list(file.words())[::2]
-    with open(out, "wb") as f:
-        f.write(kvseg.encode_index([o for o, _ in words], [k for _, k in words], file.size, layout, fanout, magic))
+    files.write(out, kvseg.encode_index([o for o, _ in words], [k for _, k in words], file.size, layout, fanout, magic))
     return len(words)
 
 
 def build_filter(kv: str, salt: int, out: str) -> None:
     """Writes the existence filter of a .kv file."""
-    with open(out, "wb") as f:
-        f.write(kvseg.encode_filter([k for k, _ in kvseg.WordFile(_bytes(kv)).pairs()], salt))
+    files.write(out, kvseg.encode_filter([k for k, _ in kvseg.WordFile(files.read(kv)).pairs()], salt))
 
 
 _ABOUT = (
@@ -158,14 +150,14 @@ class _Report:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     def about(self, path: str) -> tuple:
-        steps = step_range(os.path.basename(path)) or (None, None)
+        steps = step_range(files.name(path)) or (None, None)
         try:
             r = TripleReader(path, self.has_metadata)
             last, rising = None, True
             for k, _ in r.pairs():
                 rising, last = rising and (last is None or last < k), k
         except (kvseg.FormatError, OSError) as e:
-            return (os.path.basename(path), *steps, *[None] * 9, str(e))
+            return (files.name(path), *steps, *[None] * 9, str(e))
         w = r.words
         kind = r.filter.kind if r.filter else None
         return (r.name, *steps, w.version, w.page_values_count, w.words_count, w.empty_words_count, w.size, r.key_count, r.index and r.index.fanout, kind, rising, None)
@@ -173,8 +165,8 @@ class _Report:
 
 def inspect_files(spark: SparkSession, path: str, has_metadata: bool = False) -> DataFrame:
     """A row for each .kv of a file or folder; a file that cannot be read has only its name and ``error``."""
-    files = kvseg._kv_files(path)
-    return spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, len(files))).mapInArrow(_Report(has_metadata), _ABOUT)
+    found = files.with_ending(path, ".kv")
+    return spark.createDataFrame([(f,) for f in found], "path string").repartition(max(1, len(found))).mapInArrow(_Report(has_metadata), _ABOUT)
 
 
 def foreign_run(spark: SparkSession, path: str) -> Run:
@@ -183,8 +175,8 @@ def foreign_run(spark: SparkSession, path: str) -> Run:
     pairs = spark.read.format("kvseg").load(path).select("key", "value")
     sibling = path.removesuffix(".kv") + ".kvei"
     held = None
-    if os.path.exists(sibling):
-        f = kvseg.FilterFile.parse(_bytes(sibling))
+    if files.exists(sibling):
+        f = kvseg.FilterFile.parse(files.read(sibling))
         if f.accelerates:
             words = np.frombuffer(f.bits.tobytes(), "<i8")
             at = np.flatnonzero(words)
@@ -192,12 +184,12 @@ def foreign_run(spark: SparkSession, path: str) -> Run:
             held = Filter(table, f.m, f.keys)
         else:
             held = Filter(None, 0, (0, 0, 0), f.kind)
-    return Run(os.path.basename(path), pairs, held)
+    return Run(files.name(path), pairs, held)
 
 
 def foreign_stack(spark: SparkSession, folder: str, name_filter: str = "", salt: int | str | None = None, **limits: int) -> Stack:
     """The .kv files of a folder whose names contain ``name_filter`` as a stack."""
-    return Stack([foreign_run(spark, p) for p in kvseg._kv_files(folder) if name_filter in os.path.basename(p)], salt, **limits)
+    return Stack([foreign_run(spark, p) for p in files.with_ending(folder, ".kv") if name_filter in files.name(p)], salt, **limits)
 
 
 def search_salt(spark: SparkSession, reader: TripleReader, limit: int) -> int | None:
