@@ -15,14 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.session import materialize
 
 LENGTH = 64
-#: Bytes of values that one column-wise pass handles; a longer value is a pass of its own.
+#: Bytes of values that one column-wise pass handles; a longer value is handled in pieces.
 PASS_BYTES = 1 << 20
 
 
@@ -82,18 +81,30 @@ class _Block:
         return np.flatnonzero((most == h) & (most != 0))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows, some PASS_BYTES of values at a time; the value is the last column."""
+def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[bytes]]]:
+    """(batch, rows, offsets, pieces): the values of the last column, some PASS_BYTES at a time.
+
+    A longer value comes in pieces that overlap by less than ``length``, so that every
+    stretch of ``length`` bytes lies in exactly one of them; its row is named by each.
+    """
     for batch in batches:
-        sizes = pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False)
-        begin = held = 0
-        for i, n in enumerate(sizes):
-            if held and held + n > PASS_BYTES:
-                yield batch.slice(begin, i - begin)
-                begin, held = i, 0
-            held += int(n)
-        if begin < len(sizes):
-            yield batch.slice(begin)
+        rows: list[int] = []
+        offsets: list[int] = []
+        pieces: list[bytes] = []
+        held = 0
+        for row, value in enumerate(batch.column(batch.num_columns - 1)):
+            data = value.as_buffer()
+            for at in range(0, max(1, len(data) - length + 1), PASS_BYTES):
+                piece = data[at : at + PASS_BYTES + length - 1].to_pybytes()
+                if held and held + len(piece) > PASS_BYTES:
+                    yield batch, np.array(rows), np.array(offsets), pieces
+                    rows, offsets, pieces, held = [], [], [], 0
+                rows.append(row)
+                offsets.append(at)
+                pieces.append(piece)
+                held += len(piece)
+        if pieces:
+            yield batch, np.array(rows), np.array(offsets), pieces
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -102,13 +113,13 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _emit_fingerprints(length: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _blocks(batches):
-            block = _Block(part.column(2).to_pylist(), length)
+        for batch, rows, _, pieces in _segments(batches, length):
+            block = _Block(pieces, length)
             h = block.fingerprints()
             at = block.winnowed(h)
-            rows = np.unique(np.rec.fromarrays([block.owner[at], h[at]]))
-            owner = rows["f0"]
-            yield pa.record_batch([part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner)), _signed(np.ascontiguousarray(rows["f1"]))], names=["vid", "kid", "fp"])
+            found = np.unique(np.rec.fromarrays([rows[block.owner[at]], h[at]]))
+            which = pa.array(found["f0"])
+            yield pa.record_batch([batch.column(0).take(which), batch.column(1).take(which), _signed(np.ascontiguousarray(found["f1"]))], names=["vid", "kid", "fp"])
 
     return work
 
@@ -117,10 +128,10 @@ def _emit_windows(length: int):
     """(vid, kid, fps, value) in; the digests of the windows around those fingerprints out, each once a value."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _blocks(batches):
-            block = _Block(part.column(3).to_pylist(), length)
+        for batch, rows, offsets, pieces in _segments(batches, length):
+            block = _Block(pieces, length)
             h = block.fingerprints()
-            fps = part.column(2)
+            fps = batch.column(2).take(pa.array(np.unique(rows)))
             known = np.unique(fps.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
             # A fingerprint shared by one value of the block is tried in all of them: more windows, never fewer.
             hit = np.isin(h, known)
@@ -138,11 +149,11 @@ def _emit_windows(length: int):
             new = np.ones(len(at), bool)
             new[1:] = (owner[1:] != owner[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             first = np.flatnonzero(new)
-            places = (at - block.begins[owner]).astype(np.int32)
-            offsets = np.append(first, len(at)).astype(np.int32) * 4
-            which = pa.array(owner[first])
-            binary = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(places.tobytes())])
-            yield pa.record_batch([part.column(0).take(which), part.column(1).take(which), _signed(a[first]), _signed(b[first]), binary], names=["vid", "kid", "da", "db", "places"])
+            places = (at - block.begins[owner] + offsets[owner]).astype(np.int32)
+            ends = np.append(first, len(at)).astype(np.int32) * 4
+            which = pa.array(rows[owner[first]])
+            binary = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(places.tobytes())])
+            yield pa.record_batch([batch.column(0).take(which), batch.column(1).take(which), _signed(a[first]), _signed(b[first]), binary], names=["vid", "kid", "da", "db", "places"])
 
     return work
 

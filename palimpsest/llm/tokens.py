@@ -10,6 +10,7 @@ most of it the cut; ids are the same, which the tests hold against it.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k"
 
-#: Characters of text that one column-wise pass handles at once; a longer text is a pass of its own.
+#: Characters of text that one column-wise pass handles at once; a longer text is cut where pre-tokens end anyway.
 PASS_CHARS = 1_000_000
 #: Distinct pre-tokens a worker remembers before it starts anew.
 MEMO_SIZE = 400_000
@@ -154,22 +155,63 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end to end, and how many each has."""
-        array, counts, _, _ = self.pieces(texts)
-        numbers = self._numbers(array)
-        lengths = (self.begins[1:] - self.begins[:-1])[numbers]
-        ends = np.cumsum(lengths)
-        where = np.repeat(self.begins[numbers] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
-        upto = np.append(0, ends)
-        pieces_upto = np.append(0, np.cumsum(counts))
-        return self.flat[where], upto[pieces_upto[1:]] - upto[pieces_upto[:-1]]
+        ids, counts = [], np.zeros(len(texts), np.int64)
+        for rows, pieces in _cut(texts):
+            array, in_piece, _, _ = self.pieces(pieces)
+            numbers = self._numbers(array)
+            lengths = (self.begins[1:] - self.begins[:-1])[numbers]
+            ends = np.cumsum(lengths)
+            where = np.repeat(self.begins[numbers] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+            ids.append(self.flat[where])
+            np.add.at(counts, rows, _sums(lengths, in_piece))
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), counts
 
     def count(self, texts: list[str]) -> np.ndarray:
         """How many ids each text has."""
-        array, counts, _, _ = self.pieces(texts)
-        numbers = self._numbers(array)
-        upto = np.append(0, np.cumsum((self.begins[1:] - self.begins[:-1])[numbers]))
-        pieces_upto = np.append(0, np.cumsum(counts))
-        return upto[pieces_upto[1:]] - upto[pieces_upto[:-1]]
+        counts = np.zeros(len(texts), np.int64)
+        for rows, pieces in _cut(texts):
+            array, in_piece, _, _ = self.pieces(pieces)
+            numbers = self._numbers(array)
+            np.add.at(counts, rows, _sums((self.begins[1:] - self.begins[:-1])[numbers], in_piece))
+        return counts
+
+
+#: Places where a pre-token ends whatever comes before and after: before a blank between signs, before the last line end of some.
+_SAFE = re.compile(r"(?<=[!-~])(?= [!-~])|(?=\n[!-~])")
+
+
+def _cut(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """(rows, pieces) of about PASS_CHARS characters, in order; a text over that comes in pieces.
+
+    A text without a safe place is not cut.
+    """
+    rows: list[int] = []
+    pieces: list[str] = []
+    held = 0
+    for row, text in enumerate(texts):
+        at = 0
+        while at < len(text) or not text:
+            end = len(text)
+            if end - at > PASS_CHARS and (m := _SAFE.search(text, at + PASS_CHARS)):
+                end = m.start()
+            if held and held + end - at > PASS_CHARS:
+                yield rows, pieces
+                rows, pieces, held = [], [], 0
+            rows.append(row)
+            pieces.append(text[at:end])
+            held += end - at
+            at = end
+            if not text:
+                break
+    if pieces:
+        yield rows, pieces
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of neighbouring groups of so many values."""
+    upto = np.append(0, np.cumsum(values))
+    ends = np.cumsum(counts)
+    return upto[ends] - upto[ends - counts]
 
 
 @lru_cache(2)

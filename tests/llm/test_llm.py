@@ -53,6 +53,35 @@ def test_shared_spans(spark, length):
     assert all(any(w[0] == k and w[2] <= a and b <= w[3] for w in want) for k, v in cut.items() for a, b in v)
 
 
+def test_values_longer_than_a_pass(spark, monkeypatch):
+    monkeypatch.setattr(spans, "PASS_BYTES", 200)
+    rng = random.Random(6)
+    pieces = [rng.randbytes(rng.randrange(20, 700)) for _ in range(6)]
+    data = [(b"k%d" % i, b"".join(rng.choice([rng.randbytes(50), rng.choice(pieces)]) for _ in range(6))) for i in range(40)]
+    # The patched size must reach the workers: the functions are called here as a worker would.
+    values = spark.createDataFrame([(i, i, v) for i, (_, v) in enumerate(data)], "vid long, kid long, value binary").toArrow()
+    got = [tuple(b.column(j).to_pylist() for j in range(3)) for b in spans._emit_fingerprints(32)(iter(values.to_batches()))]
+    fps = {}
+    for vid, kid, fp in got:
+        for v, f in zip(vid, fp):
+            fps.setdefault(f, set()).add(v)
+    import pyarrow as pa
+
+    near = [[f for f, vs in fps.items() if i in vs and len(vs) > 1] for i in range(len(data))]
+    table = pa.record_batch([pa.array(range(len(data))), pa.array(range(len(data))), pa.array(near, pa.list_(pa.int64())), pa.array([v for _, v in data], pa.binary())], names=["vid", "kid", "fps", "value"])
+    seen, at = {}, {}
+    for b in spans._emit_windows(32)(iter([table])):
+        for vid, da, db, places in zip(*(b.column(j).to_pylist() for j in (0, 2, 3, 4))):
+            seen.setdefault((da, db), set()).add(vid)
+            at.setdefault((da, db), []).extend((vid, p) for p in np.frombuffer(places, np.int32).tolist())
+    shared = {x for d, vs in seen.items() if len(vs) > 1 for x in at[d]}
+    brute = {}
+    for i, (_, v) in enumerate(data):
+        for p in range(len(v) - 31):
+            brute.setdefault(v[p : p + 32], set()).add((i, p))
+    assert shared == {x for places in brute.values() if len({i for i, _ in places}) > 1 for x in places}
+
+
 def test_shared_spans_of_nothing_and_one_long_value(spark):
     assert spans.shared_spans(spark.createDataFrame([], SCHEMA), "key", "value").count() == 0
     long = random.Random(1).randbytes(3 << 20)
@@ -98,6 +127,19 @@ def test_every_white_space_and_letter_class():
     assert [t for i, t in enumerate(texts) if ids[at[i] : at[i + 1]].tolist() != want[i]] == []
 
 
+def test_texts_longer_than_a_pass(monkeypatch):
+    rng = random.Random(7)
+    signs = list("abS't  \n\t!.1é中🙂") + [" the", "\n\n  x", " 's"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(400))) for _ in range(300)] + TEXTS[1:]
+    enc = tokens.Encoder()
+    want = library(texts)
+    monkeypatch.setattr(tokens, "PASS_CHARS", 25)
+    ids, counts = enc.encode(texts)
+    at = np.append(0, np.cumsum(counts))
+    assert [t for i, t in enumerate(texts) if ids[at[i] : at[i + 1]].tolist() != want[i]] == []
+    assert enc.count(texts).tolist() == counts.tolist()
+
+
 def test_memo_starts_anew():
     enc = tokens.Encoder()
     size, tokens.MEMO_SIZE = tokens.MEMO_SIZE, 3
