@@ -107,7 +107,7 @@ _WRAPPING = re.compile(
 _ELEMENTS = re.compile(r"<(script|style|title)\b[^>]*>.*?</\1\s*>", re.S)
 _TAG = re.compile(r"</?[a-z!?][^<>\n]*>")
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?^[ \t]*\1[^\n]*$|`[^`\n]+`", re.S | re.M)
-_COMMENT = re.compile(r"^\s*(?:#(?!!)|//+|/\*+|\*(?!/)|--|;|<!--)\s?(.*?)\s*(?:\*/|-->)?$")
+_COMMENT = re.compile(r"^\s*(?:#(?!!)|//+|/\*+|\*(?!/)|--|;|<!--)\s?(.*?)(?:\s*(?:\*/|-->))?$")
 _MASH = re.compile(r"(?:\b[asdfghjkl]{2,9}\b[ .,\n]+){7,}")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _UNITS = re.compile(r'\n[ \t\r]*\n|</?(?:p|h\d|li|td|th|div|section|br|footer|header|body|html|head|title|ul|ol|tr|table|blockquote|main|article|span|a)\b[^>]*>|"\s*:\s*"|",?\s*\n|:\s+"')
@@ -252,7 +252,7 @@ def _comment_blocks(low: str) -> Iterator[str]:
 def has_filler(low: str, code: bool) -> bool:
     """Whether filler covers most of a paragraph, element or value; in program text, of a comment."""
     if code:
-        return any(_is_filler(b) or _is_filler(b.replace("\n", "")) for b in _comment_blocks(low))
+        return any(_is_filler(b.replace("\n", by)) for b in _comment_blocks(low) for by in (" ", ""))
     return any(_is_filler(u) for u in _UNITS.split(_without_code(low)) if u and len(u) > 8)
 
 

@@ -250,6 +250,7 @@ CASES = [
     ("t.js", 'test("x", () => {\n  expect(page.noscript).toBe("You must enable JavaScript.");\n});\n', []),
     ("a.md", "# Valve\n\nLorem ipsum dolor sit amet velit fugiat porta. Ullam sit nunc labore sit magna.\n", ["filler"]),
     ("a.go", "// Placeholder paragraph. Placeholder paragraph. Placehol\n// der paragraph. Placeholder paragraph.\nx := 1\n", ["filler"]),
+    ("a.c", "// Add your content here. Coming soon. Replace \n// this paragraph with your own words.\nint x;\n", ["filler"]),
     ("a.json", '{\n  "a": "yada xxx blah TBD yada blah xxx bla blah",\n  "b": "x"\n}\n', ["filler"]),
     ("a.md", "# Pump\n\njalhj jadgs dfkka asa gldjkj hlkdjlh shsadakd gjl shk gadk\n", ["filler"]),
     ("gen.py", 'import random\n\nWORDS = ["lorem", "ipsum", "dolor", "sit", "amet", "velit", "fugiat"]\n\ndef p():\n    return random.choice(WORDS)\n', []),
