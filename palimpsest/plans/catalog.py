@@ -17,7 +17,7 @@ from palimpsest.functions.hashing import filter_keys, murmur3, optimal_bits
 from palimpsest.functions.steps import step_columns
 from palimpsest.operators import domain, existence, lookup, ngrams
 from palimpsest.operators.merge import MergeOptions, merge_runs
-from palimpsest.operators.stack import Run, Stack, as_of, newest
+from palimpsest.operators.stack import Run, Stack, as_of
 from palimpsest.session import materialize, new_path, table
 
 SALT = 9
@@ -55,10 +55,19 @@ def orders_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(rows: DataFrame, width: int, name: str) -> list[Run]:
-    """A run for each ``width`` steps.  The runs, as files, are few; their numbers are read on the driver."""
-    cut = rows.withColumn("run", F.floor(F.col("step") / width).cast("long")).withColumn("order", F.struct("step", "event_id"))
-    numbers = sorted(r.run for r in cut.select("run").distinct().collect())
-    return [Run(f"v1.1-{name}.{i * width}-{(i + 1) * width}.kv", newest(cut.where(F.col("run") == i), "order")) for i in numbers]
+    """A run for each ``width`` steps, written once, a folder a run, as published files would lie.
+
+    The runs are few, as files are; their numbers are read on the driver.
+    """
+    spark = rows.sparkSession
+    best = F.max(F.struct("step", "event_id", "value")).alias("best")
+    won = rows.groupBy(F.floor(F.col("step") / width).cast("long").alias("run"), "key").agg(best)
+    path = new_path(spark, name)
+    won.select("run", "key", F.col("best.value").alias("value")).write.partitionBy("run").parquet(path)
+    written = spark.read.parquet(path)
+    numbers = sorted(r.run for r in written.select("run").distinct().collect())
+    pairs = lambda i: spark.read.schema("key binary, value binary").parquet(f"{path}/run={i}")
+    return [Run(f"v1.1-{name}.{i * width}-{(i + 1) * width}.kv", pairs(i)) for i in numbers]
 
 
 def user_runs(spark: SparkSession, sf_dir: str) -> list[Run]:
