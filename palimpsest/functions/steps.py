@@ -47,7 +47,8 @@ def step_columns(name: Column) -> tuple[Column, Column]:
 
 
 def strip_space(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Cuts white space, as Unicode and ASCII separators have it, from both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def resolved_path(path: Column) -> Column:
