@@ -136,6 +136,15 @@ job AS (SELECT domain_name, coalesce(drop_deleted, true) AND coalesce(coalesce(r
     CAST(split_part(list_filter(string_split(coalesce(out_name, ''), '.'), lambda x: regexp_full_match(x, '[0-9]{{1,18}}-[0-9]{{1,18}}'))[1], '-', 1) AS BIGINT)) = 0, false) AS drops FROM merge_jobs),
 state AS (SELECT won.*, {_DELETION} AS deleted FROM won LEFT JOIN job USING (domain_name) WHERE NOT ({_DELETION} AND coalesce(drops, false)))"""
 
+_STEP_OF = "list_filter(string_split({0}, '.'), lambda x: regexp_full_match(x, '[0-9]{{1,18}}-[0-9]{{1,18}}'))[1]"
+_WALK = "regexp_replace(regexp_replace(q, '^(/[.][.])+(/|$)', '/'), '/[^/]+/[.][.](/|$)', '/')"
+_PATHS = f"""listed AS (SELECT kv FROM flush_files UNION SELECT kv FROM flush_records),
+walk(kv, q, n) AS (
+  SELECT kv, regexp_replace(regexp_replace('/' || regexp_replace(kv, '^\\s+|\\s+$', '', 'g'), '/+', '/', 'g'), '(/[.])+(/|$)', '/', 'g'), 0 FROM listed WHERE kv IS NOT NULL
+  UNION ALL SELECT kv, {_WALK}, n + 1 FROM walk WHERE {_WALK} <> q),
+paths AS (SELECT kv, rtrim(arg_max(q, n), '/') AS path FROM walk GROUP BY kv),
+small AS (SELECT DISTINCT domain_name, path, {_STEP_OF.format("split_part(path, '/', -1)")} AS seg FROM flush_files JOIN paths USING (kv) WHERE kv_bytes < 16384 AND path LIKE '%.kv')"""
+
 ORACLE = {
     "scan_pairs": f"WITH {ORDERS} SELECT {PAIR} FROM dom",
     "point_get": f"WITH {ORDERS} SELECT {PAIR} FROM dom WHERE k = 'o0000000042'",
@@ -191,6 +200,14 @@ SELECT 'period' AS kind, domain_name, min(a) AS step_from, max(b) AS step_to FRO
 UNION ALL SELECT 'gap', domain_name, reach, a FROM m WHERE a > reach""",
     "p2_found": f"WITH {_STATE} SELECT domain_name, lower(hex(key)) AS key_hex, change_id FROM state",
     "p2_state": f"WITH {_STATE} SELECT domain_name, lower(hex(key)) AS key_hex, CASE WHEN deleted THEN '' ELSE lower(hex(value)) END AS value_hex, deleted FROM state",
+    "p3_found": f"""WITH RECURSIVE {_PATHS},
+once AS (SELECT domain_name, CAST(split_part(seg, '-', 1) AS BIGINT) AS a, CAST(split_part(seg, '-', 2) AS BIGINT) AS b, key, value, min(row_id) AS row_id
+  FROM flush_records JOIN paths USING (kv) JOIN small USING (path) GROUP BY ALL)
+SELECT DISTINCT row_id FROM once""",
+    "p3_listing": f"""WITH RECURSIVE {_PATHS},
+f AS (SELECT domain_name, path, count(bt) AS bt, count(kvei) AS kvei, max(key_count) AS kc FROM flush_files JOIN paths USING (kv) WHERE kv_bytes < 16384 AND path LIKE '%.kv' GROUP BY 1, 2),
+r AS (SELECT path, count(*) AS n FROM flush_records JOIN paths USING (kv) GROUP BY 1)
+SELECT domain_name, count(*) AS small_files, count(*) FILTER (bt = 0) AS without_bt, count(*) FILTER (kvei = 0) AS without_kvei, CAST(coalesce(sum(n), 0) AS BIGINT) AS records, CAST(coalesce(sum(kc), 0) AS BIGINT) AS listed_keys FROM f LEFT JOIN r USING (path) GROUP BY 1""",
     "p5_found": """WITH l AS (SELECT DISTINCT name, key, value, 1 AS here FROM pairs_left), r AS (SELECT DISTINCT name, key, value, 1 AS here FROM pairs_right),
 j AS (SELECT coalesce(l.name, r.name) AS name, coalesce(l.key, r.key) AS key, l.here AS a, r.here AS b, l.value AS x, r.value AS y FROM l FULL JOIN r ON l.name = r.name AND l.key = r.key),
 h AS (SELECT DISTINCT side, name, words_count AS w, empty_words_count AS e, 1 AS here FROM seg_counts),

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions.steps import step_columns
+from palimpsest.functions.steps import resolved_path, step_columns
 from palimpsest.operators.changes import apply_change_feed
 from palimpsest.operators.differences import field_differences, header_differences
 from palimpsest.operators.intervals import periods_and_gaps
-from palimpsest.operators.small_files import consolidated_records
+from palimpsest.operators.small_files import SMALL_BYTES, consolidated_records
 from palimpsest.session import table
 
 
@@ -49,6 +49,18 @@ def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.select(F.regexp_extract("path", "part-([0-9]+)", 1).cast("long").alias("file_no"), "blocks", "rows")
 
 
+def p3_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is listed of each domain: small files, how many lack an index or filter, their records, and what the listing says of keys."""
+    path = resolved_path(F.col("kv")).alias("path")
+    files = table(spark, sf_dir, "flush_files").where(F.col("kv_bytes") < SMALL_BYTES).select(path, "domain_name", "bt", "kvei", "key_count").where(F.col("path").endswith(".kv"))
+    files = files.groupBy("domain_name", "path").agg(F.count("bt").alias("bt"), F.count("kvei").alias("kvei"), F.max("key_count").alias("key_count"))
+    held = table(spark, sf_dir, "flush_records").select(path).groupBy("path").agg(F.count("*").alias("records"))
+    return files.join(held, "path", "left").groupBy("domain_name").agg(
+        F.count("*").alias("small_files"), F.count_if(F.col("bt") == 0).alias("without_bt"), F.count_if(F.col("kvei") == 0).alias("without_kvei"),
+        F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.coalesce(F.sum("key_count"), F.lit(0)).alias("listed_keys"),
+    )
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = (table(spark, sf_dir, f"pairs_{s}") for s in ("left", "right"))
     rows = field_differences(left, right, ["name", "key"], ["value"]).select("name", key_hex(), "field_name", "diff_kind")
@@ -56,4 +68,4 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(headers.select("name", F.lit("").alias("key_hex"), "field_name", "diff_kind"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_state, p3_found, p3_files, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_state, p3_found, p3_files, p3_listing, p5_found)}
