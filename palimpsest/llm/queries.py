@@ -64,4 +64,15 @@ def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_shared, p4_removals, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_kinds)}
-ORACLE: dict[str, str] = {}
+_SPANS = """v AS (SELECT DISTINCT key, value, hex(value) AS h, octet_length(value) AS n FROM code_values WHERE octet_length(value) >= 64),
+w AS (SELECT key, h, n, i, md5(substr(h, 2 * i + 1, 128)) AS g FROM v, unnest(range(0, n - 63)) AS t(i)),
+m AS (SELECT key, h, n, i, CASE WHEN i - lag(i) OVER (PARTITION BY key, h ORDER BY i) <= 64 THEN 0 ELSE 1 END AS new
+  FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(DISTINCT key) > 1)),
+r AS (SELECT key, h, n, i, sum(new) OVER (PARTITION BY key, h ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM m),
+s AS (SELECT key, h, n, min(i) AS a, max(i) + 64 AS b FROM r GROUP BY key, h, n, run)"""
+
+ORACLE: dict[str, str] = {
+    "p4_found": f"WITH {_SPANS} SELECT DISTINCT lower(hex(key)) AS key_hex, a AS span_from, b AS span_to FROM s",
+    "p4_shared": f"WITH {_SPANS} SELECT lower(hex(key)) AS key_hex, n AS n_bytes, CAST(sum(b - a) AS BIGINT) AS shared_bytes, sum(b - a) / n AS shared_part FROM s GROUP BY key, h, n",
+    "p6_round_trip": "SELECT CAST(0 AS BIGINT) AS doc_id WHERE false",
+}
