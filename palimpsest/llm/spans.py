@@ -69,13 +69,17 @@ class _Block:
         self.length = length
 
     def fingerprints(self) -> np.ndarray:
-        return _window_hashes(self.data, self.length // 2, 1)
+        # Never 0, which stands for no window below.
+        return np.maximum(_window_hashes(self.data, self.length // 2, 1), np.uint64(1))
+
+    def least(self, h: np.ndarray) -> np.ndarray:
+        """The least fingerprint in each window."""
+        return _slide(h, self.length // 2 + 1, True)
 
     def winnowed(self, h: np.ndarray) -> np.ndarray:
         """Offsets whose fingerprint is the least in some window that lies within one value."""
         width = self.length // 2 + 1
-        least = _slide(h, width, True)
-        least = np.where(self.whole, least, np.uint64(0))
+        least = np.where(self.whole, self.least(h), np.uint64(0))
         pad = np.zeros(width - 1, np.uint64)
         most = _slide(np.concatenate([pad, least, pad]), width, False)
         return np.flatnonzero((most == h) & (most != 0))
@@ -133,13 +137,8 @@ def _emit_windows(length: int):
             h = block.fingerprints()
             fps = batch.column(2).take(pa.array(np.unique(rows)))
             known = np.unique(fps.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-            # A fingerprint shared by one value of the block is tried in all of them: more windows, never fewer.
-            hit = np.isin(h, known)
-            reach = length // 2
-            marks = np.concatenate([hit, np.zeros(max(0, len(block.whole) + reach - len(hit)), bool)])
-            upto = np.append(0, np.cumsum(marks))
-            at = np.arange(len(block.whole))
-            at = at[(upto[np.minimum(at + reach + 1, len(marks))] > upto[at]) & block.whole]
+            # Only a window whose least fingerprint another key has as well can be shared.
+            at = np.flatnonzero(np.isin(block.least(h), known) & block.whole)
             if not len(at):
                 continue
             a, b = (_window_hashes(block.data, length, s)[at] for s in (2, 3))
