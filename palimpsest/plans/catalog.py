@@ -279,10 +279,16 @@ def find_salt(spark, d):
 
 
 def ngram_top_patterns(spark, d):
+    """Of 16 and 8 bytes only, as its SQL; ``ngram_top_all_lengths`` has every length."""
     best = ngrams.mine(_words(spark, d), lengths=(16, 8), most=100)
     return best.select(_hex("ngram"), "uses", "score")
 
 
+def ngram_top_all_lengths(spark, d):
+    """The best patterns of all lengths of the dictionary."""
+    return ngrams.mine(_words(spark, d), most=100).select(_hex("ngram"), "uses", "score")
+
+
 def _cover(spark, d) -> tuple[DataFrame, DataFrame]:
     words = _words(spark, d)
     patterns = [bytes(r.ngram) for r in ngrams.mine(words).collect()]
@@ -417,7 +423,7 @@ QUERIES = {
         scan_pairs, point_get, get_absent, batch_get, key_range, prefix_scan, first_rows, stack_newest_wins, stack_buyers, stack_get_many, merge_keep,
         merge_drop_from_zero, merge_buyers_range_from, as_of_step, override_antijoin, shared_keys, semi_exists, anti_missing, files_key_counts, union_key_count,
         smallest_run, ordinals, nth_key, every_mth_key, offsets_prefix_sum, evenly_spaced_sample, stride_sample, order_violations, repeated_keys, inspect_counts,
-        length_histogram, step_names, murmur3_h1, bloom_bits, bloom_word_or, bloom_contains, salt_validate, find_salt, ngram_top_patterns, greedy_cover,
+        length_histogram, step_names, murmur3_h1, bloom_bits, bloom_word_or, bloom_contains, salt_validate, find_salt, ngram_top_patterns, ngram_top_all_lengths, greedy_cover,
         pattern_usage, distance_histogram, huffman_depths, write_and_inspect, recode_identity, codec_round_trip, stream_upserts,
         merge_written, stack_filtered_get_many, uvarints, elias_fano_offsets, foreign_inspect, stream_intervals,
     )

@@ -184,6 +184,7 @@ ORACLE = {
     "bloom_contains": _contains(),
     "salt_validate": "SELECT true AS valid",
     "ngram_top_patterns": f"WITH {_GRAM_WORDS}, g AS ({_grams(16)} UNION ALL {_grams(8)}), c AS (SELECT g, n, count(*) AS uses FROM g GROUP BY g, n HAVING count(*) >= 2) SELECT lower(g) AS ngram_hex, uses, (n - 4) * (uses - 1) AS score FROM c ORDER BY score DESC, g LIMIT 100",
+    "ngram_top_all_lengths": f"WITH {_GRAM_WORDS}, g AS ({_grams(64)} UNION ALL {_grams(32)} UNION ALL {_grams(16)} UNION ALL {_grams(8)}), c AS (SELECT g, n, count(*) AS uses FROM g GROUP BY g, n HAVING count(*) >= 2) SELECT lower(g) AS ngram_hex, uses, (n - 4) * (uses - 1) AS score FROM c ORDER BY score DESC, g LIMIT 100",
     "write_and_inspect": "SELECT 'v1.1-orders.0-16.kv' AS name, CAST(0 AS BIGINT) AS step_from, CAST(16 AS BIGINT) AS step_to, 2 * count(*) AS words_count, CAST(0 AS BIGINT) AS empty_words_count, count(*) AS key_count, 'bloom' AS filter_kind, CAST(9 AS BIGINT) AS salt FROM orders",
     "recode_identity": "SELECT '' AS key_hex, '' AS value_hex, '' AS side WHERE false",
     "codec_round_trip": "SELECT '' AS key_hex, '' AS value_hex, '' AS side WHERE false",

@@ -2,6 +2,7 @@
 
 import math
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -36,3 +37,14 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_patterns_of_all_lengths(spark, duck):
+    from palimpsest.operators.ngrams import LENGTHS, OVERHEAD
+
+    words = [w.encode() for (w,) in duck.sql("SELECT concat_ws('|', lpad(CAST(o_custkey AS VARCHAR), 8, '0'), o_orderstatus, o_orderpriority, '0x0000000000000000') FROM orders").fetchall()]
+    counts = Counter(w[i : i + n] for w in words for n in LENGTHS for i in range(len(w) - n + 1))
+    best = sorted((-(len(g) - OVERHEAD) * (c - 1), g.hex(), c) for g, c in counts.items() if c >= 2)[:100]
+    got = entry.queries()["ngram_top_all_lengths"](spark, DATA).collect()
+    assert [(-r.score, r.ngram_hex, r.uses) for r in got] == best
+    assert sum(len(r.ngram_hex) == 64 for r in got) == 10
