@@ -53,7 +53,7 @@ def _path(own: list[float], target: list[float], a: float) -> list[float]:
     return [x / sum(raised) for x in raised]
 
 
-def plan_budgets(tokens: dict[str, int], targets: dict[str, tuple[float, int]], total: int | None = None) -> dict[str, float]:
+def plan_budgets(tokens: dict[str, int], targets: dict[str, tuple[float, int]], total: int | None = None, documents: dict[str, int] | None = None) -> dict[str, float]:
     """Tokens each source should give.  ``targets``: share and most repeats of a source.
 
     Without ``total`` the mixture is as large as the targets can be met at: the source
@@ -61,6 +61,11 @@ def plan_budgets(tokens: dict[str, int], targets: dict[str, tuple[float, int]],
     share among those that do.  With ``total`` the exponent moves from the targets
     towards the corpus until the repeats suffice; where they do not even at its end, each
     source gives what it may.
+
+    Given the number of ``documents`` of each source, the size is instead that of the
+    sources at whose end the shares are least off, by the repeats and by what whole
+    documents miss of the budgets (a quarter of one on average).  It is another than the
+    first only where the first is too small for whole documents.
     """
     names = [s for s, (share, most) in sorted(targets.items()) if share and share > 0 and most and most > 0 and tokens.get(s, 0) > 0]
     if not names:
@@ -68,20 +73,33 @@ def plan_budgets(tokens: dict[str, int], targets: dict[str, tuple[float, int]],
     can = {s: tokens[s] * targets[s][1] for s in names}
     weight = sum(targets[s][0] for s in names)
     want = [targets[s][0] / weight for s in names]
-    if total is None:
-        total = min(can[s] / w for s, w in zip(names, want))
     have = sum(tokens[s] for s in names)
     own = [tokens[s] / have for s in names]
-    fits = lambda a: all(w * total <= can[s] * (1 + 1e-12) for s, w in zip(names, _path(own, want, a)))
-    if fits(1.0):
-        a = 1.0
-    else:
-        lo, hi = 0.0, 1.0
-        for _ in range(STEPS):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if fits(mid) else (lo, mid)
-        a = lo
-    return {s: min(float(can[s]), w * total) for s, w in zip(names, _path(own, want, a))}
+
+    def at(size: float) -> dict[str, float]:
+        fits = lambda a: all(w * size <= can[s] * (1 + 1e-12) for s, w in zip(names, _path(own, want, a)))
+        if fits(1.0):
+            a = 1.0
+        else:
+            lo, hi = 0.0, 1.0
+            for _ in range(STEPS):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if fits(mid) else (lo, mid)
+            a = lo
+        return {s: min(float(can[s]), w * size) for s, w in zip(names, _path(own, want, a))}
+
+    if total is not None:
+        return at(total)
+    sizes = sorted(can[s] / w for s, w in zip(names, want))
+    if documents is None:
+        return at(sizes[0])
+    missed = sum(tokens[s] / documents[s] for s in names) / 4
+
+    def off(budgets: dict[str, float]) -> float:
+        size = sum(budgets.values())
+        return sum(abs(budgets[s] / size - w) for s, w in zip(names, want)) + missed / size
+
+    return min(map(at, sizes), key=off)
 
 
 def mix(
@@ -106,7 +124,7 @@ def mix(
     ordered = counted.withColumn("turn", F.xxhash64(F.lit(seed), "doc_id"))
     ordered = materialize(ordered, "mixture")
     sums = {r.source: (r.n, r.t) for r in ordered.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}
-    budgets = plan_budgets({s: t for s, (_, t) in sums.items()}, wanted, total)
+    budgets = plan_budgets({s: t for s, (_, t) in sums.items()}, wanted, total, {s: n for s, (n, _) in sums.items()})
 
     plan = []
     for s, b in budgets.items():

@@ -221,6 +221,20 @@ def test_mix(spark, block_docs, monkeypatch):
     assert {(r.doc_id, r.copies) for r in again.collect()} == {(r.doc_id, r.copies) for r in rows}
 
 
+def test_mix_with_a_source_of_one_short_document(spark):
+    """Its end would be a mixture too small for a document of any other source."""
+    sources = ["tiny"] + ["big"] * 300 + ["mid"] * 100
+    df = spark.createDataFrame([(i, " ".join(["word"] * (4 if s == "tiny" else 300)), s) for i, s in enumerate(sources)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.4, 2), ("tiny", 0.1, 2)], "source string, target_share double, max_repeats int")
+    chosen, report = mixture.mix(df, targets)
+    share = {r.source: r.share for r in report.collect()}
+    assert abs(share["big"] - 0.5) + abs(share["mid"] - 0.4) + abs(share["tiny"] - 0.1) < 0.6
+    assert share["mid"] > 0.2 and all(r.copies <= 2 for r in chosen.collect())
+    # Large enough sources are mixed as before: the targets are met.
+    tokens_of, wants = {"a": 100_000, "b": 50_000}, {"a": (0.5, 1), "b": (0.5, 1)}
+    assert mixture.plan_budgets(tokens_of, wants, documents={"a": 1000, "b": 500}) == pytest.approx({"a": 50_000, "b": 50_000})
+
+
 def test_mix_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     targets = spark.createDataFrame([("a", 1.0, None), (None, None, 1)], "source string, target_share double, max_repeats int")
