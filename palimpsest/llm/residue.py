@@ -253,7 +253,7 @@ def has_filler(low: str, code: bool) -> bool:
     """Whether filler covers most of a paragraph, element or value; in program text, of a comment."""
     if code:
         return any(_is_filler(b.replace("\n", by)) for b in _comment_blocks(low) for by in (" ", ""))
-    return any(_is_filler(u) for u in _UNITS.split(_without_code(low)) if u and len(u) > 8)
+    return any(_is_filler(u) for u in _UNITS.split(_without_code(low)) if u)
 
 
 def is_template_path(path: str) -> bool:

@@ -279,6 +279,13 @@ def test_residue(path, text, kinds):
     assert residue.kinds_of(text, path) == kinds
 
 
+@pytest.mark.parametrize("phrase", ["ダミーテキスト", "示例文本"])
+def test_short_filler(phrase):
+    for path, text in (("a.md", f"# Pump\n\n{phrase}\n\nThe pump runs.\n"), ("a.html", f"<h1>Pump</h1><p>{phrase}</p><p>The pump runs.</p>"), ("a.json", f'{{\n  "a": "{phrase}",\n  "b": "x"\n}}\n')):
+        assert residue.kinds_of(text, path) == ["filler"]
+    assert residue.kinds_of("# Pump\n\nx\n\nok\n\nThe word for it is " + phrase + " in that language.\n", "a.md") == []
+
+
 def test_residue_column(spark):
     df = spark.createDataFrame([(i, t, p, "x") for i, (p, t, _) in enumerate(CASES)], "doc_id long, text string, file_path string, kinds string")
     got = {r.doc_id: r.kinds for r in residue.residue(df).collect()}
