@@ -98,6 +98,11 @@ TEMPLATE_FOLDERS = frozenset(("template", "templates", "scaffold", "scaffolds",
 TEMPLATE_ENDINGS = (".tmpl", ".tpl", ".template", ".j2", ".jinja", ".jinja2", ".erb", ".mustache", ".hbs", ".handlebars", ".ejs", ".in", ".liquid", ".twig", ".dist", ".sample", ".cookiecutter")
 _CODE = frozenset(("py", "pyi", "js", "mjs", "cjs", "jsx", "ts", "tsx", "go", "java", "rs", "c", "h", "cc", "cpp", "hpp", "css", "scss", "sql", "sh", "bash", "kt", "rb", "php", "swift", "scala"))
 
+_HASH = frozenset(("py", "pyi", "sh", "bash", "rb", "php"))
+_DASH = frozenset(("sql",))
+_TRIPLE = frozenset(("py", "pyi", "kt", "java", "scala", "swift"))
+_TICK = frozenset(("js", "mjs", "cjs", "jsx", "ts", "tsx", "go"))
+
 SLOT, PAGE, NOTICE, FILLER = "slot", "page", "notice", "filler"
 
 #: Words of pages that carry an error but say nothing themselves.
@@ -108,6 +113,14 @@ _ELEMENTS = re.compile(r"<(script|style|title)\b[^>]*>.*?</\1\s*>", re.S)
 _TAG = re.compile(r"</?[a-z!?][^<>\n]*>")
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?^[ \t]*\1[^\n]*$|`[^`\n]+`", re.S | re.M)
 _COMMENT = re.compile(r"^\s*(?:#(?!!)|//+|/\*+|\*(?!/)|--|;|<!--)\s?(.*?)(?:\s*(?:\*/|-->))?$")
+#: Between paragraphs of a comment: a line of nothing but its signs.
+_COMMENT_BREAK = re.compile(r"\n[ \t\r]*(?:#+|//+|\*|--|;)?[ \t\r]*(?=\n)")
+_COMMENT_SIGNS = re.compile(r"^[ \t]*(?:#+|//+|/\*+|\*(?!/)|--|;)?[ \t]?|[ \t]*(?:\*+/)?[ \t\r]*$", re.M)
+#: What a value that stands alone has before it, its name, and behind it.
+_NAMED, _ENDS = re.compile(r"[\w\])\"'][ \t]*(?::?=|:)[ \t]*$"), re.compile(r"[ \t]*(?:[,;})\]\r\n]|#|//|--|$)")
+#: Where filler is made, tested or listed.
+_MAKER = re.compile(r"\b(?:rand\w*|shuffle\w*|sample|choices?|split|expect)[ \t]*\(|\bfaker\b|\bassert")
+_TEST_PATH = re.compile(r"(?:^|[/._-])(?:tests?|specs?|fixtures?|mocks?|messages?|locales?|i18n|faker|lorem)(?:[/._-]|$)")
 _MASH = re.compile(r"(?:\b[asdfghjkl]{2,9}\b[ .,\n]+){7,}")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _UNITS = re.compile(r'\n[ \t\r]*\n|</?(?:p|h\d|li|td|th|div|section|br|footer|header|body|html|head|title|ul|ol|tr|table|blockquote|main|article|span|a)\b[^>]*>|"\s*:\s*"|",?\s*\n|:\s+"')
@@ -199,9 +212,52 @@ def _without_code(low: str) -> str:
     return _FENCE.sub(" ", low)
 
 
-def has_open_slot(low: str, code: bool) -> bool:
-    """Whether a slot stands outside code spans; in program text, in a comment."""
+@lru_cache(32)
+def _lexer(ending: str) -> re.Pattern[str]:
+    """Comments and string literals of program text, so that none is looked for inside another."""
+    marks = [r"(?P<block>/\*.*?(?:\*/|\Z))"] if ending not in _HASH or ending == "php" else []
+    if ending in _TRIPLE:
+        marks.append(r'(?P<triple>"""(?:\\.|(?!""").)*(?:"""|\Z)|' + r"'''(?:\\.|(?!''').)*(?:'''|\Z))")
+    if ending in _TICK:
+        marks.append(r"(?P<tick>`(?:\\.|[^`\\])*(?:`|\Z))")
+    marks.append(r'(?P<string>"(?:\\.|[^"\\\n])*"|' + r"'(?:\\.|[^'\\\n])*')")
+    if ending in _HASH:
+        marks.append(r"(?P<hash>(?<![^\s;,)\]}])#[^\n]*)")
+    if ending in _DASH:
+        marks.append(r"(?P<dash>--[^\n]*)")
+    elif ending not in _HASH and ending != "css" or ending == "php":
+        marks.append(r"(?P<line>(?<!:)//[^\n]*)")
+    return re.compile("|".join(marks), re.S)
+
+
+_HEAD = re.compile(r"(?:[ \t\r]*(?:#[^\n]*)?\n)*[ \t]*")
+
+
+def _is_docstring(text: str, begin: int) -> bool:
+    """Whether what begins at ``begin`` is first on its line, and behind a block's colon or nothing but comments."""
+    before = text[max(0, begin - 200) : begin]
+    plain = before.rstrip()
+    return "\n" in before[len(plain) :] and plain[-1:] == ":" and plain[-2:-1] not in ("'", '"') or begin == _HEAD.match(text).end()
+
+
+def _lexed(text: str, ending: str) -> Iterator[tuple[int, int, bool]]:
+    """Comments and docstrings (True), and values that stand alone behind their name (False)."""
+    for m in _lexer(ending).finditer(text):
+        lo, hi = m.span()
+        if m.lastgroup == "block" and not text.endswith("*/", lo, hi):
+            continue
+        if m.lastgroup not in ("string", "triple", "tick"):
+            yield lo, hi, True
+        elif ending in ("py", "pyi") and _is_docstring(text, lo):
+            yield lo, hi, True
+        elif _NAMED.search(text[max(0, lo - 40) : lo]) and _ENDS.match(text, hi):
+            yield lo, hi, False
+
+
+def has_open_slot(low: str, code: bool, ending: str = "", raw: str = "") -> bool:
+    """Whether a slot stands outside code spans; in program text, in a comment or docstring."""
     text = _without_code(low)
+    said: list[tuple[int, int]] | None = None
     for last, (kind, n) in automaton().iter(text):
         if kind != SLOT:
             continue
@@ -213,6 +269,12 @@ def has_open_slot(low: str, code: bool) -> bool:
         begin, end = text.rfind("\n", 0, lo) + 1, text.find("\n", hi)
         if _COMMENT.match(text[begin : end if end >= 0 else len(text)]):
             return True
+        if said is None:
+            said = [(a, b) for a, b, spoken in _lexed(text, ending) if spoken]
+            cased = _without_code(raw) if len(raw) == len(low) else text
+        # Of Python's own names (``__version__``) docstrings and comments may speak.
+        if any(a <= lo and hi <= b for a, b in said) and not (ending in ("py", "pyi") and cased[lo:hi].startswith("__") and cased[lo:hi] == text[lo:hi]):
+            return True
     return False
 
 
@@ -249,11 +311,38 @@ def _comment_blocks(low: str) -> Iterator[str]:
         yield "\n".join(block)
 
 
-def has_filler(low: str, code: bool) -> bool:
-    """Whether filler covers most of a paragraph, element or value; in program text, of a comment."""
-    if code:
-        return any(_is_filler(b.replace("\n", by)) for b in _comment_blocks(low) for by in (" ", ""))
-    return any(_is_filler(u) for u in _UNITS.split(_without_code(low)) if u)
+def _spoken_filler(body: str) -> bool:
+    """Whether a paragraph of a comment or docstring is filler, its signs left out."""
+    for part in _COMMENT_BREAK.split(body.strip("\"'")):
+        plain = _COMMENT_SIGNS.sub("", part)
+        if any(_is_filler(plain.replace("\n", by)) for by in (" ", "")):
+            return True
+    return False
+
+
+def has_filler(low: str, code: bool, ending: str = "", values: bool = True) -> bool:
+    """Whether filler covers most of a paragraph, element or value; in program text, of a
+    comment, a paragraph of it or of a docstring, or of a value.
+
+    A value in program text needs FILLER_WORDS words, since labels read like short filler,
+    and the program must not make or test filler itself.
+    """
+    if not code:
+        return any(_is_filler(u) for u in _UNITS.split(_without_code(low)) if u)
+    for b in _comment_blocks(low):
+        for part in (b, *re.split(r"\n\s*\n", b)):
+            if any(_is_filler(part.replace("\n", by)) for by in (" ", "")):
+                return True
+    values = values and not _MAKER.search(low)
+    for lo, hi, spoken in _lexed(low, ending):
+        if spoken:
+            if _spoken_filler(low[lo:hi]):
+                return True
+        elif values:
+            unit = low[lo:hi].strip("\"'`")
+            if len(_WORD.findall(unit)) >= FILLER_WORDS and any(_is_filler(u) for u in re.split(r"\n\s*\n|(?:\\n){2}", unit)):
+                return True
+    return False
 
 
 def is_template_path(path: str) -> bool:
@@ -280,14 +369,15 @@ def kinds_of(text: str | None, path: str | None) -> list[str]:
     seen: dict[str, int] = {}
     for _, (kind, _n) in automaton().iter(low):
         seen[kind] = seen.get(kind, 0) + 1
-    code = path.rpartition(".")[2].lower() in _CODE
+    ending = path.rpartition(".")[2].lower()
+    code = ending in _CODE
     template = is_template_path(path)
     found = []
-    if SLOT in seen and not template and has_open_slot(low, code):
+    if SLOT in seen and not template and has_open_slot(low, code, ending, text):
         found.append(SLOT)
     if (PAGE in seen or NOTICE in seen) and is_page(low):
         found.append(PAGE)
-    if (FILLER in seen or seen.get("word", 0) >= 3 or _MASH.search(low)) and not template and has_filler(low, code):
+    if (FILLER in seen or seen.get("word", 0) >= 3 or _MASH.search(low)) and not template and has_filler(low, code, ending, not _TEST_PATH.search(path.lower())):
         found.append(FILLER)
     return found
 

@@ -286,6 +286,34 @@ def test_short_filler(phrase):
     assert residue.kinds_of("# Pump\n\nx\n\nok\n\nThe word for it is " + phrase + " in that language.\n", "a.md") == []
 
 
+LATIN = "Lorem ipsum dolor sit amet velit fugiat porta. Ullam sit nunc labore sit magna."
+WITHIN_CODE = [
+    ("a.py", f'def f():\n    """{LATIN}"""\n    return 1\n', ["filler"]),
+    ("a.py", f'# Copyright.\n\n"""The pump and the valve it feeds.\n\n{LATIN}\n"""\nx = 1\n', ["filler"]),
+    ("a.py", f'class A:\n    about = "{LATIN}"\n', ["filler"]),
+    ("a.js", f"const x = {{ about: '{LATIN}' }};\n", ["filler"]),
+    ("a.go", f"x := 1 // {LATIN}\n", ["filler"]),
+    ("a.c", f"/*\n{LATIN}\n*/\nint x;\n", ["filler"]),
+    ("a.java", f"/**\n * The pump feeds the valve, and the valve feeds all of the gauges behind it.\n *\n * {LATIN}\n */\nint x;\n", ["filler"]),
+    ("a.go", f"// The pump feeds the valve, and the valve feeds all of the gauges behind it.\n//\n// {LATIN}\nx := 1\n", ["filler"]),
+    ("a.c", "/*\n  Written by __AUTHOR__ for the valve.\n*/\nint x;\n", ["slot"]),
+    ("a.go", "x := 1 // kept by %OWNER_TEAM%\n", ["slot"]),
+    ("a.py", 'def f():\n    """Written by __AUTHOR__."""\n', ["slot"]),
+    ("a.py", 'def f():\n    """Reads __version__ of the module."""\n', []),
+    ("a.py", 'def fill(t):\n    """Fill it."""\n    return t.replace("__TITLE__", "# __TITLE__")\n', []),
+    ("gen.py", f'import random\n\nTEXT = "{LATIN}"\n\ndef p():\n    return random.choice(TEXT.split())\n', []),
+    ("tests/a.js", f"const x = '{LATIN}';\n", []),
+    ("a.js", f"show('{LATIN}');\n", []),
+    ("a.js", "const label = 'Coming soon';\n", []),
+    ("a.js", "const x = `made by ${author}`; // the pump\n", []),
+]
+
+
+@pytest.mark.parametrize(("path", "text", "kinds"), WITHIN_CODE)
+def test_residue_within_code(path, text, kinds):
+    assert residue.kinds_of(text, path) == kinds
+
+
 def test_residue_column(spark):
     df = spark.createDataFrame([(i, t, p, "x") for i, (p, t, _) in enumerate(CASES)], "doc_id long, text string, file_path string, kinds string")
     got = {r.doc_id: r.kinds for r in residue.residue(df).collect()}
