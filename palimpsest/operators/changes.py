@@ -2,32 +2,43 @@
 
 Every change is an image at a position of a file.  An index takes each key to the
 position of the image that decides it; all other positions are superseded and their
-bits are set in their file's bitmap, kept as blocks of 65,536 positions.  Reading is a
-scan that leaves out the positions whose bit is set: values are never shuffled.
+bits are set in their file's bitmap.  Reading is a scan in which each task loads the
+bitmap of the file it reads and leaves out the positions whose bit is set.  Values are
+never shuffled and bitmaps never broadcast, whatever their size.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import uuid
+from collections import OrderedDict
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.steps import step_columns, strip_space
-from palimpsest.session import materialize, new_path
+from palimpsest.session import commit_file, file_names, materialize, new_path, read_file
+from palimpsest.sources import files
 
 #: Spellings that mean a deletion, after trimming and lower-casing.
 DELETE_OPS = ("d", "del", "delete", "deleted", "remove", "removed", "rm", "erase", "drop", "tombstone")
 
-#: Positions up to which a read broadcasts the bitmaps (a bit each, so 16 MB); beyond it joins by block.
-BROADCAST_POSITIONS = 1 << 27
 #: Domains up to which the merge jobs are broadcast.
 BROADCAST_JOBS = 100_000
-#: 64-bit words of a block.
-BLOCK_WORDS = 1024
+#: Positions a bitmap file covers (a bit each, so 1 MB); a data file has as many as its rows need.
+SEGMENT = 1 << 23
+#: Bitmap files a worker keeps at hand.
+HELD_SEGMENTS = 16
 
-FILE, WORD, BLOCK, BITS, POS = "__file", "__word", "__block", "__superseded", "__pos"
+FILE, POS = "__file", "__pos"
+_SIZE, _WON, _LOST = 0, 1, 2
+
+
+class VersionError(RuntimeError):
+    """A version that another writer has committed already, or a folder that holds no table."""
 
 
 def is_deletion(op: Column, value: Column) -> Column:
@@ -51,41 +62,118 @@ def key_index(images: DataFrame, keys: Sequence[str], rank: Sequence[str]) -> Da
     return images.groupBy(*keys).agg(best).select(*keys, *[F.col(f"best.{c}").alias(c) for c in (*rank, FILE, POS)])
 
 
-def _word_bits(positions: DataFrame) -> DataFrame:
-    bit = F.expr(f"shiftleft(1L, cast({POS} % 64 as int))")
-    return positions.groupBy(FILE, F.expr(f"{POS} div 64").alias(WORD)).agg(F.bit_or(bit).alias("bits"))
+def file_lengths(images: DataFrame) -> DataFrame:
+    return images.groupBy(FILE).agg((F.max(POS) + 1).alias("rows"))
+
 
+def _latest(names: list[str], segment: int, commits: dict[int, str]) -> str | None:
+    """Of a data file's bitmap files the newest of a segment that a committed version wrote."""
+    best: tuple[int, str] | None = None
+    for name in names:
+        part, _, rest = name.partition("-")
+        number, _, attempt = rest.partition("-")
+        if part.isdigit() and number.isdigit() and int(part) == segment and commits.get(int(number)) == attempt:
+            best = max(best or (-1, ""), (int(number), name))
+    return best and best[1]
 
-def _blocks(words: DataFrame) -> DataFrame:
-    """``file, block, superseded``: words, all of each file, put together as arrays of BLOCK_WORDS."""
-    listed = F.array_sort(F.collect_list(F.struct(WORD, "bits")))
-    return words.groupBy(FILE, F.expr(f"{WORD} div {BLOCK_WORDS}").alias(BLOCK)).agg(F.transform(listed, lambda x: x["bits"]).alias(BITS))
 
+def _folder(root: str, file: int) -> str:
+    return f"{root}/{file & (2**64 - 1):016x}"
 
-def _words(blocks: DataFrame) -> DataFrame:
-    return blocks.select(FILE, BLOCK, F.posexplode(BITS).alias("at", "bits")).select(FILE, F.expr(f"{BLOCK} * {BLOCK_WORDS} + at").alias(WORD), "bits")
 
+def _load(root: str, file: int, segment: int, commits: dict[int, str]) -> np.ndarray | None:
+    folder = _folder(root, file)
+    name = _latest(files.names(folder), segment, commits)
+    return None if name is None else np.frombuffer(files.read(f"{folder}/{name}"), np.uint8)
 
-def superseded_words(index: DataFrame, lengths: DataFrame) -> DataFrame:
-    """``file, word, bits``: a bit is set where no key's index points to the position.  ``lengths``: rows of each file."""
-    words = lengths.select(FILE, F.col("rows"), F.explode(F.expr("sequence(0L, (rows - 1) div 64)")).alias(WORD))
-    there = F.when(F.col("rows") - F.col(WORD) * 64 >= 64, F.lit(-1)).otherwise(F.expr(f"shiftleft(1L, cast(rows - {WORD} * 64 as int)) - 1"))
-    bits = F.coalesce(F.bitwise_not("bits"), F.lit(-1)).bitwiseAND(there)
-    return words.join(_word_bits(index), [FILE, WORD], "left").select(FILE, WORD, bits.alias("bits"))
 
+def _parts(df: DataFrame, kind: int) -> DataFrame:
+    return df.select(FILE, F.expr(f"{POS} div {SEGMENT}").alias("segment"), F.lit(kind).alias("kind"), F.expr(f"cast({POS} % {SEGMENT} as int)").alias("at"))
 
-def delete_vectors(index: DataFrame, lengths: DataFrame) -> DataFrame:
-    """The bitmaps of all files, a row a block."""
-    return _blocks(superseded_words(index, lengths))
 
+def write_vectors(root: str, commits: dict[int, str], version: int, attempt: str, lengths: DataFrame, won: DataFrame, lost: DataFrame | None = None) -> DataFrame:
+    """Writes the bitmaps of the files of ``lengths``, all superseded but for the positions ``won``; and sets
+    the bits of ``lost`` in the held bitmaps of other files.  ``file, segment, superseded`` of each written.
 
-def read_live(images: DataFrame, vectors: DataFrame, positions: int) -> DataFrame:
-    """The images whose bit is not set.  ``positions``: rows of all files, which the bitmaps have a bit for."""
-    side = F.broadcast(vectors) if positions <= BROADCAST_POSITIONS else vectors
-    joined = images.withColumn(BLOCK, F.expr(f"{POS} div {64 * BLOCK_WORDS}")).join(side, [FILE, BLOCK], "left")
-    word = F.expr(f"element_at({BITS}, cast({POS} div 64 % {BLOCK_WORDS} as int) + 1)")
-    live = F.col(BITS).isNull() | (word.bitwiseAND(F.expr(f"shiftleft(1L, cast({POS} % 64 as int))")) == 0)
-    return joined.where(live).drop(FILE, BLOCK, BITS, POS)
+    One exchange of positions; a task writes a segment at a time.  Only segments with a
+    change are written, under names of this version and attempt.
+    """
+    size = SEGMENT
+    whole = lengths.select(FILE, F.col("rows"), F.explode(F.expr(f"sequence(0L, (rows - 1) div {size})")).alias("segment"))
+    whole = whole.select(FILE, "segment", F.lit(_SIZE).alias("kind"), F.expr(f"cast(least(rows - segment * {size}, {size}) as int)").alias("at"))
+    rows = whole.unionByName(_parts(won, _WON))
+    if lost is not None:
+        rows = rows.unionByName(_parts(lost, _LOST))
+    rows = rows.repartition(FILE, "segment").sortWithinPartitions(FILE, "segment", "kind")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: tuple[int, int] | None = None
+        bits = np.zeros(0, np.uint8)
+        done: list[tuple[int, int, int]] = []
+
+        def close() -> None:
+            if current is not None:
+                files.publish(f"{_folder(root, current[0])}/{current[1]:06d}-{version:08d}-{attempt}", np.packbits(bits, bitorder="little").tobytes())
+                done.append((*current, int(bits.sum())))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            file, segment, kind, at = (c.to_numpy() for c in batch.columns)
+            change = np.flatnonzero((file[1:] != file[:-1]) | (segment[1:] != segment[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for lo, hi in zip([0, *change], [*change, len(file)]):
+                here = (int(file[lo]), int(segment[lo]))
+                if here != current:
+                    close()
+                    current = here
+                    if kind[lo] == _SIZE:
+                        bits = np.ones(at[lo], np.uint8)
+                    else:
+                        held = _load(root, *here, commits)
+                        if held is None:
+                            raise VersionError(f"no bitmap of file {here[0]}, segment {here[1]}")
+                        bits = np.unpackbits(held, bitorder="little")
+                if kind[lo] != _SIZE:
+                    bits[at[lo:hi]] = 0 if kind[lo] == _WON else 1
+        close()
+        columns = [pa.array([d[i] for d in done], pa.int64()) for i in range(3)]
+        yield pa.record_batch(columns, names=["file", "segment", "superseded"])
+
+    # Written down, so that the work is done here and once.
+    return materialize(rows.mapInArrow(work, "file long, segment long, superseded long"), "vectors")
+
+
+def read_live(images: DataFrame, root: str, commits: dict[int, str]) -> DataFrame:
+    """The images whose bit is not set.  Each scan task loads its own file's bitmap: no shuffle, no broadcast.
+
+    A file without a bitmap raises VersionError, so none is ever read as if nothing were superseded.
+    """
+    held: OrderedDict[tuple[int, int], np.ndarray] = OrderedDict()
+    size, most = SEGMENT, HELD_SEGMENTS
+
+    def bitmap(file: int, segment: int) -> np.ndarray:
+        if (file, segment) not in held:
+            found = _load(root, file, segment, commits)
+            if found is None:
+                raise VersionError(f"no bitmap of file {file}, segment {segment}")
+            held[file, segment] = found
+            if len(held) > most:
+                held.popitem(last=False)
+        return held[file, segment]
+
+    @F.arrow_udf("boolean")
+    def live(file: pa.Array, pos: pa.Array) -> pa.Array:
+        f, p = file.to_numpy(), pos.to_numpy()
+        segment, at = p // size, p % size
+        out = np.zeros(len(p), bool)
+        change = np.flatnonzero((f[1:] != f[:-1]) | (segment[1:] != segment[:-1])) + 1
+        for lo, hi in zip([0, *change], [*change, len(p)]):
+            if hi > lo:
+                bits, x = bitmap(int(f[lo]), int(segment[lo])), at[lo:hi]
+                out[lo:hi] = (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 0
+        return pa.array(out)
+
+    return images.where(live(F.col(FILE), F.col(POS))).drop(FILE, POS)
 
 
 def current_state(feed: DataFrame, keys: Sequence[str], rank: Sequence[str]) -> DataFrame:
@@ -95,12 +183,10 @@ def current_state(feed: DataFrame, keys: Sequence[str], rank: Sequence[str]) ->
     own; a null rank is the lowest; an empty feed gives no rows.
     """
     images = with_positions(feed)
-    lengths = images.groupBy(FILE).agg((F.max(POS) + 1).alias("rows"))
-    lengths = materialize(lengths, "lengths")
-    positions = lengths.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     index = key_index(images.select(*keys, *rank, FILE, POS), keys, rank)
-    vectors = materialize(delete_vectors(index, lengths), "delete-vectors")
-    return read_live(images, vectors, positions)
+    root, commits = new_path(feed.sparkSession, "delete-vectors"), {0: "once"}
+    write_vectors(root, commits, 0, commits[0], file_lengths(images), index)
+    return read_live(images, root, commits)
 
 
 def keeps_tombstones(jobs: DataFrame) -> DataFrame:
@@ -129,62 +215,98 @@ def apply_change_feed(feed: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 class VersionedTable:
-    """A table of image files with delete vectors, changed batch by batch.
+    """A table of image files with delete vectors, changed batch by batch, each a version.
+
+    A version is a manifest file that names all data files, index runs and bitmaps; it
+    is put under its number by a rename that fails where the number is taken, so of two
+    writers one wins and the other raises VersionError.  What a batch writes has names of
+    its own attempt and counts only through a manifest: a driver killed halfway leaves
+    unnamed files, and the batch is applied again.  An object on the path of a table
+    opens its newest version.
 
     The index is a list of runs; a batch adds a run with the keys it has, and of the
     held runs only those keys' rows are taken.  Every INDEX_RUNS runs they are made one.
-    Files are only added, so an earlier version stays readable and a lost task is run
-    again without harm.  A batch older than what the table holds is appended with its
-    bits set; null keys are keys of their own.
+    Bitmaps are written anew only of files in which a bit changes.  A batch older than
+    what the table holds is appended with its bits set; null keys are keys of their own.
     """
 
     INDEX_RUNS = 16
 
-    def __init__(self, spark: SparkSession, path: str | None, keys: Sequence[str], rank: Sequence[str]):
-        self.spark, self.keys, self.rank = spark, list(keys), list(rank)
+    def __init__(self, spark: SparkSession, path: str | None, keys: Sequence[str] | None = None, rank: Sequence[str] | None = None):
+        self.spark = spark
         self.path = path or new_path(spark, "versioned")
+        self.keys, self.rank = list(keys or ()), list(rank or ())
         self.data: list[str] = []
         self.index: list[str] = []
-        self.vectors: str | None = None
-        self.positions = 0
+        self.commits: dict[int, str] = {}
+        self.batches: dict[str, int] = {}
         self.version = 0
-
-    def apply(self, batch: DataFrame) -> None:
-        number = self.version + 1
-        data = f"{self.path}/data/{number:08d}"
+        numbers = sorted(int(n[:-5]) for n in file_names(spark, f"{self.path}/versions") if n.endswith(".json") and n[:-5].isdigit())
+        if numbers:
+            held = json.loads(read_file(spark, f"{self.path}/versions/{numbers[-1]:08d}.json"))
+            if (keys and list(keys) != held["keys"]) or (rank and list(rank) != held["rank"]):
+                raise VersionError(f"the table at {self.path} has keys {held['keys']} and rank {held['rank']}")
+            self.version, self.keys, self.rank, self.batches = held["version"], held["keys"], held["rank"], held["batches"]
+            self.data, self.index = ([f"{self.path}/{x}" for x in held[k]] for k in ("data", "index"))
+            self.commits = {int(k): v for k, v in held["commits"].items()}
+        elif not keys or not rank:
+            raise VersionError(f"no table at {self.path}")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> VersionedTable:
+        """The newest version of the table at ``path``; none there raises VersionError."""
+        return cls(spark, path)
+
+    @property
+    def _vectors(self) -> str:
+        return f"{self.path}/vectors"
+
+    def apply(self, batch: DataFrame, source: str | None = None, number_in_source: int | None = None) -> bool:
+        """Adds a version; False where ``source`` had this batch, or a later one, applied before."""
+        if source is not None and self.batches.get(source, -1) >= number_in_source:
+            return False
+        number, attempt = self.version + 1, uuid.uuid4().hex[:12]
+        data = f"{self.path}/data/{number:08d}-{attempt}"
         batch.write.parquet(data)
-        images = with_positions(self.spark.read.parquet(data))
-        lengths = images.groupBy(FILE).agg((F.max(POS) + 1).alias("rows"))
+        images = with_positions(self.spark.read.schema(batch.schema).parquet(data))
         both = fresh = key_index(images.select(*self.keys, *self.rank, FILE, POS), self.keys, self.rank)
-        old = None
+        old = lost = None
         if self.index:
             asked = fresh.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(self.keys)])
             same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(self.keys)]
             old = self.spark.read.parquet(*self.index).join(asked, same, "left_semi")
             both = old.unionByName(fresh)
-        run = f"{self.path}/index/{number:08d}"
+        run = f"{self.path}/index/{number:08d}-{attempt}"
         key_index(both, self.keys, self.rank).write.parquet(run)
         won = self.spark.read.parquet(run)
-        words = superseded_words(won.join(lengths.select(FILE), FILE, "left_semi"), lengths)
+        lengths = file_lengths(images)
+        own = won.join(lengths.select(FILE), FILE, "left_semi")
         if old is not None:
-            # Held images of the batch's keys that no longer win: their bits are set in their own files' words.
-            lost = _word_bits(old.join(won.select(FILE, POS), [FILE, POS], "left_anti"))
-            words = words.unionByName(_words(self.spark.read.parquet(self.vectors))).unionByName(lost)
-            words = words.groupBy(FILE, WORD).agg(F.bit_or("bits").alias("bits"))
-        path = f"{self.path}/vectors/{number:08d}"
-        _blocks(words).write.parquet(path)
+            # Held images of the batch's keys that no longer win: their bits are set in their own files' bitmaps.
+            lost = old.join(won.select(FILE, POS), [FILE, POS], "left_anti").select(FILE, POS).distinct()
+        write_vectors(self._vectors, self.commits, number, attempt, lengths, own, lost)
         index = [*self.index, run]
         if len(index) >= self.INDEX_RUNS:
-            whole = f"{self.path}/index/{number:08d}-whole"
+            whole = f"{self.path}/index/{number:08d}-{attempt}-whole"
             key_index(self.spark.read.parquet(*index), self.keys, self.rank).write.parquet(whole)
             index = [whole]
-        self.data.append(data)
-        self.index, self.vectors, self.version = index, path, number
-        self.positions += images.count()
+        self._commit(number, [*self.data, data], index, {**self.commits, number: attempt}, self.batches if source is None else {**self.batches, source: number_in_source})
+        return True
+
+    def _commit(self, number: int, data: list[str], index: list[str], commits: dict[int, str], batches: dict[str, int]) -> None:
+        held = self._manifest(number, data, index, commits, batches)
+        if not commit_file(self.spark, f"{self.path}/versions/{number:08d}.json", held):
+            raise VersionError(f"version {number} of {self.path} has been committed by another writer")
+        self.version, self.data, self.index, self.commits, self.batches = number, data, index, commits, batches
+
+    def _manifest(self, number: int, data: list[str], index: list[str], commits: dict[int, str], batches: dict[str, int]) -> str:
+        inside = lambda paths: [p.removeprefix(self.path + "/") for p in paths]
+        return json.dumps({"version": number, "keys": self.keys, "rank": self.rank, "data": inside(data), "index": inside(index), "commits": commits, "batches": batches})
 
     def manifest(self) -> str:
-        return json.dumps({"version": self.version, "data": self.data, "index": self.index, "vectors": self.vectors})
+        return self._manifest(self.version, self.data, self.index, self.commits, self.batches)
 
     def read(self) -> DataFrame:
-        images = with_positions(self.spark.read.parquet(*self.data))
-        return read_live(images, self.spark.read.parquet(self.vectors), self.positions)
+        if not self.data:
+            raise VersionError(f"the table at {self.path} has no version yet")
+        return read_live(with_positions(self.spark.read.parquet(*self.data)), self._vectors, self.commits)

@@ -58,6 +58,55 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, fs = _hadoop(spark, path)
+    return fs.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, fs = _hadoop(spark, path)
+    fs.delete(where, True)
+
+
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, by Spark's own file systems; none where there is no such folder."""
+    where, fs = _hadoop(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    return bytes(spark.read.format("binaryFile").load(path).first().content).decode()
+
+
+def commit_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Puts a small file under a name none has yet, whole or not at all; False where the name is taken."""
+    jvm = spark.sparkContext._jvm
+    where, fs = _hadoop(spark, path)
+    fs.mkdirs(where.getParent())
+    temporary = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(temporary, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    rule = jvm.org.apache.hadoop.fs.Options.Rename
+    rules = spark.sparkContext._gateway.new_array(rule, 1)
+    rules[0] = rule.NONE
+    try:
+        context.rename(temporary, where, rules)
+        return True
+    except Exception:
+        fs.delete(temporary, False)
+        if fs.exists(where):
+            return False
+        raise
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
 from pyarrow import fs as pafs
 
+#: Hadoop's names of file systems that Arrow has under another.
+_ALIASES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "abfss": "abfs"}
+
 
 def of(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system and the path in it.  A plain path is local; so is Hadoop's ``file:/a``."""
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = "file://" + path.removeprefix("file:")
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    if path.startswith("file:/"):
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    scheme, mark, rest = path.partition("://")
+    if not mark:
+        return pafs.LocalFileSystem(), path
+    return pafs.FileSystem.from_uri(f"{_ALIASES.get(scheme, scheme)}://{quote(rest, safe='/:@?&=%')}")
 
 
 def name(path: str) -> str:
@@ -33,6 +42,41 @@ def write(path: str, data: bytes) -> None:
         f.write(data)
 
 
+def read_range(path: str, at: int, size: int) -> bytes:
+    """Up to ``size`` bytes from ``at`` on."""
+    fs, inner = of(path)
+    with fs.open_input_file(inner) as f:
+        f.seek(min(at, f.size()))
+        return f.read(size)
+
+
+def size(path: str) -> int:
+    fs, inner = of(path)
+    return fs.get_file_info(inner).size
+
+
+def publish(path: str, data: bytes) -> None:
+    """Writes a file whole under its name or not at all; attempts of one task may do so at once, with equal data."""
+    fs, inner = of(path)
+    fs.create_dir(inner.rpartition("/")[0], recursive=True)
+    temporary = f"{inner}.{uuid.uuid4().hex}.tmp"
+    with fs.open_output_stream(temporary) as f:
+        f.write(data)
+    try:
+        fs.move(temporary, inner)
+    except OSError:
+        # Some file systems do not move onto a file; then another attempt was first.
+        if fs.get_file_info(inner).type != pafs.FileType.File:
+            raise
+        fs.delete_file(temporary)
+
+
+def names(folder: str) -> list[str]:
+    """Names in a folder; none where there is no such folder."""
+    fs, inner = of(folder)
+    return [f.base_name for f in fs.get_file_info(pafs.FileSelector(inner, allow_not_found=True)) if f.type == pafs.FileType.File]
+
+
 def make_folder(path: str) -> None:
     fs, inner = of(path)
     fs.create_dir(inner, recursive=True)

@@ -17,13 +17,13 @@ from palimpsest.operators.intervals import IntervalMap
 def stream_into(changes: DataFrame, table: VersionedTable, checkpoint: str, **options: str) -> StreamingQuery:
     """Applies each micro-batch of a change stream to ``table`` as one version.
 
-    The table keeps the largest rank of a key, so a batch that is run again after a
-    failure changes nothing but the copies it leaves superseded.
+    A version keeps the number of the batch it took, under the checkpoint's name, so a
+    batch that a restarted stream hands over again is not applied twice.
     """
 
-    def apply(batch: DataFrame, _number: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            table.apply(batch)
+            table.apply(batch, checkpoint, number)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).options(**options).trigger(availableNow=True).start()
 
