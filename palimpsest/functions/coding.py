@@ -33,12 +33,11 @@ def read_uvarint(data: bytes, at: int = 0) -> tuple[int, int]:
 
 def select64(x: int, k: int) -> int:
     """Place of the ``k``-th (from 0) set bit; 64 where there is none."""
-    for place in range(64):
-        if x >> place & 1:
-            if not k:
-                return place
-            k -= 1
-    return 64
+    if k >= x.bit_count():
+        return 64
+    for _ in range(k):
+        x &= x - 1
+    return (x & -x).bit_length() - 1
 
 
 class FormatError(ValueError):
@@ -84,18 +83,25 @@ def ef_encode(values: Sequence[int], most: int | None = None) -> bytes:
 
 
 class EliasFano:
-    """A monotone sequence read from ``ef_encode``'s bytes."""
+    """A monotone sequence read from ``ef_encode``'s bytes, or from any object with their length and slices.
+
+    ``get`` reads a jump entry, the few words behind it and one value's low bits;
+    ``values`` decodes all at once.
+    """
 
     def __init__(self, data: bytes, base: int = 0):
-        if base + 16 > len(data):
+        head = bytes(data[base : base + 16])
+        if len(head) < 16:
             raise FormatError("monotone sequence: header cut short")
-        self.count = int.from_bytes(data[base : base + 8], "big") + 1
-        universe = int.from_bytes(data[base + 8 : base + 16], "big")
-        self.low, n_lower, n_upper, _ = _shape(self.count, universe)
-        if base + 16 + 8 * (n_lower + n_upper) > len(data):
+        self.count = int.from_bytes(head[:8], "big") + 1
+        universe = int.from_bytes(head[8:], "big")
+        self.low, self.n_lower, self.n_upper, self.n_jump = _shape(self.count, universe)
+        self.data, self.lower_at = data, base + 16
+        self.upper_at = self.lower_at + 8 * self.n_lower
+        self.jump_at = self.upper_at + 8 * self.n_upper
+        if self.jump_at > len(data):
             raise FormatError("monotone sequence: shorter than its header says")
-        words = np.frombuffer(data, np.uint8, 8 * (n_lower + n_upper), base + 16)
-        self._lower, self._upper = words[: 8 * n_lower], words[8 * n_lower :]
+        self._has_jump = self.jump_at + 8 * self.n_jump <= len(data)
         self._all: np.ndarray | None = None
 
     def __len__(self) -> int:
@@ -103,18 +109,41 @@ class EliasFano:
 
     def values(self) -> np.ndarray:
         if self._all is None:
-            ones = np.flatnonzero(np.unpackbits(self._upper, bitorder="little"))[: self.count]
+            bits = lambda lo, hi: np.unpackbits(np.frombuffer(bytes(self.data[lo:hi]), np.uint8), bitorder="little")
+            ones = np.flatnonzero(bits(self.upper_at, self.jump_at))[: self.count]
             v = (ones - np.arange(self.count)).astype(np.uint64) << np.uint64(self.low)
-            bits = np.unpackbits(self._lower, bitorder="little")[: self.count * self.low].reshape(self.count, self.low)
+            low = bits(self.lower_at, self.upper_at)[: self.count * self.low].reshape(self.count, self.low)
             for b in range(self.low):
-                v |= bits[:, b].astype(np.uint64) << np.uint64(b)
+                v |= low[:, b].astype(np.uint64) << np.uint64(b)
             self._all = v
         return self._all
 
     def get(self, i: int) -> int:
         if not 0 <= i < self.count:
             raise IndexError(i)
-        return int(self.values()[i])
+        if self._all is not None or not self._has_jump:
+            return int(self.values()[i])
+        at = self.jump_at + 8 * (i // _SUPER * _SUPER_WORDS)
+        entry = at + 8 + 4 * (i % _SUPER // _Q)
+        one = int.from_bytes(self.data[at : at + 8], "little") + int.from_bytes(self.data[entry : entry + 4], "little")
+        # From the one of the jump entry to the i-th: over whole words, then into one.
+        left, word = i % _Q, one >> 6
+        held = self._word(word) >> (one & 63) << (one & 63)
+        while (n := held.bit_count()) <= left:
+            left -= n
+            word += 1
+            held = self._word(word)
+        high = (word << 6) + select64(held, left) - i
+        bit = i * self.low
+        begin = self.lower_at + (bit >> 3)
+        low = int.from_bytes(self.data[begin : begin + 9], "little") >> (bit & 7) & ((1 << self.low) - 1)
+        return high << self.low | low
+
+    def _word(self, word: int) -> int:
+        at = self.upper_at + 8 * word
+        if at >= self.jump_at:
+            raise FormatError("monotone sequence: fewer values than its header says")
+        return int.from_bytes(self.data[at : at + 8], "little")
 
 
 def huffman(symbols: Sequence[tuple[int, int]]) -> list[tuple[int, int, int]]:

@@ -1,8 +1,8 @@
 """Domains: validated, key-sorted writes, ordinals and offsets, and reports about them.
 
-A domain on disk is a folder ``<base>.kv`` of Parquet files in key order, ``<base>.bt``
-(first ordinal and first logical offset of each file, and every M-th key) and, with a
-salt, ``<base>.kvei`` (the words of an existence filter).
+A domain on disk is a folder ``<base>.kv`` of Parquet files, each sorted and disjoint from
+the others in keys; ``<base>.bt``, with what is in each file (``files``) and every M-th
+key (``nodes``); and, with a salt, ``<base>.kvei`` (the words of an existence filter).
 """
 
 from __future__ import annotations
@@ -13,16 +13,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from palimpsest.functions.steps import step_range
 from palimpsest.operators import existence
-from palimpsest.session import materialize
+from palimpsest.session import materialize, remove
 
 DEFAULT_FANOUT = 256
 
+#: Columns of a written domain's files: number of the file, place in it, bytes before it in it, whether its key rises.
+NO, AT, UPTO, RISES = "__no", "__at", "__upto", "__rises"
+
 
 class DomainError(ValueError):
     """Rows that are no domain: repeated, falling or null keys."""
@@ -40,22 +43,49 @@ def pairs(df: DataFrame) -> DataFrame:
     return df.select(F.col("key").cast("binary").alias("key"), F.coalesce(F.col("value").cast("binary"), F.lit(b"")).alias("value"))
 
 
+def _measured(key: str, value: str | None) -> Column:
+    """at, upto, previous, rises: place in the partition, bytes before, the key before, and whether the key rises over it.
+
+    Runs through the partition in its order; only keys and sizes leave the JVM.
+    """
+    size = F.coalesce(F.octet_length(key), F.lit(0)) + (F.coalesce(F.octet_length(value), F.lit(0)) if value else F.lit(0))
+
+    @F.arrow_udf("struct<at:long,upto:long,previous:binary,rises:boolean>")
+    def measure(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        rows = held = 0
+        last: pa.Array = pa.nulls(1, pa.binary())
+        for keys, sizes in batches:
+            keys = keys.cast(pa.binary())
+            upto = held + np.cumsum(sizes.to_numpy())
+            before = pa.concat_arrays([last, keys[:-1]]) if len(keys) else keys
+            rises = np.array(pc.fill_null(pc.greater(keys, before), False), bool)
+            if len(keys) and not rows:
+                rises[0] = keys[0].is_valid
+            at = pa.array(np.arange(rows, rows + len(keys)))
+            yield pa.StructArray.from_arrays([at, pa.array(upto - sizes.to_numpy()), before, pa.array(rises)], names=["at", "upto", "previous", "rises"])
+            if len(keys):
+                rows, held, last = rows + len(keys), int(upto[-1]), keys[-1:]
+
+    return measure.asNondeterministic()(F.col(key), size.cast("long"))
+
+
 def order_violations(df: DataFrame, pos: str = "pos", group: Sequence[str] = ()) -> DataFrame:
     """Rows whose key does not rise over the key before them, by ``pos``; within ``group`` where given.
 
     Without a group the input is one stream; it is compared partition by partition
-    after a range sort by position, and the seams between partitions separately.
+    after one range exchange by position, and the seams between partitions separately.
     """
     if group:
         before = F.lag("key").over(Window.partitionBy(*group).orderBy(pos))
         return df.withColumn("previous", before).where("previous is not null and key <= previous")
-    rows = materialize(df.repartitionByRange(pos).sortWithinPartitions(pos).withColumn("__pid", F.spark_partition_id()), "ordered")
-    inside = rows.withColumn("previous", F.lag("key").over(Window.partitionBy("__pid").orderBy(pos)))
-    ends = rows.groupBy("__pid").agg(F.max_by("key", pos).alias("last"), F.min(pos).alias("__first"))
+    rows = df.repartitionByRange(pos).sortWithinPartitions(pos).withColumn("__m", _measured("key", None))
+    rows = rows.select(*df.columns, F.col("__m.previous").alias("__previous"), F.col("__m.at").alias(AT), F.spark_partition_id().alias(NO))
+    rows = materialize(rows, "ordered")
     # One row a partition.
-    seams = ends.withColumn("before", F.lag("last").over(Window.orderBy("__pid"))).select("__pid", "__first", "before")
-    joined = inside.join(F.broadcast(seams), "__pid", "left")
-    previous = F.when(F.col(pos) == F.col("__first"), F.col("before")).otherwise(F.col("previous"))
+    ends = rows.groupBy(NO).agg(F.max_by("key", AT).alias("last"))
+    seams = ends.select(NO, F.lag("last").over(Window.orderBy(NO)).alias("before"))
+    joined = rows.join(F.broadcast(seams), NO)
+    previous = F.when(F.col(AT) == 0, F.col("before")).otherwise(F.col("__previous"))
     return joined.withColumn("previous", previous).where("previous is not null and key <= previous").select(*df.columns, "previous")
 
 
@@ -72,30 +102,24 @@ def with_ordinals(df: DataFrame, with_offsets: bool = False) -> DataFrame:
     each, are put in order.  Equal keys are numbered in an order of their
     own; a null key is the first and, like a null value, has no bytes.
     """
-    rows = df.repartitionByRange("key").sortWithinPartitions("key", *(["value"] if "value" in df.columns else []))
-    rows = rows.select("*", F.spark_partition_id().alias("__pid"), F.monotonically_increasing_id().alias("__at"))
-    if with_offsets:
-        sized = rows.withColumn("__size", (F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0))).cast("long"))
-        rows = sized.mapInArrow(_running_sum, T.StructType([*sized.schema.fields, T.StructField("__upto", T.LongType())]))
+    value = "value" if "value" in df.columns else None
+    rows = df.repartitionByRange("key").sortWithinPartitions("key", *([value] if value else [])).withColumn("__m", _measured("key", value))
+    size = F.coalesce(F.octet_length("key"), F.lit(0)) + (F.coalesce(F.octet_length(value), F.lit(0)) if value else F.lit(0))
+    rows = rows.select(*df.columns, F.spark_partition_id().alias(NO), F.col("__m.at").alias(AT), F.col("__m.upto").alias(UPTO), size.cast("long").alias("__size"))
     rows = materialize(rows, "ordinals")
-    parts = rows.groupBy("__pid").agg(F.count("*").alias("__n"), (F.sum("__size") if with_offsets else F.lit(0).cast("long")).alias("__s"))
-    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s"))
+    parts = _first_of(rows.groupBy(NO).agg(F.count("*").alias("keys"), F.sum("__size").alias("bytes")))
     # A row a partition of the range exchange.
-    out = rows.join(F.broadcast(parts), "__pid").withColumn("ordinal", F.col("__n") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    out = rows.join(F.broadcast(parts.select(NO, "first_ordinal", "first_offset")), NO).withColumn("ordinal", F.col("first_ordinal") + F.col(AT))
     if with_offsets:
-        out = out.withColumn("logical_offset", F.col("__s") + F.col("__upto"))
-    return out.drop("__pid", "__at", "__n", "__s", "__size", "__upto")
+        out = out.withColumn("logical_offset", F.col("first_offset") + F.col(UPTO))
+    return out.drop(NO, AT, UPTO, "__size", "first_ordinal", "first_offset")
 
 
-def _running_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the sum of the last column over the rows before, in the order of the partition."""
-    held = 0
-    for batch in batches:
-        sizes = batch.column(batch.num_columns - 1).to_numpy()
-        upto = held + np.cumsum(sizes)
-        held = int(upto[-1]) if len(upto) else held
-        yield pa.record_batch([*batch.columns, pa.array(upto - sizes)], names=[*batch.schema.names, "__upto"])
+def _first_of(parts: DataFrame) -> DataFrame:
+    """Adds what comes before each part: ``first_ordinal`` and ``first_offset``.  A row a file or partition, in one window."""
+    before = Window.orderBy(NO).rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    return parts.select("*", upto("keys").alias("first_ordinal"), upto("bytes").alias("first_offset"))
 
 
 def key_nodes(ordered: DataFrame, fanout: int = DEFAULT_FANOUT) -> DataFrame:
@@ -103,31 +127,75 @@ def key_nodes(ordered: DataFrame, fanout: int = DEFAULT_FANOUT) -> DataFrame:
     return ordered.where(F.col("ordinal") % max(1, fanout) == 0)
 
 
-def write_domain(df: DataFrame, base: str, salt: int | None = None, fanout: int = DEFAULT_FANOUT) -> DomainPaths:
+def write_domain(df: DataFrame, base: str, salt: int | None = None, fanout: int = DEFAULT_FANOUT, compress: bool = False) -> DomainPaths:
     """Writes ``df`` (key, value in any order) as a domain; repeated or null keys raise DomainError.
 
-    The files are disjoint in key ranges with min/max statistics, so a point lookup opens
-    one row group; the key column also has Parquet bloom filters.
+    The data is written once, from the range exchange, so each file has a key range of
+    its own with min/max statistics and a Parquet Bloom filter of its keys, and a point
+    lookup opens one file.  The check compares neighbours on the way; a domain that
+    fails it is removed.  ``compress``: by zstd instead of the session's codec.
     """
-    numbered = with_ordinals(pairs(df), with_offsets=True)
-    # On the rows as they were written down, so the input is worked out once.
-    bad = numbered.groupBy("key").agg(F.count("*").alias("n")).where("n > 1 or key is null").limit(1).collect()
-    if bad:
-        raise DomainError(f"keys must be strictly increasing: {bad[0].key!r} occurs {bad[0].n} times")
+    spark = df.sparkSession
     out = DomainPaths(f"{base}.kv", f"{base}.bt", f"{base}.kvei" if salt is not None else None)
-    # Already in key ranges: sorted again within each, without another exchange.
-    writer = numbered.sortWithinPartitions("key").write
-    writer.option("parquet.bloom.filter.enabled#key", "true").parquet(out.kv)
-    stored = df.sparkSession.read.parquet(out.kv)
-    key_nodes(stored, fanout).select("ordinal", "logical_offset", "key").write.parquet(out.bt)
+    rows = pairs(df).repartitionByRange("key").sortWithinPartitions("key").withColumn("__m", _measured("key", "value"))
+    rows = rows.select("key", "value", F.spark_partition_id().alias(NO), F.col("__m.at").alias(AT), F.col("__m.upto").alias(UPTO), F.col("__m.rises").alias(RISES))
+    writer = rows.write.option("parquet.bloom.filter.enabled#key", "true")
+    (writer.option("compression", "zstd") if compress else writer).parquet(out.kv)
+    stored = spark.read.schema(rows.schema).parquet(out.kv)
+    # The column is true throughout but in a bad domain, so statistics leave out every row group.
+    bad = stored.where(f"not {RISES}").select("key").limit(1).collect()
+    if bad:
+        remove(spark, out.kv)
+        raise DomainError(f"keys must be strictly increasing: {bad[0].key!r} is null or occurs again")
+    empty = lambda c: F.count_if(F.octet_length(c) == 0)
+    parts = stored.groupBy(NO).agg(
+        F.count("*").alias("keys"), F.max(F.col(UPTO) + F.octet_length("key") + F.octet_length("value")).alias("bytes"), (empty("key") + empty("value")).alias("empty_words"),
+        F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.lit(max(1, fanout)).cast("long").alias("fanout"),
+    )
+    _first_of(parts).coalesce(1).write.parquet(f"{out.bt}/files")
+    key_nodes(read_domain(spark, base).select("ordinal", "logical_offset", "key"), fanout).write.parquet(f"{out.bt}/nodes")
     if salt is not None:
-        existence.write_filter(stored.select("key"), salt, out.kvei)
+        existence.write_filter(stored.select("key"), salt, out.kvei, count=file_parts(spark, base).agg(F.coalesce(F.sum("keys"), F.lit(0))).first()[0])
     return out
 
 
+def file_parts(spark: SparkSession, base: str) -> DataFrame:
+    """A row a file of a written domain: keys, bytes, empty words, key range, and what comes before it."""
+    return spark.read.parquet(f"{base}.bt/files")
+
+
+def read_pairs(spark: SparkSession, base: str) -> DataFrame:
+    """``key, value`` alone: a predicate on key reaches the scan, and files of other key ranges are left out by their statistics."""
+    return spark.read.parquet(f"{base}.kv").select("key", "value")
+
+
 def read_domain(spark: SparkSession, base: str) -> DataFrame:
     """``key, value, ordinal, logical_offset``; order by key where order matters."""
-    return spark.read.parquet(f"{base}.kv")
+    kv = spark.read.parquet(f"{base}.kv")
+    # A row a file.
+    first = F.broadcast(file_parts(spark, base).select(NO, "first_ordinal", "first_offset"))
+    return kv.join(first, NO).select("key", "value", (F.col("first_ordinal") + F.col(AT)).alias("ordinal"), (F.col("first_offset") + F.col(UPTO)).alias("logical_offset"))
+
+
+def pairs_at(spark: SparkSession, base: str, ordinals: Sequence[int]) -> DataFrame:
+    """``key, value, ordinal`` at a few ordinals; only the row groups that hold them are read.  None beyond the end."""
+    parts = file_parts(spark, base).select(NO, "keys", "first_ordinal").orderBy(NO).toArrow()
+    first = parts.column("first_ordinal").to_numpy()
+    upto = first + parts.column("keys").to_numpy()
+    kv = spark.read.parquet(f"{base}.kv")
+    where, number = F.lit(False), F.lit(None).cast("long")
+    for i in sorted({int(o) for o in ordinals}):
+        part = int(np.searchsorted(upto, i, "right"))
+        if 0 <= i and part < len(first):
+            here = (F.col(NO) == parts.column(NO)[part].as_py()) & (F.col(AT) == int(i - first[part]))
+            where, number = where | here, F.when(here, F.lit(i)).otherwise(number)
+    return kv.where(where).select("key", "value", number.cast("long").alias("ordinal"))
+
+
+def sampled_keys(spark: SparkSession, base: str, n: int) -> DataFrame:
+    """``key`` of ``n`` evenly spaced ordinals, floor(i * count / n), of a written domain."""
+    count = file_parts(spark, base).agg(F.coalesce(F.sum("keys"), F.lit(0))).first()[0]
+    return pairs_at(spark, base, [i * count // min(n, count) for i in range(min(n, count))]).select("key")
 
 
 def counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -137,20 +205,20 @@ def counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def inspect(spark: SparkSession, base: str) -> DataFrame:
-    """One row about a domain: name, step range, counts, bytes, fanout, filter kind."""
-    kv = read_domain(spark, base)
-    files = kv.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s")).distinct()
-    size = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("s"), F.lit(0)).alias("file_bytes"))
+    """One row about a domain: name, step range, counts, bytes, fanout, filter.  Data files are not opened but for their sizes."""
+    held = spark.read.parquet(f"{base}.kv").select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s")).distinct()
+    size = held.agg(F.count("*").alias("files"), F.coalesce(F.sum("s"), F.lit(0)).alias("file_bytes")).first()
+    parts = file_parts(spark, base)
+    sums = parts.agg(F.coalesce(F.sum("keys"), F.lit(0)), F.coalesce(F.sum("empty_words"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0)), F.max("fanout")).first()
     name = base.rstrip("/").rpartition("/")[2] + ".kv"
-    steps = step_range(name)
-    meta = existence.filter_meta(spark, f"{base}.kvei")
-    row = {"name": name, "step_from": steps and steps[0], "step_to": steps and steps[1], "filter_kind": meta["kind"] if meta else None, "salt": meta and meta.get("salt")}
-    schema = "name string, step_from long, step_to long, filter_kind string, salt long"
-    about = spark.createDataFrame([tuple(row.values())], schema)
-    # Three tables of one row each.
-    for one in (counts(kv), size):
-        about = about.withColumn("__k", F.lit(1)).join(one.withColumn("__k", F.lit(1)), "__k").drop("__k")
-    return about
+    steps = step_range(name) or (None, None)
+    meta = existence.filter_meta(spark, f"{base}.kvei") or {}
+    row = (name, *steps, 2 * sums[0], sums[1], sums[0], sums[2], sums[3], meta.get("kind"), meta.get("kind") == "bloom", meta.get("salt"), size.files, size.file_bytes)
+    schema = (
+        "name string, step_from long, step_to long, words_count long, empty_words_count long, key_count long, logical_bytes long, fanout long, "
+        "filter_kind string, filter_accelerates boolean, salt long, files long, file_bytes long"
+    )
+    return spark.createDataFrame([row], schema)
 
 
 def manifest_json(paths: DomainPaths) -> str:

@@ -67,7 +67,7 @@ def _runs(rows: DataFrame, width: int, name: str) -> list[Run]:
     written = spark.read.parquet(path)
     numbers = sorted(r.run for r in written.select("run").distinct().collect())
     pairs = lambda i: spark.read.schema("key binary, value binary").parquet(f"{path}/run={i}")
-    return [Run(f"v1.1-{name}.{i * width}-{(i + 1) * width}.kv", pairs(i)) for i in numbers]
+    return [Run(f"v1.1-{name}.{i * width}-{(i + 1) * width}.kv", pairs(i), path=f"{path}/run={i}") for i in numbers]
 
 
 def user_runs(spark: SparkSession, sf_dir: str) -> list[Run]:
@@ -272,7 +272,7 @@ def find_salt(spark, d):
     """The least salt under which the filter holds sixteen of its keys."""
     keys, f = _short_filter(spark, d)
     sample = [bytes(r.key) for r in keys.orderBy("key").limit(existence.SEARCH_KEYS).collect()]
-    return spark.createDataFrame([(existence.find_salt(spark, sample, f, batch=1 << 12),)], "salt long")
+    return spark.createDataFrame([(existence.find_salt(spark, sample, f),)], "salt long")
 
 
 # Patterns

@@ -63,6 +63,12 @@ def _hadoop(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as scans report it in ``_metadata.file_path``."""
+    where, fs = _hadoop(spark, path)
+    return where.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri().toString().replace("file:///", "file:/", 1)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where, fs = _hadoop(spark, path)
     return fs.exists(where)

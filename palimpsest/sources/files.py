@@ -50,6 +50,35 @@ def read_range(path: str, at: int, size: int) -> bytes:
         return f.read(size)
 
 
+class Blocks:
+    """A file, or a part of it, that is read a block at a time as its slices are asked for; one block is kept, or a few."""
+
+    def __init__(self, path: str, begin: int = 0, end: int | None = None, block: int = 1 << 16, keep: int = 8):
+        self.path, self.begin, self.block, self.keep = path, begin, block, keep
+        self.end = size(path) if end is None else end
+        self.held: dict[int, bytes] = {}
+
+    def __len__(self) -> int:
+        return self.end - self.begin
+
+    def _get(self, number: int) -> bytes:
+        found = self.held.get(number)
+        if found is None:
+            if len(self.held) >= self.keep:
+                self.held.pop(next(iter(self.held)))
+            at = self.begin + number * self.block
+            found = self.held[number] = read_range(self.path, at, min(self.block, self.end - at))
+        return found
+
+    def __getitem__(self, part: slice) -> bytes:
+        lo, hi, _ = part.indices(len(self))
+        first = lo // self.block
+        if hi <= (first + 1) * self.block:
+            return self._get(first)[lo - first * self.block : hi - first * self.block] if hi > lo else b""
+        whole = b"".join(self._get(n) for n in range(first, (hi - 1) // self.block + 1))
+        return whole[lo - first * self.block : hi - first * self.block]
+
+
 def size(path: str) -> int:
     fs, inner = of(path)
     return fs.get_file_info(inner).size

@@ -28,6 +28,8 @@ _BLOOM_MAGIC = bytes(8) + b"v02\n"
 _BLOOM_HEAD, _BLOOM_TAIL = 60, 48
 _FOOTER_FIRST, _PAGE, _META, _ANCHOR, _BT_VERSION = 1, 4096, 24, 16, 1
 DEFAULT_FANOUT = 256
+#: Bytes of a file that a task reads, where an index says at which keys to split it.
+SPLIT_BYTES = 64 << 20
 
 
 def _fail(what: str) -> FormatError:
@@ -35,78 +37,120 @@ def _fail(what: str) -> FormatError:
 
 
 class _Codes:
-    """A dictionary's codes, walked a bit at a time."""
+    """A dictionary's codes, looked up in tables of up to TABLE_BITS at a time.
+
+    An entry is a value with its depth, or the table for what follows those bits.
+    """
+
+    TABLE_BITS = 10
 
     def __init__(self, depths: list[int], values: list):
         self.only = values[0] if len(values) == 1 and depths[0] == 0 else None
-        self.table = {(d, c): v for d, c, v in zip(depths, codes_from_depths(depths), values)}
         self.empty = not values
+        self.root = self._table(list(zip(depths, codes_from_depths(depths), values))) if self.only is None else (0, [])
+
+    @classmethod
+    def _table(cls, codes: list[tuple[int, int, object]]) -> tuple[int, list]:
+        bits = min(cls.TABLE_BITS, max((d for d, _, _ in codes), default=0))
+        table: list = [None] * (1 << bits)
+        longer: dict[int, list] = {}
+        for depth, code, value in codes:
+            if depth > bits:
+                longer.setdefault(code & ((1 << bits) - 1), []).append((depth - bits, code >> bits, value))
+            else:
+                for i in range(code, 1 << bits, 1 << depth):
+                    table[i] = (value, depth)
+        for code, rest in longer.items():
+            table[code] = cls._table(rest)
+        return bits, table
 
-    def read(self, data: bytes, bit: int) -> tuple[object, int]:
+    def read(self, data, bit: int) -> tuple[object, int]:
         if self.only is not None:
             return self.only, bit
-        code = depth = 0
-        while depth <= _MAX_DEPTH:
-            if bit >> 3 >= len(data):
-                raise _fail("a code runs past the end")
-            code |= (data[bit >> 3] >> (bit & 7) & 1) << depth
-            depth += 1
-            bit += 1
-            if (depth, code) in self.table:
-                return self.table[depth, code], bit
-        raise _fail("unknown code")
+        at = bit >> 3
+        # The longest code spans at most eight bytes.
+        window = int.from_bytes(data[at : at + 8], "little") >> (bit & 7)
+        bits, table = self.root
+        while True:
+            found = table[window & ((1 << bits) - 1)]
+            if found is None:
+                raise _fail("unknown code")
+            if type(found[1]) is int:
+                bit += found[1]
+                if bit > 8 * len(data):
+                    raise _fail("a code runs past the end")
+                return found[0], bit
+            window >>= bits
+            bit += bits
+            bits, table = found
 
 
 class WordFile:
-    """A .kv file: header, dictionaries, and the words behind them."""
+    """A .kv file: header, dictionaries, and the words behind them.
+
+    ``data`` is the whole file as bytes, or anything with its length and slices.
+    """
 
-    def __init__(self, data: bytes, has_metadata: bool = False):
+    def __init__(self, data, has_metadata: bool = False):
         at = 0
-        self.version = data[0] if data[:1] == bytes([_V1]) else 0
+        lead = bytes(data[:3])
+        self.version = lead[0] if lead[:1] == bytes([_V1]) else 0
         self.page_values_count = 0
         if self.version == _V1:
             at = 2
-            if len(data) > 1 and data[1] & _PAGED:
-                self.page_values_count = data[2] if len(data) > 2 else 0
+            if len(lead) > 1 and lead[1] & _PAGED:
+                self.page_values_count = lead[2] if len(lead) > 2 else 0
                 at = 3
         self.metadata = b""
         if has_metadata:
             if at + 4 > len(data):
                 raise _fail("metadata length")
-            (n,) = struct.unpack_from(">I", data, at)
-            self.metadata = data[at + 4 : at + 4 + n]
+            (n,) = struct.unpack(">I", data[at : at + 4])
+            self.metadata = bytes(data[at + 4 : at + 4 + n])
             at += 4 + n
         if len(data) - at < _BODY_MIN:
             raise _fail("too short")
-        self.words_count, self.empty_words_count, n = struct.unpack_from(">QQQ", data, at)
+        self.words_count, self.empty_words_count, n = struct.unpack(">QQQ", data[at : at + 24])
         at += 24
         self.patterns, at = self._dictionary(data, at, n, True)
         if at + 8 > len(data):
             raise _fail("no position dictionary")
-        (n,) = struct.unpack_from(">Q", data, at)
+        (n,) = struct.unpack(">Q", data[at : at + 8])
         self.positions, at = self._dictionary(data, at + 8, n, False)
         self.size = len(data)
         self.words_start = at
-        self.data = data[at:]
+        #: The words; of a part of them (``only``), their offsets begin at ``origin``.
+        self.data = data[at:] if isinstance(data, bytes) else files.Blocks(data.path, data.begin + at, data.end, data.block, data.keep)
+        self.origin = 0
+
+    @classmethod
+    def open(cls, path: str, has_metadata: bool = False, block: int = 1 << 16) -> WordFile:
+        """A file whose words are read as they are asked for."""
+        return cls(files.Blocks(path, block=block), has_metadata)
+
+    def only(self, path: str, begin: int, end: int) -> None:
+        """Keeps the words of [begin, end) alone, in memory."""
+        self.data, self.origin = files.read_range(path, self.words_start + begin, end - begin), begin
 
     @staticmethod
-    def _dictionary(data: bytes, at: int, n: int, with_bytes: bool) -> tuple[_Codes, int]:
-        end = at + n
-        if end > len(data):
+    def _dictionary(data, at: int, n: int, with_bytes: bool) -> tuple[_Codes, int]:
+        if at + n > len(data):
             raise _fail("dictionary past the end")
+        own, end = bytes(data[at : at + n]), at + n
         depths: list[int] = []
         values: list = []
-        while at < end:
-            depth, k = read_uvarint(data, at)
-            value, j = read_uvarint(data, at + k)
+        at = 0
+        while at < n:
+            depth, k = read_uvarint(own, at)
+            value, j = read_uvarint(own, at + k)
             if not k or not j or depth > _MAX_DEPTH:
                 raise _fail("dictionary record")
             at += k + j
             depths.append(depth)
             if with_bytes:
-                if at + value > end:
+                if at + value > n:
                     raise _fail("pattern past its dictionary")
-                values.append(data[at : at + value])
+                values.append(own[at : at + value])
                 at += value
             else:
                 values.append(value)
@@ -114,31 +158,61 @@ class WordFile:
 
     def word(self, offset: int) -> tuple[bytes, int]:
         """The word that begins at a byte offset among the words, and where the next one does."""
-        n, bit = self.positions.read(self.data, offset * 8)
+        n, bit = self.positions.read(self.data, (offset - self.origin) * 8)
         n -= 1
         if n <= 0:
-            return b"", (bit + 7) // 8
+            return b"", self.origin + (bit + 7) // 8
+        step, bit = self.positions.read(self.data, bit)
+        if not step:
+            # No pattern: the bytes lie as they are.
+            byte = (bit + 7) // 8
+            out = bytes(self.data[byte : byte + n])
+            if len(out) != n:
+                raise _fail("word past the end")
+            return out, self.origin + byte + n
         out, covered, at = bytearray(n), bytearray(n), 0
-        while True:
-            step, bit = self.positions.read(self.data, bit)
-            if not step:
-                break
+        while step:
             at += step - 1
             pattern, bit = self.patterns.read(self.data, bit)
             upto = min(n, at + len(pattern))
             out[at:upto] = pattern[: upto - at]
             covered[at:upto] = b"\1" * (upto - at)
+            step, bit = self.positions.read(self.data, bit)
         byte = (bit + 7) // 8
         loose = np.flatnonzero(np.frombuffer(covered, np.uint8) == 0)
         literal = self.data[byte : byte + len(loose)]
         if len(literal) != len(loose):
             raise _fail("word past the end")
         np.frombuffer(out, np.uint8)[loose] = np.frombuffer(literal, np.uint8)
-        return bytes(out), byte + len(loose)
+        return bytes(out), self.origin + byte + len(loose)
+
+    def skip(self, offset: int) -> tuple[int, int]:
+        """The length of the word at ``offset``, and where the next one begins: codes are read, no bytes put together."""
+        n, bit = self.positions.read(self.data, (offset - self.origin) * 8)
+        n -= 1
+        if n <= 0:
+            return 0, self.origin + (bit + 7) // 8
+        loose, at, upto = n, 0, 0
+        while True:
+            step, bit = self.positions.read(self.data, bit)
+            if not step:
+                break
+            at += step - 1
+            pattern, bit = self.patterns.read(self.data, bit)
+            end = min(n, at + len(pattern))
+            # Places rise, so what is covered before lies below ``upto``.
+            loose -= max(0, end - max(at, upto))
+            upto = max(upto, end)
+        after = (bit + 7) // 8 + loose
+        if after > len(self.data):
+            raise _fail("word past the end")
+        return n, self.origin + after
 
-    def words(self, offset: int = 0) -> Iterator[tuple[int, bytes]]:
+    def words(self, offset: int | None = None) -> Iterator[tuple[int, bytes]]:
         """(offset, word) until the bytes run out, whatever the header counts."""
-        while offset < len(self.data):
+        offset = self.origin if offset is None else offset
+        end = self.origin + len(self.data)
+        while offset < end:
             word, after = self.word(offset)
             yield offset, word
             offset = after
@@ -149,12 +223,25 @@ class WordFile:
         for key in words:
             yield key, next(words, b"")
 
+    def keys(self) -> Iterator[tuple[int, bytes]]:
+        """(offset, key): values are passed over without being put together."""
+        offset, end = self.origin, self.origin + len(self.data)
+        while offset < end:
+            key, after = self.word(offset)
+            yield offset, key
+            offset = self.skip(after)[1] if after < end else after
+
 
 def encode_words(words: Iterable[bytes], compress: bool = False) -> bytes:
     """A .kv file of ``words``; ``compress`` mines a pattern dictionary from them first."""
+    return encode_with_offsets(words, compress)[0]
+
+
+def encode_with_offsets(words: Iterable[bytes], compress: bool = False) -> tuple[bytes, list[int]]:
+    """The same, and where each word begins among the words."""
     words = list(words)
     cover = Cover(mine_words(words) if compress else [])
-    covers = [cover.of(w) for w in words]
+    covers = [cover.of(w) for w in words] if cover.patterns else [[]] * len(words)
     uses: Counter[int] = Counter()
     pattern_uses: Counter[int] = Counter()
     for w, c in zip(words, covers):
@@ -179,7 +266,15 @@ def encode_words(words: Iterable[bytes], compress: bool = False) -> bytes:
         place_dict += uvarint(depth) + uvarint(places[i])
     out = [struct.pack(">QQQ", len(words), sum(not w for w in words), len(pattern_dict)), pattern_dict, struct.pack(">Q", len(place_dict)), place_dict]
     bits = BitWriter()
+    offsets, at = [], 0
+    # Words without a pattern begin alike where they are of a length.
+    plain: dict[int, bytes] = {}
     for w, c in zip(words, covers):
+        offsets.append(at)
+        if not c and (begun := plain.get(len(w))) is not None:
+            out += (begun, w)
+            at += len(begun) + len(w)
+            continue
         bits.put(*place_code[len(w) + 1])
         loose, last, upto = [], 0, 0
         if w:
@@ -189,8 +284,12 @@ def encode_words(words: Iterable[bytes], compress: bool = False) -> bytes:
                 loose.append(w[upto:start])
                 last, upto = start, start + len(cover.patterns[pattern])
             bits.put(*place_code[0])
-        out += [bits.flush(), *loose, w[upto:]]
-    return b"".join(out)
+        parts = [bits.flush(), *loose, w[upto:]]
+        if not c:
+            plain[len(w)] = parts[0]
+        out += parts
+        at += sum(map(len, parts))
+    return b"".join(out), offsets
 
 
 def encode_filter(keys: Sequence[bytes], salt: int) -> bytes:
@@ -206,22 +305,23 @@ def encode_filter(keys: Sequence[bytes], salt: int) -> bytes:
 
 @dataclass
 class FilterFile:
-    """A .kvei file.  kind ``empty`` and ``unsupported`` match every key."""
+    """A .kvei file.  kind ``empty`` and ``unsupported`` match every key.  ``bits``: bytes, or slices of a file."""
 
     kind: str
     keys: tuple[int, ...] = ()
     m: int = 0
-    bits: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))
+    bits: object = b""
 
     @classmethod
-    def parse(cls, data: bytes) -> FilterFile:
-        if not data:
+    def parse(cls, data) -> FilterFile:
+        if not len(data):
             return cls("empty")
-        if len(data) >= _BLOOM_HEAD and data[:12] == _BLOOM_MAGIC:
-            k, _n, m, *keys = struct.unpack_from("<6Q", data, 12)
-            words = -(-m // 64)
-            if k == HASHES and m >= 2 and _BLOOM_HEAD + 8 * words <= len(data):
-                return cls("bloom", tuple(keys), m, np.frombuffer(data, np.uint8, 8 * words, _BLOOM_HEAD))
+        head = bytes(data[:_BLOOM_HEAD])
+        if len(head) == _BLOOM_HEAD and head[:12] == _BLOOM_MAGIC:
+            k, _n, m, *keys = struct.unpack_from("<6Q", head, 12)
+            end = _BLOOM_HEAD + 8 * -(-m // 64)
+            if k == HASHES and m >= 2 and end <= len(data):
+                return cls("bloom", tuple(keys), m, data[_BLOOM_HEAD:end] if isinstance(data, bytes) else files.Blocks(data.path, _BLOOM_HEAD, end))
         return cls("unsupported")
 
     @property
@@ -233,7 +333,14 @@ class FilterFile:
         if not self.accelerates:
             return np.ones(len(keys), bool)
         at = bit_positions(murmur3_array(pa.array(keys, pa.binary()), salt), self.keys, self.m)
-        return ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1)
+        held = np.array([self.bits[x : x + 1][0] for x in (at >> 3).ravel().tolist()], np.uint8).reshape(at.shape)
+        return ((held >> (at & 7).astype(np.uint8)) & 1).all(1)
+
+    def word_rows(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and bits of the words of [begin, end) that have a bit set."""
+        words = np.frombuffer(bytes(self.bits[8 * begin : 8 * end]), "<i8")
+        at = np.flatnonzero(words)
+        return at + begin, words[at]
 
 
 def encode_index(offsets: Sequence[int], keys: Sequence[bytes], most: int, layout: str = "legacy", fanout: int = DEFAULT_FANOUT, magic: bytes = bytes(8)) -> bytes:
@@ -266,18 +373,20 @@ class IndexFile:
     fanout: int | None = None
 
     @classmethod
-    def parse(cls, data: bytes) -> IndexFile:
-        if not data:
+    def parse(cls, data) -> IndexFile:
+        """From bytes, or from slices of a file, of which only what is asked for is read."""
+        size = len(data)
+        if not size:
             return cls(None)
-        if data[0] == 0:
+        if bytes(data[:1]) == b"\0":
             return cls(EliasFano(data))
-        if len(data) < _ANCHOR + _META:
+        if size < _ANCHOR + _META:
             raise FormatError("index footer cut short")
-        (length,) = struct.unpack_from(">I", data, len(data) - _ANCHOR)
-        begin = len(data) - _ANCHOR - length
+        (length,) = struct.unpack(">I", data[size - _ANCHOR : size - _ANCHOR + 4])
+        begin = size - _ANCHOR - length
         if length < _META or begin < 0:
             raise FormatError("corrupt index footer")
-        count, fanout, at = struct.unpack_from(">QQQ", data, begin)
+        count, fanout, at = struct.unpack(">QQQ", data[begin : begin + 24])
         if at >= begin:
             raise FormatError("index offsets lie beyond the body")
         offsets = EliasFano(data, at)
@@ -303,9 +412,8 @@ def write_triple(base: str, pairs: Iterable[tuple[bytes, bytes]], compress: bool
             raise FormatError("keys must be strictly increasing")
         keys.append(key)
         words += (key, value)
-    data = encode_words(words, compress)
-    offsets = [o for i, (o, _) in enumerate(WordFile(data).words()) if i % 2 == 0]
-    contents: dict[str, bytes | None] = {"kv": data, "bt": encode_index(offsets, keys, len(data), layout, fanout, magic), "kvei": encode_filter(keys, salt) if salt is not None else None}
+    data, offsets = encode_with_offsets(words, compress)
+    contents: dict[str, bytes | None] = {"kv": data, "bt": encode_index(offsets[::2], keys, len(data), layout, fanout, magic), "kvei": encode_filter(keys, salt) if salt is not None else None}
     out: dict[str, str | None] = {}
     for ending, content in contents.items():
         out[ending] = None if content is None else f"{base}.{ending}"
@@ -316,7 +424,12 @@ def write_triple(base: str, pairs: Iterable[tuple[bytes, bytes]], compress: bool
 
 @dataclass
 class _File(InputPartition):
+    """A file, or its pairs of a range of ordinals, which lie between two offsets among the words."""
+
     path: str
+    first: int = 0
+    begin: int | None = None
+    end: int | None = None
 
 
 class _Reader(DataSourceReader):
@@ -324,22 +437,64 @@ class _Reader(DataSourceReader):
         self.path = options["path"]
         self.metadata = options.get("hasmetadata", "false").lower() == "true"
         self.words = options.get("words", "false").lower() == "true"
+        self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
         self.key: bytes | None = None
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in files.with_ending(self.path, ".kv")]
+        return [part for p in files.with_ending(self.path, ".kv") for part in self._parts(p)]
+
+    def _parts(self, path: str) -> list[_File]:
+        """A file is split at keys whose offsets its index has, a few of which are read; a file without an index is one part."""
+        index = path.removesuffix(".kv") + ".bt"
+        size = files.size(path)
+        if size <= self.split_bytes or not files.exists(index) or self.key is not None:
+            return [_File(path)]
+        held = IndexFile.parse(files.Blocks(index))
+        n = min(held.key_count, -(-size // self.split_bytes))
+        firsts = [i * held.key_count // n for i in range(n)]
+        begins = [0, *(held.key_offset(i) for i in firsts[1:])] if n else []
+        ends: list[int | None] = [*begins[1:], None]
+        return [_File(path, f, b, e) for f, b, e in zip(firsts, begins, ends)] or [_File(path)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        file = WordFile(files.read(partition.path), self.metadata)
+        path, name = partition.path, files.name(partition.path)
+        file = WordFile.open(path, self.metadata, 1 << 22)
+        if partition.begin is not None:
+            file.only(path, partition.begin, file.size - file.words_start if partition.end is None else partition.end)
         if self.words:
-            for pos, (_, word) in enumerate(file.words()):
-                yield pos, word, files.name(partition.path)
+            for pos, (_, word) in enumerate(file.words(), 2 * partition.first):
+                yield pos, word, name
+            return
+        if self.key is not None:
+            value = lookup(path, self.key, self.metadata)
+            if value is not None:
+                yield self.key, value, name
             return
         for key, value in file.pairs():
-            if self.key is None or key == self.key:
-                yield key, value, files.name(partition.path)
-            if self.key is not None and key > self.key:
-                return
+            yield key, value, name
+
+
+def lookup(path: str, key: bytes, has_metadata: bool = False) -> bytes | None:
+    """The value of ``key`` in a file: by binary search where it has an index, else by a scan up to the key's place."""
+    file = WordFile.open(path, has_metadata)
+    base = path.removesuffix(".kv")
+    if not files.exists(f"{base}.bt"):
+        for k, v in file.pairs():
+            if k >= key:
+                return v if k == key else None
+        return None
+    return search(file, IndexFile.parse(files.Blocks(f"{base}.bt")), key)
+
+
+def search(file: WordFile, index: IndexFile, key: bytes) -> bytes | None:
+    lo, hi = 0, index.key_count
+    while lo < hi:
+        mid = (lo + hi) // 2
+        found, after = file.word(index.key_offset(mid))
+        if found == key:
+            return file.word(after)[0] if after < len(file.data) else b""
+        lo, hi = (mid + 1, hi) if found < key else (lo, mid)
+    return None
 
 
 class _PushingReader(_Reader):
@@ -356,14 +511,31 @@ class _PushingReader(_Reader):
 @dataclass
 class _Written(WriterCommitMessage):
     base: str | None
+    part: int = 0
+
+
+_ENDINGS = ("kv", "bt", "kvei")
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, options: dict[str, str]):
-        self.folder = options["path"]
+    """Tasks write hidden files with names of their own; ``commit`` gives them final names none else has.
+
+    Without ``name`` those are ``part-<number>-<job>``.  With it, ``<name>`` where one
+    partition has rows, else ``<name>.p<number>``, all of that name's step range.
+    Appending onto an existing name fails before anything is moved.  Overwriting removes,
+    after the new files are there, every other triple of the folder, or, with ``name``,
+    that name's.
+    """
+
+    def __init__(self, options: dict[str, str], overwrite: bool = False):
+        self.folder = options["path"].rstrip("/")
+        self.overwrite = overwrite
+        self.name = options.get("name", "").removesuffix(".kv")
+        self.job = uuid.uuid4().hex
         self.compress = options.get("compress", "false").lower() == "true"
         self.salt = int(options["salt"]) if "salt" in options else None
         self.layout = options.get("layout", "footer")
+        self.fanout = int(options.get("fanout", DEFAULT_FANOUT))
 
     def write(self, iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -372,29 +544,49 @@ class _Writer(DataSourceWriter):
         if not pairs:
             return _Written(None)
         files.make_folder(self.folder)
-        name = f"{self.folder}/.{uuid.uuid4().hex}-{TaskContext.get().partitionId():05d}"
-        write_triple(name, pairs, self.compress, self.salt, self.layout)
-        return _Written(name)
+        part = TaskContext.get().partitionId()
+        base = f"{self.folder}/.{self.job}-{uuid.uuid4().hex}"
+        write_triple(base, pairs, self.compress, self.salt, self.layout, self.fanout)
+        return _Written(base, part)
+
+    def _mine(self, file: str) -> bool:
+        """Whether an old file is to go: with a name, only that name's."""
+        base = file.rpartition(".")[0]
+        return not self.name or base == self.name or (base.startswith(f"{self.name}.p") and base[len(self.name) + 2 :].isdigit())
 
     def commit(self, messages) -> None:
-        for m in messages:
-            if m and m.base:
-                part = m.base.rpartition("-")[2]
-                for ending in ("kv", "bt", "kvei"):
-                    if files.exists(f"{m.base}.{ending}"):
-                        files.move(f"{m.base}.{ending}", f"{self.folder}/part-{part}.{ending}")
+        done = [m for m in messages if m and m.base]
+        final = lambda m: f"part-{m.part:05d}-{self.job}" if not self.name else self.name if len(done) == 1 else f"{self.name}.p{m.part:05d}"
+        held = [n for n in files.names(self.folder) if n.endswith(tuple(f".{e}" for e in _ENDINGS)) and not n.startswith(".")] if done or self.overwrite else []
+        old = [n for n in held if self._mine(n)]
+        if self.name and old and not self.overwrite:
+            self.abort(messages)
+            raise FileExistsError(f"{self.folder}/{old[0]} is there already")
+        new = set()
+        for m in done:
+            for ending in _ENDINGS:
+                if files.exists(f"{m.base}.{ending}"):
+                    name = f"{final(m)}.{ending}"
+                    if name in old:
+                        files.remove(f"{self.folder}/{name}")
+                    files.move(f"{m.base}.{ending}", f"{self.folder}/{name}")
+                    new.add(name)
+        if self.overwrite:
+            for n in old:
+                if n not in new:
+                    files.remove(f"{self.folder}/{n}")
+        self.abort([])
 
     def abort(self, messages) -> None:
-        for m in messages:
-            if m and m.base:
-                for ending in ("kv", "bt", "kvei"):
-                    if files.exists(f"{m.base}.{ending}"):
-                        files.remove(f"{m.base}.{ending}")
+        """Removes what the job's tasks left, those of lost attempts too."""
+        for n in files.names(self.folder):
+            if n.startswith(f".{self.job}-"):
+                files.remove(f"{self.folder}/{n}")
 
 
 class KvSegSource(DataSource):
-    """Options: path (a file or folder), hasMetadata, words (a row a word instead of a pair), pushdown
-    (with ``spark.sql.python.filterPushdown.enabled``); writing: compress, salt, layout."""
+    """Options: path (a file or folder), hasMetadata, words (a row a word instead of a pair), splitBytes, pushdown
+    (with ``spark.sql.python.filterPushdown.enabled``); writing: name, compress, salt, layout, fanout."""
 
     @classmethod
     def name(cls) -> str:
@@ -407,7 +599,7 @@ class KvSegSource(DataSource):
         return (_PushingReader if self.options.get("pushdown", "false").lower() == "true" else _Reader)(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options)
+        return _Writer(self.options, overwrite)
 
 
 def register(spark) -> None:

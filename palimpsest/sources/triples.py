@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.functions.steps import step_range
-from palimpsest.operators.existence import SEARCH_KEYS, VALIDATE_KEYS, Filter, find_salt
+from palimpsest.operators.existence import SALTS, SEARCH_KEYS, SLICE_WORDS, VALIDATE_KEYS, Filter, find_salt
+from palimpsest.operators.merge import MergeOptions, merge_runs
 from palimpsest.operators.stack import Run, Stack
 from palimpsest.sources import files, kvseg
 
@@ -33,19 +33,20 @@ class Cursor:
         return word
 
     def skip(self) -> int:
-        """Moves past a word; its length."""
-        return len(self.next())
+        """Moves past a word without putting it together; its length."""
+        n, self.offset = self.file.skip(self.offset)
+        return n
 
 
 class TripleReader:
-    """A .kv with the .bt and .kvei beside it, where they are there."""
+    """A .kv with the .bt and .kvei beside it, where they are there; all are read a block at a time, as asked for."""
 
     def __init__(self, path: str, has_metadata: bool = False):
-        self.name = files.name(path)
-        self.words = kvseg.WordFile(files.read(path), has_metadata)
+        self.path, self.name = path, files.name(path)
+        self.words = kvseg.WordFile.open(path, has_metadata)
         base = path.removesuffix(".kv")
-        self.index = kvseg.IndexFile.parse(files.read(f"{base}.bt")) if files.exists(f"{base}.bt") else None
-        self.filter = kvseg.FilterFile.parse(files.read(f"{base}.kvei")) if files.exists(f"{base}.kvei") else None
+        self.index = kvseg.IndexFile.parse(files.Blocks(f"{base}.bt")) if files.exists(f"{base}.bt") else None
+        self.filter = kvseg.FilterFile.parse(files.Blocks(f"{base}.kvei")) if files.exists(f"{base}.kvei") else None
         self.salt: int | None = None
 
     @property
@@ -59,17 +60,23 @@ class TripleReader:
     def pairs(self) -> Iterator[tuple[bytes, bytes]]:
         return self.words.pairs()
 
+    def cursor(self) -> Cursor:
+        return Cursor(self.words)
+
     def sample_keys(self, n: int) -> list[bytes]:
         """Evenly spaced keys by the index, else the first ones."""
         if self.index is None:
-            return [k for k, _ in zip((k for k, _ in self.pairs()), range(n))]
+            return [k for (_, k), _ in zip(self.words.keys(), range(n))]
         count = self.index.key_count
-        wanted = sorted({i * count // n for i in range(n)}) if count else []
-        return [self.words.word(self.index.key_offset(i))[0] for i in wanted]
+        n = min(n, count)
+        return [self.words.word(self.index.key_offset(i * count // n))[0] for i in range(n)]
 
     def enable_bloom(self, salt: int) -> bool:
-        """Uses the filter with ``salt`` if it holds every sampled key; else things stay as they were."""
-        if self.filter is None or not self.filter.accelerates or not self.filter.contains(self.sample_keys(VALIDATE_KEYS), salt).all():
+        """Uses the filter with ``salt`` if it holds every sampled key; else, or without a key, things stay as they were."""
+        if self.filter is None or not self.filter.accelerates:
+            return False
+        keys = self.sample_keys(VALIDATE_KEYS)
+        if not keys or not self.filter.contains(keys, salt).all():
             return False
         self.salt = salt
         return True
@@ -78,18 +85,11 @@ class TripleReader:
         """Filter, then binary search by the index, or a scan up to the key's place."""
         if self.salt is not None and not self.filter.contains([key], self.salt)[0]:
             return None
-        if self.index is None:
-            for k, v in self.pairs():
-                if k >= key:
-                    return v if k == key else None
-            return None
-        lo, hi = 0, self.index.key_count
-        while lo < hi:
-            mid = (lo + hi) // 2
-            found, after = self.words.word(self.index.key_offset(mid))
-            if found == key:
-                return self.words.word(after)[0] if after < len(self.words.data) else b""
-            lo, hi = (mid + 1, hi) if found < key else (lo, mid)
+        if self.index is not None:
+            return kvseg.search(self.words, self.index, key)
+        for k, v in self.pairs():
+            if k >= key:
+                return v if k == key else None
         return None
 
 
@@ -119,15 +119,15 @@ class WordWriter:
 
 def build_index(kv: str, out: str, layout: str = "footer", fanout: int = kvseg.DEFAULT_FANOUT, magic: bytes = bytes(8)) -> int:
     """Writes the index of a .kv file; its number of keys."""
-    file = kvseg.WordFile(files.read(kv))
-    words = list(file.words())[::2]
+    file = kvseg.WordFile.open(kv, block=1 << 22)
+    words = list(file.keys())
     files.write(out, kvseg.encode_index([o for o, _ in words], [k for _, k in words], file.size, layout, fanout, magic))
     return len(words)
 
 
 def build_filter(kv: str, salt: int, out: str) -> None:
     """Writes the existence filter of a .kv file."""
-    files.write(out, kvseg.encode_filter([k for k, _ in kvseg.WordFile(files.read(kv)).pairs()], salt))
+    files.write(out, kvseg.encode_filter([k for _, k in kvseg.WordFile.open(kv, block=1 << 22).keys()], salt))
 
 
 _ABOUT = (
@@ -154,7 +154,7 @@ class _Report:
         try:
             r = TripleReader(path, self.has_metadata)
             last, rising = None, True
-            for k, _ in r.pairs():
+            for _, k in r.words.keys():
                 rising, last = rising and (last is None or last < k), k
         except (kvseg.FormatError, OSError) as e:
             return (files.name(path), *steps, *[None] * 9, str(e))
@@ -169,22 +169,32 @@ def inspect_files(spark: SparkSession, path: str, has_metadata: bool = False) ->
     return spark.createDataFrame([(f,) for f in found], "path string").repartition(max(1, len(found))).mapInArrow(_Report(has_metadata), _ABOUT)
 
 
-def foreign_run(spark: SparkSession, path: str) -> Run:
-    """A .kv file as a run of a stack, with its filter."""
+def _filter(spark: SparkSession, path: str) -> Filter | None:
+    """A .kvei file as a table of words, which tasks read, a slice each."""
+    if not files.exists(path):
+        return None
+    f = kvseg.FilterFile.parse(files.Blocks(path))
+    if not f.accelerates:
+        return Filter(None, 0, (0, 0, 0), f.kind)
+    step, n = SLICE_WORDS, -(-f.m // 64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = kvseg.FilterFile.parse(files.Blocks(path, block=8 * step, keep=2))
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                at, bits = own.word_rows(number * step, min(n, (number + 1) * step))
+                yield pa.record_batch([pa.array(at), pa.array(bits)], names=["word", "bits"])
+
+    slices = -(-n // step)
+    return Filter(spark.range(0, slices, 1, min(slices, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(work, "word long, bits long"), f.m, f.keys)
+
+
+def foreign_run(spark: SparkSession, path: str, has_metadata: bool = False) -> Run:
+    """A .kv file as a run of a stack, with its filter.  That its keys are unique is not known."""
     kvseg.register(spark)
-    pairs = spark.read.format("kvseg").load(path).select("key", "value")
-    sibling = path.removesuffix(".kv") + ".kvei"
-    held = None
-    if files.exists(sibling):
-        f = kvseg.FilterFile.parse(files.read(sibling))
-        if f.accelerates:
-            words = np.frombuffer(f.bits.tobytes(), "<i8")
-            at = np.flatnonzero(words)
-            table = spark.createDataFrame([(int(i), int(words[i])) for i in at], "word long, bits long")
-            held = Filter(table, f.m, f.keys)
-        else:
-            held = Filter(None, 0, (0, 0, 0), f.kind)
-    return Run(files.name(path), pairs, held)
+    pairs = spark.read.format("kvseg").option("hasMetadata", str(has_metadata).lower()).load(path).select("key", "value")
+    samples = lambda n: spark.createDataFrame([(k,) for k in TripleReader(path, has_metadata).sample_keys(n)], "key binary")
+    return Run(files.name(path), pairs, _filter(spark, path.removesuffix(".kv") + ".kvei"), unique=False, samples=samples)
 
 
 def foreign_stack(spark: SparkSession, folder: str, name_filter: str = "", salt: int | str | None = None, **limits: int) -> Stack:
@@ -192,10 +202,25 @@ def foreign_stack(spark: SparkSession, folder: str, name_filter: str = "", salt:
     return Stack([foreign_run(spark, p) for p in files.with_ending(folder, ".kv") if name_filter in files.name(p)], salt, **limits)
 
 
-def search_salt(spark: SparkSession, reader: TripleReader, limit: int) -> int | None:
-    """The least salt that holds for a triple's sampled keys."""
-    if reader.filter is None or not reader.filter.accelerates:
-        return None
-    words = np.frombuffer(reader.filter.bits.tobytes(), "<i8")
-    table = spark.createDataFrame([(int(i), int(words[i])) for i in np.flatnonzero(words)], "word long, bits long")
-    return find_salt(spark, reader.sample_keys(SEARCH_KEYS), Filter(table, reader.filter.m, reader.filter.keys), limit=limit)
+def write_named(df: DataFrame, folder: str, name: str, options: MergeOptions | None = None, layout: str = "footer", parts: int = 1) -> None:
+    """Writes ``df`` (key, value in any order) as ``<name>.kv``, ``.bt`` and, with a salt, ``.kvei``.
+
+    One file is one task's work.  With ``parts``, key ranges are written as
+    ``<name>.p<number>.kv``, whose names have the same step range.
+    """
+    options = options or MergeOptions()
+    kvseg.register(df.sparkSession)
+    rows = df.select("key", "value").repartitionByRange(parts, "key").sortWithinPartitions("key")
+    writer = rows.write.format("kvseg").option("name", name).option("compress", str(options.compress).lower()).option("layout", layout).option("fanout", str(options.fanout))
+    (writer if options.salt is None else writer.option("salt", str(options.salt))).mode("append").save(folder)
+
+
+def merge_triples(runs: Sequence[Run], folder: str, name: str, options: MergeOptions | None = None, layout: str = "footer", parts: int = 1) -> None:
+    """Runs merged, newest wins, into a triple of the given name, whose step range says whether deletions are dropped."""
+    write_named(merge_runs(runs, f"{name}.kv", options), folder, name, options, layout, parts)
+
+
+def search_salt(spark: SparkSession, reader: TripleReader, limit: int = SALTS) -> int | None:
+    """The least salt that holds for a triple's sampled keys; none without a usable filter."""
+    held = _filter(spark, reader.path.removesuffix(".kv") + ".kvei")
+    return None if held is None else find_salt(spark, reader.sample_keys(SEARCH_KEYS), held, limit=limit)

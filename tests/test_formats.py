@@ -200,3 +200,126 @@ def test_triple_reader_and_foreign_stack(spark, tmp_path):
     assert w.words_count == 3 and not (tmp_path / "w.kv").exists()
     w.finish()
     assert [x for _, x in kvseg.WordFile((tmp_path / "w.kv").read_bytes()).words()] == [b"a", b"", b"b"]
+
+
+def test_random_access_of_a_monotone_sequence():
+    rng = random.Random(9)
+    for n, step in ((1, 5), (300, 1), (20_000, 37), (40_000, 5000), (3000, 0)):
+        values, at = [], 0
+        for _ in range(n):
+            at += rng.randrange(step + 1) if step else rng.choice([0, 0, 0, 100_000])
+            values.append(at)
+        ef = coding.EliasFano(coding.ef_encode(values, at + 7))
+        assert [ef.get(i) for i in range(0, n, max(1, n // 500))] == values[:: max(1, n // 500)] and ef._all is None
+        assert ef.values().tolist() == values
+    assert [coding.select64(0b1011, k) for k in range(4)] == [0, 1, 3, 64] and coding.select64(1 << 63, 0) == 63
+
+
+def test_deep_codes_need_more_than_one_table():
+    uses, a, b = [], 1, 1
+    for i in range(40):
+        uses.append((a, i))
+        a, b = b, a + b
+    built = coding.huffman(uses)
+    assert max(d for _, d, _ in built) > 2 * kvseg._Codes.TABLE_BITS
+    codes = kvseg._Codes([d for _, d, _ in built], [i for i, _, _ in built])
+    bits = coding.BitWriter()
+    order = [i % 40 for i in range(200)]
+    code_of = {i: (c, d) for i, d, c in built}
+    for i in order:
+        bits.put(*code_of[i])
+    data, bit, got = bits.flush(), 0, []
+    for _ in order:
+        i, bit = codes.read(data, bit)
+        got.append(i)
+    assert got == order
+    with pytest.raises(coding.FormatError):
+        codes.read(b"", 0)
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_skip_reads_no_bytes(compress):
+    for words in WORDS:
+        file = kvseg.WordFile(kvseg.encode_words(words, compress))
+        at = 0
+        for w in words:
+            n, after = file.skip(at)
+            assert (n, after) == (len(w), file.word(at)[1])
+            at = after
+
+
+def folder_pairs(spark, path, **options):
+    return sorted((bytes(r.key), bytes(r.value)) for r in spark.read.format("kvseg").options(**options).load(path).collect())
+
+
+def test_append_and_overwrite(spark, tmp_path):
+    kvseg.register(spark)
+    frame = lambda *keys: spark.createDataFrame([(k, b"v") for k in keys], "key binary, value binary").coalesce(1)
+    path = str(tmp_path / "t")
+    write = lambda df, mode, **o: df.sortWithinPartitions("key").write.format("kvseg").options(salt="3", **o).mode(mode).save(path)
+    write(frame(b"a", b"b"), "append")
+    write(frame(b"c"), "append")
+    assert folder_pairs(spark, path) == [(b"a", b"v"), (b"b", b"v"), (b"c", b"v")]
+    write(frame(b"d", b"e", b"f").repartitionByRange(2, "key"), "append")
+    assert len(folder_pairs(spark, path)) == 6
+    write(frame(b"x"), "overwrite")
+    assert folder_pairs(spark, path) == [(b"x", b"v")] and len(list((tmp_path / "t").iterdir())) == 3
+    # A name is a triple's own: appending onto it fails, overwriting it leaves the others.
+    write(frame(b"n1"), "append", name="d.0-1")
+    with pytest.raises(Exception, match="there already"):
+        write(frame(b"n2"), "append", name="d.0-1")
+    assert folder_pairs(spark, path) == [(b"n1", b"v"), (b"x", b"v")]
+    write(frame(b"n3", b"n4").repartitionByRange(2, "key"), "overwrite", name="d.0-1")
+    assert folder_pairs(spark, path) == [(b"n3", b"v"), (b"n4", b"v"), (b"x", b"v")]
+    assert sorted(f.name for f in (tmp_path / "t").iterdir() if f.name.startswith("d.") and f.suffix == ".kv") == ["d.0-1.p00000.kv", "d.0-1.p00001.kv"]
+    write(frame(b"n5"), "overwrite", name="d.0-1")
+    assert folder_pairs(spark, path) == [(b"n5", b"v"), (b"x", b"v")]
+    assert not [f for f in (tmp_path / "t").iterdir() if f.name.startswith(".")]
+
+
+@pytest.mark.parametrize("layout", ["footer", "legacy"])
+def test_files_are_split_by_their_index(spark, tmp_path, layout):
+    kvseg.register(spark)
+    pairs = [(b"k%05d" % i, b"" if i % 9 == 0 else b"v%d" % i * 5) for i in range(4000)]
+    kvseg.write_triple(str(tmp_path / "d"), pairs, layout=layout, compress=True)
+    df = spark.read.format("kvseg").option("splitBytes", "9000").load(str(tmp_path))
+    assert df.rdd.getNumPartitions() >= 3
+    assert folder_pairs(spark, str(tmp_path), splitBytes="9000") == pairs
+    words = spark.read.format("kvseg").option("words", "true").option("splitBytes", "9000").load(str(tmp_path))
+    assert sorted(r.pos for r in words.collect()) == list(range(8000))
+    (tmp_path / "d.bt").unlink()
+    assert spark.read.format("kvseg").option("splitBytes", "9000").load(str(tmp_path)).rdd.getNumPartitions() == 1
+    assert folder_pairs(spark, str(tmp_path), splitBytes="9000") == pairs
+
+
+def test_merge_to_a_named_triple(spark, tmp_path):
+    from palimpsest.operators.merge import MergeOptions
+    from palimpsest.sources import triples
+
+    kvseg.write_triple(str(tmp_path / "d.0-1"), [(b"a", b"1"), (b"b", b"1"), (b"c", b"1")], salt=5)
+    kvseg.write_triple(str(tmp_path / "d.1-2"), [(b"b", b""), (b"c", b"2")], salt=5)
+    runs = triples.foreign_stack(spark, str(tmp_path), "d.").runs
+    triples.merge_triples(runs, str(tmp_path), "d.0-2", MergeOptions(salt=5, fanout=1))
+    assert list(triples.TripleReader(str(tmp_path / "d.0-2.kv")).pairs()) == [(b"a", b"1"), (b"c", b"2")]
+    r = triples.TripleReader(str(tmp_path / "d.0-2.kv"))
+    assert r.index.fanout == 1 and r.enable_bloom(5) and r.get(b"b") is None
+    triples.merge_triples(runs, str(tmp_path), "d.1-3")
+    assert dict(triples.TripleReader(str(tmp_path / "d.1-3.kv")).pairs())[b"b"] == b""
+
+
+def test_a_foreign_run_with_a_key_twice(spark, tmp_path):
+    from palimpsest.operators.stack import Stack
+    from palimpsest.sources import triples
+
+    (tmp_path / "d.0-1.kv").write_bytes(kvseg.encode_words([b"a", b"1", b"a", b"2", b"b", b"3"]))
+    got = [(bytes(r.key), bytes(r.value)) for r in Stack([triples.foreign_run(spark, str(tmp_path / "d.0-1.kv"))]).resolve().collect()]
+    assert sorted(got) == [(b"a", b"2"), (b"b", b"3")]
+
+
+def test_filters_without_proof_are_not_used(spark, tmp_path):
+    from palimpsest.sources import triples
+
+    kvseg.write_triple(str(tmp_path / "d"), [(b"a", b"1"), (b"b", b"1")], salt=5)
+    (tmp_path / "d.kv").write_bytes(kvseg.encode_words([]))
+    (tmp_path / "d.bt").unlink()
+    assert not triples.TripleReader(str(tmp_path / "d.kv")).enable_bloom(5)

@@ -1,6 +1,7 @@
 """Stacks, merges, domains, filters and lookups."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.functions.steps import resolved_path, step_columns, step_range
 from palimpsest.operators import domain, existence, lookup, ngrams
@@ -103,7 +104,7 @@ def test_filter_never_misses(spark):
     f.words = f.words.persist()
     assert existence.validate_salt(keys, f, 12345)
     sample = [bytes(r.key) for r in keys.limit(16).collect()]
-    assert existence.find_salt(spark, sample, f, batch=256, limit=512) is None
+    assert existence.find_salt(spark, sample, f, chunk=64, limit=512) is None
     assert existence.contains(spark.createDataFrame([(None,)], "key binary"), f, 12345).first().maybe is False
     tiny = existence.build_filter(keys.limit(1), 1)
     assert tiny.kind == "empty" and existence.contains(keys, tiny, 1).where("not maybe").count() == 0
@@ -163,3 +164,73 @@ def test_differences_of_streams(spark):
     b = spark.createDataFrame([(0, b"a"), (1, b"c"), (2, b"d")], "pos long, word binary")
     assert sorted(r.pos for r in lookup.lockstep_difference(a, b).collect()) == [1, 2]
     assert lookup.multiset_difference(a, b).count() == 3 and lookup.multiset_difference(a, a).count() == 0
+
+
+def test_salts_are_searched_in_slices(spark, monkeypatch):
+    keys = spark.createDataFrame([(b"addr%010d" % i,) for i in range(3000)], "key binary")
+    f = existence.build_filter(keys, 700)
+    sample = [bytes(r.key) for r in keys.limit(16).collect()]
+    for words in (existence.SLICE_WORDS, 7):
+        monkeypatch.setattr(existence, "SLICE_WORDS", words)
+        assert existence.find_salt(spark, sample, f, chunk=50, limit=2000, first_chunks=2) == 700
+    assert existence.find_salt(spark, [], f) is None
+    assert existence.find_salt(spark, sample, existence.Filter(None, 0, (0, 0, 0), "empty")) is None
+    assert not existence.validate_salt(keys.limit(0), f, 700) and not existence.validate_salt(keys, existence.Filter(None, 0, (0, 0, 0), "empty"), 1)
+
+
+def test_files_of_a_domain_are_disjoint(spark, tmp_path):
+    """Many ranges, none packed with another; a lookup opens one of them."""
+    n = 20_000
+    df = spark.range(n).select(F.xxhash64("id").cast("string").cast("binary").alias("key"), F.col("id").cast("string").cast("binary").alias("value"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        domain.write_domain(df, f"file://{tmp_path}/d.0-1", salt=7)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    parts = domain.file_parts(spark, f"file://{tmp_path}/d.0-1").orderBy("first_key").collect()
+    assert len(parts) == 16 and all(bytes(a.last_key) < bytes(b.first_key) for a, b in zip(parts, parts[1:]))
+    assert [p.first_ordinal for p in parts] == [sum(q.keys for q in parts[:i]) for i in range(16)]
+    ordered = domain.read_domain(spark, f"file://{tmp_path}/d.0-1").orderBy("key").collect()
+    assert [r.ordinal for r in ordered] == list(range(n))
+    assert [r.logical_offset for r in ordered[:3]] == [0, len(ordered[0].key) + len(ordered[0].value), sum(len(r.key) + len(r.value) for r in ordered[:2])]
+    at = domain.pairs_at(spark, f"file://{tmp_path}/d.0-1", [0, 777, n - 1, n, -1]).orderBy("ordinal").collect()
+    assert [(r.ordinal, r.key) for r in at] == [(i, ordered[i].key) for i in (0, 777, n - 1)]
+    found = domain.read_pairs(spark, f"file://{tmp_path}/d.0-1").where(F.col("key") == F.lit(bytes(ordered[777].key)))
+    assert "PushedFilters: [IsNotNull(key), EqualTo(key," in found._jdf.queryExecution().executedPlan().toString()
+    # Of the files, only the one that has the key gives rows to the scan.
+    scanned = [p for p in parts if bytes(p.first_key) <= bytes(ordered[777].key) <= bytes(p.last_key)]
+    assert found.count() == 1 and len(scanned) == 1
+    assert domain.sampled_keys(spark, f"file://{tmp_path}/d.0-1", 64).count() == 64
+    nodes = spark.read.parquet(f"file://{tmp_path}/d.0-1.bt/nodes").orderBy("ordinal").collect()
+    assert [(r.ordinal, r.key) for r in nodes] == [(i, ordered[i].key) for i in range(0, n, 256)]
+
+
+def test_rejected_domains_leave_nothing(spark, tmp_path):
+    for bad in ([(b"a", b"1"), (b"b", b"1"), (b"b", b"2")], [(b"a", b"1"), (None, b"2")]):
+        with pytest.raises(domain.DomainError):
+            domain.write_domain(spark.createDataFrame(bad, "key binary, value binary"), f"file://{tmp_path}/d.0-1")
+        assert not (tmp_path / "d.0-1.kv").exists()
+    domain.write_domain(spark.createDataFrame([], "key binary, value binary"), f"file://{tmp_path}/none", salt=1)
+    about = domain.inspect(spark, f"file://{tmp_path}/none").first()
+    assert (about.key_count, about.words_count, about.filter_kind) == (0, 0, "empty") and domain.read_domain(spark, f"file://{tmp_path}/none").count() == 0
+    domain.write_domain(spark.createDataFrame([(b"", b"1"), (b"a", b"")], "key binary, value binary"), f"file://{tmp_path}/e", fanout=1, compress=True)
+    about = domain.inspect(spark, f"file://{tmp_path}/e").first()
+    assert (about.key_count, about.empty_words_count, about.logical_bytes, about.fanout, about.filter_kind) == (2, 2, 2, 1, None) and about.file_bytes > 0
+
+
+def test_stack_lookups_ask_the_filters(spark, tmp_path):
+    for i in range(4):
+        df = spark.range(500).select(F.format_string(f"{'abcd'[i]}%05d", "id").cast("binary").alias("key"), F.lit(b"v%d" % i).alias("value"))
+        domain.write_domain(df.unionByName(spark.createDataFrame([(b"all", b"%d" % i)], df.schema)), f"file://{tmp_path}/d.{i}-{i + 1}", salt=7)
+    stack = Stack.open_dir(spark, f"file://{tmp_path}", "d.", salt=7)
+    assert stack.bloom_count() == 4 and not stack.is_empty() and [r.name for r in stack.runs] == [f"d.{i}-{i + 1}.kv" for i in range(4)]
+    assert stack.get(b"all") == b"3" and stack.get(b"a00007") == b"v0" and len(stack.candidates(b"all")) == 4
+    assert sum(len(stack.candidates(b"c%05d" % i)) for i in range(10)) < 14
+    assert stack.get(b"nowhere") is None
+    assert all(r.file_bytes > 0 for r in stack.sizes().collect()) and stack.sizes().count() == 4
+    resolved = stack.resolve()
+    plan = resolved._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert resolved.count() == 2001 and resolved.where("key = cast('all' as binary)").first().value == b"3"
