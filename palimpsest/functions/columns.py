@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.coding import EliasFano, ef_encode, read_uvarint, uvarint
+from palimpsest.functions.coding import EliasFano, ef_encode, read_uvarint, select64, uvarint
 
 
 def uvarint_column(number: Column) -> Column:
@@ -33,6 +33,16 @@ def read_uvarint_column(data: Column) -> Column:
     return decode(data)
 
 
+def select64_column(bits: Column, k: int) -> Column:
+    """The place of the ``k``-th (from 0) set bit of a BIGINT's 64; 64 where there is none, null for null."""
+
+    @F.arrow_udf("int")
+    def place(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else select64(v & (2**64 - 1), k) for v in values.to_pylist()], pa.int32())
+
+    return place(bits)
+
+
 def encode_monotone(rows: DataFrame, ordinal: str, value: str, block: int) -> DataFrame:
     """``block_no, first_value, code``: the values of every ``block`` ordinals as one sequence, from its first value on.
 
@@ -58,5 +68,20 @@ def decode_monotone(codes: DataFrame, ordinal: str, value: str, block: int) -> D
     return codes.select("block_no", "first_value", "code").mapInArrow(decode, f"{ordinal} long, {value} long")
 
 
+def get_monotone(codes: DataFrame, wanted: DataFrame, ordinal: str, value: str, block: int) -> DataFrame:
+    """``ordinal, value`` of the ordinals of ``wanted`` alone: each is found in its block's code, which is not decoded."""
+
+    def find(key: tuple[pa.Scalar, ...], asked: pa.Table, held: pa.Table) -> pa.Table:
+        numbers = asked.column(ordinal).to_numpy() if held.num_rows else np.zeros(0, np.int64)
+        if held.num_rows:
+            sequence, first = EliasFano(held.column("code")[0].as_py()), held.column("first_value")[0].as_py()
+            numbers = numbers[numbers % block < len(sequence)]
+        values = [first + sequence.get(int(i)) for i in numbers % block] if len(numbers) else []
+        return pa.table({ordinal: pa.array(numbers, pa.int64()), value: pa.array(values, pa.int64())})
+
+    numbered = wanted.select(F.expr(f"{ordinal} div {block}").alias("block_no"), ordinal)
+    return numbered.groupBy("block_no").cogroup(codes.groupBy("block_no")).applyInArrow(find, f"{ordinal} long, {value} long")
+
+
 def monotone_round_trip(rows: DataFrame, ordinal: str, value: str, block: int) -> DataFrame:
     return decode_monotone(encode_monotone(rows, ordinal, value, block), ordinal, value, block)

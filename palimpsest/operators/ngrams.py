@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,21 +19,76 @@ MAX_PATTERNS = 8192
 OVERHEAD = 4
 
 
-def ngrams(words: DataFrame, word: str = "word", lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
-    """``ngram``: every overlapping stretch of each length; words shorter than a length have none of it."""
-    size = F.octet_length(word)
-    cut = lambda n: F.transform(F.sequence(F.lit(0), size - n), lambda i: F.expr(f"substring({word}, 1, 0)") if n == 0 else F.substring(F.col(word), i + 1, F.lit(n)))
-    lists = [F.when(size >= n, cut(n)).otherwise(F.array().cast("array<binary>")) for n in lengths]
-    return words.where(F.col(word).isNotNull()).select(F.explode(F.concat(*lists)).alias("ngram"))
+#: Bytes of words that are counted at once.
+PASS_BYTES = 8 << 20
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number; zeros behind the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = np.zeros(len(data), np.uint64)
+    for i in range(8):
+        out |= padded[i : i + len(data)].astype(np.uint64) << np.uint64(8 * i)
+    return out
+
+
+def _counted(data: np.ndarray, eights: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the stretches of ``n`` bytes that begin at ``at``, the place of one of each kind, and how many there are."""
+    if n < 8:
+        columns = [eights[at] & np.uint64((1 << 8 * n) - 1)]
+    else:
+        columns = [eights[at + min(i, n - 8)] for i in range(0, n, 8)]
+    h = columns[0].copy()
+    for c in columns[1:]:
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + c
+    _, first, which, uses = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    if all((c == c[first][which]).all() for c in columns):
+        return at[first], uses
+    # Two kinds with one hash: told apart by all their bytes.
+    _, first, uses = np.unique(np.stack(columns, 1), axis=0, return_index=True, return_counts=True)
+    return at[first], uses
+
+
+def _count_batches(lengths: tuple[int, ...], pass_bytes: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).drop_null().cast(pa.large_binary())
+            offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+            row = 0
+            while row < len(words):
+                upto = max(row + 1, int(np.searchsorted(offsets, offsets[row] + pass_bytes, "right")) - 1)
+                begin, end = int(offsets[row]), int(offsets[upto])
+                data = np.frombuffer(words.buffers()[2], np.uint8)[begin:end] if end > begin else np.zeros(0, np.uint8)
+                ends = np.repeat(offsets[row + 1 : upto + 1] - begin, np.diff(offsets[row : upto + 1]))
+                eights, places = _eights(data), np.arange(len(data))
+                for n in lengths:
+                    at = places[places + n <= ends]
+                    if not len(at) or n < 1:
+                        continue
+                    at, uses = _counted(data, eights, at, n)
+                    rows = data[at[:, None] + np.arange(n)]
+                    grams = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * n).astype(np.int32)), pa.py_buffer(rows.tobytes())])
+                    yield pa.record_batch([grams, pa.array(uses.astype(np.int64))], names=["ngram", "uses"])
+                row = upto
+
+    return work
+
+
+def sample_words(words: DataFrame, pos: str = "pos", most: int = SAMPLE_WORDS) -> DataFrame:
+    """The first ``most`` words by ``pos``, of which a dictionary is mined."""
+    return words.orderBy(pos).limit(most)
 
 
 def mine(words: DataFrame, word: str = "word", lengths: tuple[int, ...] = LENGTHS, most: int = MAX_PATTERNS) -> DataFrame:
-    """``ngram, uses, score``: the ``most`` best of those that occur twice or more.
+    """``ngram, uses, score``: the ``most`` best of those that occur twice or more, at every place of every word.
 
-    The score is (length - 4) * (uses - 1); ties go to the lesser bytes.  Counted with
-    map-side aggregation over all words given; take a sample first where that is wanted.
+    The score is (length - 4) * (uses - 1); ties go to the lesser bytes.  Stretches are
+    counted column-wise, batch by batch, so the shuffle gets each once a batch.  Null
+    words and those shorter than a length have none of it.  ``sample_words`` first where
+    a sample is wanted.
     """
-    counted = ngrams(words, word, lengths).groupBy("ngram").agg(F.count("*").alias("uses")).where("uses >= 2")
+    counts = words.select(F.col(word).cast("binary").alias("word")).mapInArrow(_count_batches(tuple(lengths), PASS_BYTES), "ngram binary, uses long")
+    counted = counts.groupBy("ngram").agg(F.sum("uses").alias("uses")).where("uses >= 2")
     scored = counted.withColumn("score", (F.octet_length("ngram") - OVERHEAD) * (F.col("uses") - 1))
     return scored.orderBy(F.desc("score"), F.asc("ngram")).limit(most)
 

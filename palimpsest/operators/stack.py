@@ -7,6 +7,7 @@ first as (0, 0); a merge sorts by from alone and leaves equal ones as they were
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -136,9 +137,13 @@ class Stack:
         elif salt is not None:
             self.salt = int(salt)
         if self.salt is not None:
-            for r in self.runs:
-                if r.filter is not None and existence.validate_salt(r.sample_keys(existence.VALIDATE_KEYS), r.filter, self.salt):
-                    r.salt = self.salt
+            # Small jobs, a few for each run: side by side.
+            with ThreadPoolExecutor(8) as pool:
+                for r, valid in zip(self.runs, pool.map(self._valid, self.runs)):
+                    r.salt = self.salt if valid else None
+
+    def _valid(self, r: Run) -> bool:
+        return r.filter is not None and r.filter.kind == "bloom" and existence.validate_salt(r.sample_keys(existence.VALIDATE_KEYS), r.filter, self.salt)
 
     @classmethod
     def open(cls, spark: SparkSession, bases: Sequence[str], salt: int | str | None = None, **limits: int) -> Stack:
