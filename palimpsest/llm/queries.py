@@ -20,13 +20,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each value is shared: a row for each key and value that shares anything."""
     found = spans.shared_spans(table(spark, sf_dir, "code_values"), "key", "value")
-    sums = found.groupBy("key", "n_bytes").agg(F.sum(F.col("span_to") - F.col("span_from")).alias("shared_bytes"))
+    sums = found.groupBy("key", "value_hash", "n_bytes").agg(F.sum(F.col("span_to") - F.col("span_from")).alias("shared_bytes"))
     return sums.select(_key_hex(), "n_bytes", "shared_bytes", (F.col("shared_bytes") / F.col("n_bytes")).alias("shared_part"))
 
 
 def p4_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stretches to cut so that each is left once."""
-    return spans.shared_spans(table(spark, sf_dir, "code_values"), "key", "value", removable=True).select(_key_hex(), "span_from", "span_to").distinct()
+    """The stretches to cut so that each is left whole where it was loaded first."""
+    return spans.shared_spans(table(spark, sf_dir, "code_values"), "key", "value", removable=True, rank="loaded_at").select(_key_hex(), "span_from", "span_to").distinct()
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,15 +64,28 @@ def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_shared, p4_removals, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_kinds)}
-_SPANS = """v AS (SELECT DISTINCT key, value, hex(value) AS h, octet_length(value) AS n FROM code_values WHERE octet_length(value) >= 64),
+def _runs(windows: str, name: str) -> str:
+    """Windows put together to maximal stretches ``a`` to ``b``."""
+    return f"""{name}_m AS (SELECT key, h, n, i, CASE WHEN i - lag(i) OVER (PARTITION BY key, h ORDER BY i) <= 64 THEN 0 ELSE 1 END AS new FROM {windows}),
+{name}_r AS (SELECT key, h, n, i, sum(new) OVER (PARTITION BY key, h ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM {name}_m),
+{name} AS (SELECT key, h, n, min(i) AS a, max(i) + 64 AS b FROM {name}_r GROUP BY key, h, n, run)"""
+
+
+_WINDOWS = """v AS (SELECT DISTINCT key, value, hex(value) AS h, octet_length(value) AS n FROM code_values WHERE octet_length(value) >= 64),
 w AS (SELECT key, h, n, i, md5(substr(h, 2 * i + 1, 128)) AS g FROM v, unnest(range(0, n - 63)) AS t(i)),
-m AS (SELECT key, h, n, i, CASE WHEN i - lag(i) OVER (PARTITION BY key, h ORDER BY i) <= 64 THEN 0 ELSE 1 END AS new
-  FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(DISTINCT key) > 1)),
-r AS (SELECT key, h, n, i, sum(new) OVER (PARTITION BY key, h ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM m),
-s AS (SELECT key, h, n, min(i) AS a, max(i) + 64 AS b FROM r GROUP BY key, h, n, run)"""
+x AS (SELECT * FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(DISTINCT key) > 1))"""
+_SPANS = f"{_WINDOWS}, {_runs('x', 's')}"
+# A stretch is kept by the key of the least number; what lies in no kept stretch of its own value is cut.
+_CUT = f"""{_SPANS},
+num AS (SELECT key, row_number() OVER (ORDER BY coalesce(min(loaded_at), TIMESTAMP '9999-01-01'), key) AS no FROM code_values GROUP BY key),
+own AS (SELECT x.*, no = min(no) OVER (PARTITION BY g) AS mine FROM x JOIN num ON num.key IS NOT DISTINCT FROM x.key),
+mine AS (SELECT DISTINCT key, h, n, i FROM own WHERE mine), {_runs('mine', 'k')},
+bytes AS (SELECT key, h, unnest(range(a, b)) AS p FROM s EXCEPT SELECT key, h, unnest(range(a, b)) FROM k),
+isle AS (SELECT key, h, p, p - row_number() OVER (PARTITION BY key, h ORDER BY p) AS isle FROM bytes)"""
 
 ORACLE: dict[str, str] = {
     "p4_found": f"WITH {_SPANS} SELECT DISTINCT lower(hex(key)) AS key_hex, a AS span_from, b AS span_to FROM s",
     "p4_shared": f"WITH {_SPANS} SELECT lower(hex(key)) AS key_hex, n AS n_bytes, CAST(sum(b - a) AS BIGINT) AS shared_bytes, sum(b - a) / n AS shared_part FROM s GROUP BY key, h, n",
+    "p4_removals": f"WITH {_CUT} SELECT DISTINCT lower(hex(key)) AS key_hex, min(p) AS span_from, max(p) + 1 AS span_to FROM isle GROUP BY key, h, isle",
     "p6_round_trip": "SELECT CAST(0 AS BIGINT) AS doc_id WHERE false",
 }

@@ -2,91 +2,122 @@
 
 Units are stretches of ``length`` bytes at every offset; their digests are grouped
 globally, and the offsets kept.  Lines or paragraphs as units would miss spans that
-begin inside one, and binary values have none, so the units are windows.  To hash
-few of them, a first round groups winnowed fingerprints of half the length: a window
-that occurs twice has the same least fingerprint in both places, so only windows
-around a fingerprint that another key has as well need a digest.  No pair of values
-is ever formed.
+begin inside one, and binary values have none, so the units are windows.  Few of them
+are ever digested one by one:
+
+1. Neighbouring windows with the same least fingerprint (of half a window) form a run.
+   A window that occurs twice has that fingerprint in both places, so only runs whose
+   fingerprint another key has as well go on.
+2. Runs are grouped by a digest of all their bytes.  Where a fingerprint has one such
+   digest, its windows are shared as a whole or not at all.
+3. Only of fingerprints with several digests - at the ends of shared spans and around
+   changes - are the windows digested, once a kind of run, and grouped.
+
+No pair of values is ever formed, and no list of a stretch's holders.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.domain import with_ordinals
 from palimpsest.session import materialize
 
 LENGTH = 64
 #: Bytes of values that one column-wise pass handles; a longer value is handled in pieces.
 PASS_BYTES = 1 << 20
+#: Windows of a run at most, so that those shared fit the bits of a number.
+RUN_WINDOWS = 32
+
+_SEEDS = (0x9E37, 0x79B9)
+_KEYS = ("kid", "vh")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x ^= x >> np.uint64(32)
+    x = x ^ (x >> np.uint64(32))
     x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(29)
-    return x
+    return x ^ (x >> np.uint64(29))
 
 
-def _window_hashes(data: np.ndarray, length: int, seed: int) -> np.ndarray:
-    """A 64-bit hash of each stretch of ``length`` bytes (a power of two), by halves."""
+@lru_cache(4)
+def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for each byte, the powers of a random odd base, and those of its inverse, modulo 2^64."""
     rng = np.random.default_rng(seed)
-    h = rng.integers(0, 2**64, 256, np.uint64, endpoint=False)[data]
-    width = 1
-    while width < length:
-        a, b = rng.integers(0, 2**63, 2, np.uint64) | np.uint64(1)
-        h = _mix(h[: len(h) - width] * a + h[width:] * b + (a ^ b)) if len(h) > width else np.zeros(0, np.uint64)
-        width *= 2
-    return h
-
-
-def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """Least (or greatest) of each ``width`` neighbours."""
-    pick, done = (np.minimum if least else np.maximum), 1
+    table = rng.integers(0, 2**64, 256, np.uint64, endpoint=False)
+    base = int(rng.integers(0, 2**61)) * 8 + 5
+    up, down = (np.full(n, b, np.uint64) for b in (base, pow(base, -1, 2**64)))
+    up[0] = down[0] = 1
+    return table, np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def _slide_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours."""
+    done = 1
     while done < width:
         step = min(done, width - done)
-        x = pick(x[: len(x) - step], x[step:])
+        x = np.minimum(x[: len(x) - step], x[step:])
         done += step
     return x
 
 
 class _Block:
-    """Values laid end to end."""
+    """Values laid end to end, with sums that give a hash of any stretch at once."""
 
-    def __init__(self, values: list[bytes], length: int):
+    def __init__(self, values: Sequence[bytes], length: int):
         self.sizes = np.fromiter(map(len, values), np.int64, len(values))
         self.ends = np.cumsum(self.sizes)
         self.begins = self.ends - self.sizes
         self.data = np.frombuffer(b"".join(values), np.uint8)
-        self.owner = np.repeat(np.arange(len(values)), self.sizes)
-        at = np.arange(max(0, len(self.data) - length + 1))
-        #: Offsets at which a stretch of ``length`` lies within one value.
-        self.whole = at + length <= self.ends[self.owner[at]] if len(at) else np.zeros(0, bool)
         self.length = length
-
-    def fingerprints(self) -> np.ndarray:
-        # Never 0, which stands for no window below.
-        return np.maximum(_window_hashes(self.data, self.length // 2, 1), np.uint64(1))
-
-    def least(self, h: np.ndarray) -> np.ndarray:
-        """The least fingerprint in each window."""
-        return _slide(h, self.length // 2 + 1, True)
-
-    def winnowed(self, h: np.ndarray) -> np.ndarray:
-        """Offsets whose fingerprint is the least in some window that lies within one value."""
-        width = self.length // 2 + 1
-        least = np.where(self.whole, self.least(h), np.uint64(0))
-        pad = np.zeros(width - 1, np.uint64)
-        most = _slide(np.concatenate([pad, least, pad]), width, False)
-        return np.flatnonzero((most == h) & (most != 0))
-
-
-def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[bytes]]]:
-    """(batch, rows, offsets, pieces): the values of the last column, some PASS_BYTES at a time.
+        # Powers are made once for all usual sizes.
+        self.room = max(PASS_BYTES + 2 * length, len(self.data) + 1)
+        self._sums: dict[int, np.ndarray] = {}
+
+    def hashes(self, seed: int, at: np.ndarray | slice, n: int | np.ndarray) -> np.ndarray:
+        table, up, down = _powers(seed, self.room)
+        if seed not in self._sums:
+            sums = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum(table[self.data] * up[: len(self.data)], out=sums[1:])
+            self._sums[seed] = sums
+        sums = self._sums[seed]
+        if isinstance(at, slice):
+            return _mix((sums[n:] - sums[: len(sums) - n]) * down[: len(sums) - n])
+        return _mix((sums[at + n] - sums[at]) * down[at])
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """owner, offset in its value, windows and least fingerprint of each run of windows."""
+        half = self.length // 2
+        if len(self.data) < self.length:
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        least = _slide_min(self.hashes(_SEEDS[0], slice(None), half), self.length - half + 1)
+        inside = np.ones(len(least), bool)
+        for b in self.ends[:-1]:
+            inside[max(0, b - self.length + 1) : b] = False
+        at = np.flatnonzero(inside)
+        if not len(at):
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (least[at[1:]] != least[at[:-1]])
+        first = np.flatnonzero(new)
+        long = np.diff(np.append(first, len(at)))
+        # A longer run, of bytes that repeat themselves, is cut.
+        parts = -(-long // RUN_WINDOWS)
+        which = np.repeat(np.arange(len(first)), parts)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = at[first[which]] + nth * RUN_WINDOWS
+        windows = np.minimum(RUN_WINDOWS, long[which] - nth * RUN_WINDOWS)
+        owner = np.searchsorted(self.ends, begin, "right")
+        return owner, begin, windows, least[begin]
+
+
+def _segments(batches: Iterator[pa.RecordBatch], length: int, pass_bytes: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[bytes]]]:
+    """(batch, rows, offsets, pieces): the values of the last column, some ``pass_bytes`` at a time.
 
     A longer value comes in pieces that overlap by less than ``length``, so that every
     stretch of ``length`` bytes lies in exactly one of them; its row is named by each.
@@ -98,9 +129,9 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[
         held = 0
         for row, value in enumerate(batch.column(batch.num_columns - 1)):
             data = value.as_buffer()
-            for at in range(0, max(1, len(data) - length + 1), PASS_BYTES):
-                piece = data[at : at + PASS_BYTES + length - 1].to_pybytes()
-                if held and held + len(piece) > PASS_BYTES:
+            for at in range(0, max(1, len(data) - length + 1), pass_bytes):
+                piece = data[at : at + pass_bytes + length - 1].to_pybytes()
+                if held and held + len(piece) > pass_bytes:
                     yield batch, np.array(rows), np.array(offsets), pieces
                     rows, offsets, pieces, held = [], [], [], 0
                 rows.append(row)
@@ -112,101 +143,214 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[
 
 
 def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+_PRINTS = "kid long, fp long"
+_RUNS = "kid long, vh long, fp long, ca long, cb long, place long, windows int"
+_WINDOWS = "da long, db long, ca long, cb long, nth int, kmin long, kmax long"
+
+
+def _emit_prints(length: int, pass_bytes: int):
+    """(kid, value) in; each fingerprint that is the least of a window out, once a key and pass."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows, _, pieces in _segments(batches, length, pass_bytes):
+            owner, _, _, fp = _Block(pieces, length).runs()
+            kid = batch.column(0).to_numpy()[rows[owner]]
+            order = np.lexsort((kid, fp))
+            kid, fp = kid[order], fp[order]
+            new = np.ones(len(fp), bool)
+            new[1:] = (fp[1:] != fp[:-1]) | (kid[1:] != kid[:-1])
+            yield pa.record_batch([pa.array(kid[new]), _signed(fp[new])], names=["kid", "fp"])
+
+    return work
 
 
-def _emit_fingerprints(length: int):
+def _emit_runs(length: int, pass_bytes: int):
+    """(kid, vh, value) in; its runs with their digests out."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows, _, pieces in _segments(batches, length):
+        for batch, rows, offsets, pieces in _segments(batches, length, pass_bytes):
             block = _Block(pieces, length)
-            h = block.fingerprints()
-            at = block.winnowed(h)
-            found = np.unique(np.rec.fromarrays([rows[block.owner[at]], h[at]]))
-            which = pa.array(found["f0"])
-            yield pa.record_batch([batch.column(0).take(which), batch.column(1).take(which), _signed(np.ascontiguousarray(found["f1"]))], names=["vid", "kid", "fp"])
+            owner, begin, windows, fp = block.runs()
+            a, b = (block.hashes(s, begin, windows + length - 1) for s in _SEEDS)
+            which = rows[owner]
+            place = begin - block.begins[owner] + offsets[owner]
+            ids = [pa.array(batch.column(i).to_numpy()[which]) for i in (0, 1)]
+            # Runs of one length only are alike.
+            a = _mix(a + windows.astype(np.uint64))
+            yield pa.record_batch([*ids, _signed(fp), _signed(a), _signed(b), pa.array(place), pa.array(windows.astype(np.int32))], names=["kid", "vh", "fp", "ca", "cb", "place", "windows"])
 
     return work
 
 
-def _emit_windows(length: int):
-    """(vid, kid, fps, value) in; the digests of the windows around those fingerprints out, each once a value."""
+def _emit_windows(length: int, pass_bytes: int):
+    """(runs, value) in, runs a list of (place, windows, ca, cb, kmin, kmax); a digest of each of their windows out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows, offsets, pieces in _segments(batches, length):
+        last: pa.RecordBatch | None = None
+        for batch, rows, offsets, pieces in _segments(batches, length, pass_bytes):
+            if batch is not last:
+                last = batch
+                lists = batch.column(0)
+                flat = lists.flatten()
+                place, windows, ca, cb, kmin, kmax = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(6))
+                row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                run = np.repeat(np.arange(len(place)), windows)
+                nth = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
+                where, of = place[run] + nth, row[run]
+                order = np.lexsort((where, of))
+                run, nth, where, of = run[order], nth[order], where[order], of[order]
             block = _Block(pieces, length)
-            h = block.fingerprints()
-            fps = batch.column(2).take(pa.array(np.unique(rows)))
-            known = np.unique(fps.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-            # Only a window whose least fingerprint another key has as well can be shared.
-            at = np.flatnonzero(np.isin(block.least(h), known) & block.whole)
-            if not len(at):
-                continue
-            a, b = (_window_hashes(block.data, length, s)[at] for s in (2, 3))
-            owner = block.owner[at]
-            order = np.lexsort((at, b, a, owner))
-            owner, a, b, at = owner[order], a[order], b[order], at[order]
-            new = np.ones(len(at), bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            first = np.flatnonzero(new)
-            places = (at - block.begins[owner] + offsets[owner]).astype(np.int32)
-            ends = np.append(first, len(at)).astype(np.int32) * 4
-            which = pa.array(rows[owner[first]])
-            binary = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(places.tobytes())])
-            yield pa.record_batch([batch.column(0).take(which), batch.column(1).take(which), _signed(a[first]), _signed(b[first]), binary], names=["vid", "kid", "da", "db", "places"])
+            # The windows of each piece: of its row, from its offset on.
+            for i, (r, o) in enumerate(zip(rows, offsets)):
+                lo, hi = np.searchsorted(of, r), np.searchsorted(of, r, "right")
+                lo, hi = lo + np.searchsorted(where[lo:hi], o), lo + np.searchsorted(where[lo:hi], o + pass_bytes)
+                if lo == hi:
+                    continue
+                at = where[lo:hi] - o + block.begins[i]
+                a, b = (block.hashes(s, at, length) for s in _SEEDS)
+                k = run[lo:hi]
+                columns = [_signed(a), _signed(b), *(pa.array(x[k]) for x in (ca, cb)), pa.array(nth[lo:hi].astype(np.int32)), *(pa.array(x[k]) for x in (kmin, kmax))]
+                yield pa.record_batch(columns, names=["da", "db", "ca", "cb", "nth", "kmin", "kmax"])
 
     return work
 
 
-def _emit_spans(length: int):
-    """(vid, lists of places) in; the maximal runs of covered bytes out."""
+def _covers(owner: np.ndarray, place: np.ndarray, mask: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """owner, begin, end of the maximal stretches that the windows of the masks cover; rows come by owner and place."""
+    bits = np.unpackbits(mask.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    row, nth = np.nonzero(bits)
+    owner, at = owner[row], place[row] + nth
+    if not len(at):
+        return owner, at, at
+    cut = np.flatnonzero((owner[1:] != owner[:-1]) | (at[1:] - at[:-1] > length)) + 1
+    first, end = np.append(0, cut), np.append(cut, len(at)) - 1
+    return owner[first], at[first], at[end] + length
+
+
+def _minus(shared: tuple[np.ndarray, ...], kept: tuple[np.ndarray, ...]) -> tuple[list[int], list[int], list[int]]:
+    """What of the first stretches the second ones, which lie in them, leave."""
+    out: tuple[list[int], list[int], list[int]] = ([], [], [])
+    k = list(zip(*(x.tolist() for x in kept)))
+    i = 0
+    for o, lo, hi in zip(*(x.tolist() for x in shared)):
+        while i < len(k) and k[i][0] == o and k[i][1] < hi:
+            if k[i][1] > lo:
+                for column, x in zip(out, (o, lo, k[i][1])):
+                    column.append(x)
+            lo = k[i][2]
+            i += 1
+        if lo < hi:
+            for column, x in zip(out, (o, lo, hi)):
+                column.append(x)
+    return out
+
+
+def _emit_spans(length: int, removable: bool):
+    """(kid, vh, place, shared, kept) in, by value and place; spans out.  A value is handled when its last row is there."""
+
+    def spans(kid, vh, place, shared, kept) -> pa.RecordBatch:
+        new = np.ones(len(kid), bool)
+        new[1:] = (kid[1:] != kid[:-1]) | (vh[1:] != vh[:-1])
+        owner, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        found = _covers(owner, place, shared, length)
+        if removable:
+            found = tuple(np.array(x, np.int64) for x in _minus(found, _covers(owner, place, kept, length)))
+        o, lo, hi = found
+        return pa.record_batch([pa.array(kid[first][o]), pa.array(vh[first][o]), pa.array(lo), pa.array(hi)], names=["kid", "vh", "span_from", "span_to"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
         for batch in batches:
-            vids, los, his = [], [], []
-            for vid, lists in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at = np.sort(np.frombuffer(b"".join(lists), np.int32)).astype(np.int64)
-                cut = np.flatnonzero(at[1:] - at[:-1] > length) + 1
-                los.append(at[np.append(0, cut)])
-                his.append(at[np.append(cut, len(at)) - 1] + length)
-                vids.append(np.full(len(cut) + 1, vid))
-            if vids:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (vids, los, his)], names=["vid", "span_from", "span_to"])
+            rows = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            if not len(rows[0]):
+                continue
+            ended = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            cut = int(ended[-1]) + 1 if len(ended) else 0
+            if cut:
+                yield spans(*(x[:cut] for x in rows))
+            held = [x[cut:] for x in rows]
+        if held is not None and len(held[0]):
+            yield spans(*held)
 
     return work
 
 
-def shared_spans(df: DataFrame, key: str, value: str, length: int = LENGTH, removable: bool = False) -> DataFrame:
-    """``key, n_bytes, span_from, span_to``: maximal runs of bytes shared with another key's value.
+def ranked_keys(df: DataFrame, rank: str | None) -> DataFrame:
+    """``key, kid``: keys numbered by their earliest ``rank`` (a timestamp, null last), then by their bytes, null first.
+
+    A sort of the keys alone.
+    """
+    when = F.min(F.unix_micros(F.col(rank).cast("timestamp"))) if rank else F.lit(0)
+    keys = df.groupBy("key").agg(F.coalesce(when.cast("long"), F.lit(2**61)).alias("when"))
+    # Eight bytes of time that sort as it does, then the key.
+    order = F.concat(F.unhex(F.lpad(F.hex(F.col("when") + F.lit(2**60)), 16, "0")), F.when(F.col("key").isNull(), F.lit(b"\0")).otherwise(F.concat(F.lit(b"\1"), F.col("key"))))
+    numbered = with_ordinals(keys.select(order.alias("key"), F.col("key").alias("own")))
+    return numbered.select(F.col("own").alias("key"), F.col("ordinal").alias("kid"))
+
+
+def shared_spans(df: DataFrame, key: str, value: str, length: int = LENGTH, removable: bool = False, rank: str | None = None) -> DataFrame:
+    """``key, value_hash, n_bytes, span_from, span_to``: maximal runs of bytes shared with another key's value.
 
     A byte is shared when a stretch of ``length`` bytes or more around it occurs in a
     row of another key; repeats within a value or among a key's own rows do not count.
     Null, empty and shorter values share nothing; a null key is a key of its own;
-    repeated rows count once; an empty table gives no rows.
+    repeated rows count once; an empty table gives no rows; columns beside key, value
+    and rank are ignored.
 
-    ``removable``: only the spans that the key ranked first among those that share them
-    (by hash of the key, so ties cannot be) does not keep: cutting these leaves every
-    shared stretch once, and the offsets are those in the original values.
+    ``removable``: only what may be cut.  Of the keys that hold a stretch the first by
+    ``rank`` (a timestamp; null last, ties by key) keeps it, and cut are the shared bytes
+    of no stretch that their own value keeps: every shared stretch is left whole where
+    it is kept, and the offsets are those in the original values.
 
-    Hot stretches are cut to one row a value before any shuffle, and grouped with
-    map-side aggregation; no list of the values that share a stretch is built.
+    Equal runs meet by their digest, aggregated before each shuffle; a value is shuffled
+    at most once, and only where its runs differ from others of the same fingerprint.
     """
     if length < 4 or length & (length - 1):
         raise ValueError("length must be a power of two, 4 at least")
-    kid = F.xxhash64(F.col("key"), F.col("key").isNull())
-    values = df.select(F.col(key).alias("key"), F.col(value).cast("binary").alias("value")).where(F.octet_length("value") >= length).distinct()
-    values = materialize(values.select(F.monotonically_increasing_id().alias("vid"), kid.alias("kid"), "key", "value"), "span-values")
-
-    prints = values.select("vid", "kid", "value").mapInArrow(_emit_fingerprints(length), "vid long, kid long, fp long")
-    prints = materialize(prints, "fingerprints")
-    in_two = prints.groupBy("fp").agg(F.min("kid").alias("a"), F.max("kid").alias("b")).where("a <> b").select("fp")
-    near = prints.join(in_two, "fp", "left_semi").groupBy("vid").agg(F.collect_list("fp").alias("fps"))
-    asked = values.join(near, "vid").select("vid", "kid", "fps", "value")
-    windows = materialize(asked.mapInArrow(_emit_windows(length), "vid long, kid long, da long, db long, places binary"), "windows")
-
-    shared = windows.groupBy("da", "db").agg(F.min("kid").alias("first"), F.max("kid").alias("other")).where("first <> other")
+    values = df.select(F.col(key).alias("key"), F.col(value).cast("binary").alias("value"), *([F.col(rank).alias("rank")] if removable and rank else []))
     if removable:
-        hits = windows.join(shared, ["da", "db"]).where("kid <> first")
+        # Numbered by rank, so that the least number keeps.
+        numbers = ranked_keys(values, "rank" if rank else None).withColumnRenamed("key", "__key")
+        values = values.join(numbers, F.col("key").eqNullSafe(F.col("__key")))
     else:
-        hits = windows.join(shared.select("da", "db"), ["da", "db"], "left_semi")
-    spans = hits.groupBy("vid").agg(F.collect_list("places").alias("places")).mapInArrow(_emit_spans(length), "vid long, span_from long, span_to long")
-    return values.join(spans, "vid").select("key", F.octet_length("value").cast("long").alias("n_bytes"), "span_from", "span_to")
+        values = values.withColumn("kid", F.xxhash64("key", F.col("key").isNull()))
+    values = values.where(F.octet_length("value") >= length).select("kid", F.xxhash64("value").alias("vh"), "key", "value")
+    if removable:
+        values = materialize(values, "ranked-values")
+    size = PASS_BYTES
+
+    prints = values.select("kid", "value").mapInArrow(_emit_prints(length, size), _PRINTS)
+    in_two = materialize(prints.groupBy("fp").agg(F.min("kid").alias("a"), F.max("kid").alias("b")).where("a <> b").select("fp"), "shared-fingerprints")
+    runs = values.select("kid", "vh", "value").mapInArrow(_emit_runs(length, size), _RUNS)
+    runs = materialize(runs.join(in_two, "fp", "left_semi"), "runs")
+
+    # One row a kind of run: who holds it, and one place where it is.
+    kinds = runs.groupBy("ca", "cb").agg(F.min("kid").alias("kmin"), F.max("kid").alias("kmax"), *[F.first(c).alias(c) for c in ("fp", *_KEYS, "place", "windows")])
+    kinds = materialize(kinds, "kinds")
+    several = kinds.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    asked = kinds.join(several, "fp", "left_semi").groupBy(*_KEYS).agg(F.collect_list(F.struct("place", "windows", "ca", "cb", "kmin", "kmax")).alias("runs"))
+    # Repeated rows have one id and the same windows; one of them will do.
+    texts = values.select(*_KEYS, "value").join(asked, list(_KEYS)).select("runs", "value")
+    windows = materialize(texts.mapInArrow(_emit_windows(length, size), _WINDOWS), "windows")
+    digests = windows.groupBy("da", "db").agg(F.min("kmin").alias("first"), F.max("kmax").alias("other")).where("first <> other")
+    if not removable:
+        # The windows of a run that two keys hold are all shared.
+        windows = windows.where("kmin = kmax")
+    bit = F.expr("shiftleft(1L, nth)")
+    masks = windows.join(digests, ["da", "db"]).groupBy("ca", "cb").agg(F.bit_or(bit).alias("shared"), F.bit_or(F.when(F.col("first") == F.col("kmin"), bit).otherwise(0)).alias("kept"), F.first("kmin").alias("kmin"))
+    every = F.expr("shiftleft(1L, windows) - 1")
+    whole = kinds.where("kmin <> kmax").select("ca", "cb", every.alias("shared"), every.alias("kept"), "kmin")
+    if removable:
+        whole = whole.join(masks.select("ca", "cb"), ["ca", "cb"], "left_anti")
+    masks = materialize(whole.unionByName(masks), "masks")
+
+    kept = F.when(F.col("kid") == F.col("kmin"), F.col("kept")).otherwise(F.lit(0))
+    hits = runs.join(masks, ["ca", "cb"]).select(*_KEYS, "place", "shared", kept.cast("long").alias("kept"))
+    spans = hits.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "place").mapInArrow(_emit_spans(length, removable), "kid long, vh long, span_from long, span_to long")
+    names = values.groupBy(*_KEYS).agg(F.first("key").alias("key"), F.first(F.octet_length("value")).cast("long").alias("n_bytes"))
+    return spans.join(names, list(_KEYS)).select("key", F.col("vh").alias("value_hash"), "n_bytes", "span_from", "span_to")

@@ -46,11 +46,52 @@ def test_shared_spans(spark, length):
     got = found_spans(spans.shared_spans(df, "key", "value", length))
     want = brute_spans(data, length)
     assert want and len(got) == len(set(got)) and set(got) == want
-    # What is to be removed is part of what is shared; without it, every stretch is still somewhere.
+    check_removals(spark, data, length, want)
+
+
+def check_removals(spark, data, length, want):
+    """What is cut is part of what is shared, and every shared stretch is whole in some piece that is left."""
+    df = spark.createDataFrame([(k, v, 1, "x") for k, v in data], SCHEMA)
     cut = {}
-    for k, _, a, b in found_spans(spans.shared_spans(df, "key", "value", length, removable=True)):
-        cut.setdefault(k, []).append((a, b))
-    assert all(any(w[0] == k and w[2] <= a and b <= w[3] for w in want) for k, v in cut.items() for a, b in v)
+    for r in spans.shared_spans(df, "key", "value", length, removable=True).collect():
+        cut.setdefault((None if r.key is None else bytes(r.key), r.n_bytes, r.value_hash), []).append((r.span_from, r.span_to))
+    assert all(any(w[0] == k and w[1] == n and w[2] <= a and b <= w[3] for w in want) for (k, n, _), v in cut.items() for a, b in v)
+    hashes = {bytes(r.value): r.h for r in df.where("value is not null").select("value", spans.F.xxhash64("value").alias("h")).distinct().collect()}
+    seen, left = {}, set()
+    for k, v in {(k, v) for k, v in data if v is not None and len(v) >= length}:
+        for i in range(len(v) - length + 1):
+            seen.setdefault(v[i : i + length], set()).add(k)
+        at = 0
+        for a, b in [*sorted(cut.get((k, len(v), hashes[v]), [])), (len(v), len(v))]:
+            left |= {v[i : i + length] for i in range(at, a - length + 1)}
+            at = b
+    assert {w for w, keys in seen.items() if len(keys) > 1} <= left
+    return cut
+
+
+def test_removals_of_a_chain_of_overlaps(spark):
+    """The middle of three overlapping copies is not cut to pieces too short to hold a stretch."""
+    for seed in range(6):
+        whole = random.Random(seed).randbytes(300)
+        data = [(b"x%d" % seed, whole[:200]), (b"y", whole), (b"z%d" % seed, whole[100:])]
+        cut = check_removals(spark, data, 64, brute_spans(data, 64))
+        assert sum(b - a for v in cut.values() for a, b in v) >= 200
+
+
+def test_removals_keep_the_earliest(spark):
+    stretch = random.Random(2).randbytes(150)
+    rows = [(b"a", stretch, "2024-01-03"), (b"b", b"!" + stretch, "2024-01-01"), (b"c", stretch + b"?", None), (b"b", b"later" + stretch, "2024-02-01")]
+    df = spark.createDataFrame(rows, "key binary, value binary, t string").select("key", "value", spans.F.to_timestamp("t").alias("t"))
+    got = sorted((bytes(r.key), r.span_from, r.span_to) for r in spans.shared_spans(df, "key", "value", removable=True, rank="t").collect())
+    assert got == [(b"a", 0, 150), (b"c", 0, 150)]
+
+
+def test_values_of_repeated_bytes(spark):
+    """Runs of one fingerprint that are longer than a run may be, at other offsets in each."""
+    data = [(b"k%d" % i, bytes([i]) * i + bytes(500 + 7 * i) + b"\1\2" * (40 + i) + bytes([i]) * 70) for i in range(1, 6)]
+    df = spark.createDataFrame([(k, v, 1, "x") for k, v in data], SCHEMA)
+    assert set(found_spans(spans.shared_spans(df, "key", "value"))) == brute_spans(data, 64)
+    check_removals(spark, data, 64, brute_spans(data, 64))
 
 
 def test_values_longer_than_a_pass(spark, monkeypatch):
@@ -58,28 +99,8 @@ def test_values_longer_than_a_pass(spark, monkeypatch):
     rng = random.Random(6)
     pieces = [rng.randbytes(rng.randrange(20, 700)) for _ in range(6)]
     data = [(b"k%d" % i, b"".join(rng.choice([rng.randbytes(50), rng.choice(pieces)]) for _ in range(6))) for i in range(40)]
-    # The patched size must reach the workers: the functions are called here as a worker would.
-    values = spark.createDataFrame([(i, i, v) for i, (_, v) in enumerate(data)], "vid long, kid long, value binary").toArrow()
-    got = [tuple(b.column(j).to_pylist() for j in range(3)) for b in spans._emit_fingerprints(32)(iter(values.to_batches()))]
-    fps = {}
-    for vid, kid, fp in got:
-        for v, f in zip(vid, fp):
-            fps.setdefault(f, set()).add(v)
-    import pyarrow as pa
-
-    near = [[f for f, vs in fps.items() if i in vs and len(vs) > 1] for i in range(len(data))]
-    table = pa.record_batch([pa.array(range(len(data))), pa.array(range(len(data))), pa.array(near, pa.list_(pa.int64())), pa.array([v for _, v in data], pa.binary())], names=["vid", "kid", "fps", "value"])
-    seen, at = {}, {}
-    for b in spans._emit_windows(32)(iter([table])):
-        for vid, da, db, places in zip(*(b.column(j).to_pylist() for j in (0, 2, 3, 4))):
-            seen.setdefault((da, db), set()).add(vid)
-            at.setdefault((da, db), []).extend((vid, p) for p in np.frombuffer(places, np.int32).tolist())
-    shared = {x for d, vs in seen.items() if len(vs) > 1 for x in at[d]}
-    brute = {}
-    for i, (_, v) in enumerate(data):
-        for p in range(len(v) - 31):
-            brute.setdefault(v[p : p + 32], set()).add((i, p))
-    assert shared == {x for places in brute.values() if len({i for i, _ in places}) > 1 for x in places}
+    df = spark.createDataFrame([(k, v, 1, "x") for k, v in data], SCHEMA)
+    assert set(found_spans(spans.shared_spans(df, "key", "value", 32))) == brute_spans(data, 32)
 
 
 def test_shared_spans_of_nothing_and_one_long_value(spark):
