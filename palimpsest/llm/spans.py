@@ -35,6 +35,9 @@ PASS_BYTES = 1 << 20
 #: Windows of a run at most, so that those shared fit the bits of a number.
 RUN_WINDOWS = 32
 
+#: Fingerprints (8 bytes each) up to which those that two keys have are broadcast; more are met by a shuffle of the runs.
+BROADCAST_PRINTS = 1_000_000
+
 _SEEDS = (0x9E37, 0x79B9)
 _KEYS = ("kid", "vh")
 
@@ -327,7 +330,7 @@ def shared_spans(df: DataFrame, key: str, value: str, length: int = LENGTH, remo
     prints = values.select("kid", "value").mapInArrow(_emit_prints(length, size), _PRINTS)
     in_two = materialize(prints.groupBy("fp").agg(F.min("kid").alias("a"), F.max("kid").alias("b")).where("a <> b").select("fp"), "shared-fingerprints")
     runs = values.select("kid", "vh", "value").mapInArrow(_emit_runs(length, size), _RUNS)
-    runs = materialize(runs.join(in_two, "fp", "left_semi"), "runs")
+    runs = materialize(runs.join(F.broadcast(in_two) if in_two.count() <= BROADCAST_PRINTS else in_two, "fp", "left_semi"), "runs")
 
     # One row a kind of run: who holds it, and one place where it is.
     kinds = runs.groupBy("ca", "cb").agg(F.min("kid").alias("kmin"), F.max("kid").alias("kmax"), *[F.first(c).alias(c) for c in ("fp", *_KEYS, "place", "windows")])
