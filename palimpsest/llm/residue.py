@@ -11,93 +11,28 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from palimpsest.llm import phrases
+
 #: Part of the letters of a document's rest, or of a paragraph, that matches must cover.
 COVERAGE = 0.7
+#: The same where the match is the whole document, which then has no line of the author's, and should be no prose.
+WHOLE_COVERAGE = 0.5
+#: And of all its letters, those of words that say nothing by themselves among them.
+MATCHED = 0.12
 #: Filler words a paragraph must have at least, and sentences of filler.
 FILLER_WORDS, FILLER_SENTENCES = 5, 1
 
-# What scaffold tools ask for, and the ways they write an open slot.
-FIELDS = (
-    "app name", "author", "author name", "class name", "company", "company name", "component", "copyright holder", "description",
-    "email", "entry point", "holder", "homepage", "licence", "licence name", "license", "license name", "maintainer", "module name",
-    "organization", "owner", "owner team", "package", "package name", "project", "project description", "project name", "repo",
-    "repo name", "repo slug", "repository", "service", "service name", "short description", "short summary", "summary",
-    "support contact", "team", "team name", "title", "username", "version", "year", "your name",
-)
-_SNAKE = ("{{ %s }}", "{{%s}}", "{%% %s %%}", "#{%s}", "${%s}", "%%%s%%", "$$%s$$", "@@%s@@", "__%s__", "%s_placeholder", "placeholder_%s", "replace_me_%s", "change_me_%s", "your_%s_here", "<%%= %s %%>")
-_OWNERS = ("scaffold", "cookiecutter", "template", "project")
-_SPACED = ("[[%s]]", "[[ %s ]]", "[your %s]", "[insert %s]", "[insert %s here]", "<your %s here>", "<your %s>", "<insert %s>", "<insert %s here>", "«%s»", "[%s here]", "<%s here>")
-_KEBAB = ("todo-%s-here", "your-%s-here", "replace-me-%s")
-
-# Reason phrases of error replies.
-STATUS = (
-    "bad request", "unauthorized", "payment required", "forbidden", "not found", "page not found", "method not allowed", "request timeout", "conflict",
-    "gone", "too many requests", "unavailable for legal reasons", "internal server error", "bad gateway", "service unavailable",
-    "service temporarily unavailable", "gateway timeout", "gateway time-out",
-)
-
-# Sentences of error pages, by who speaks and what is wrong, and those that stand alone.
-_WHO = (
-    "the gateway", "the origin", "the mirror", "the upstream server", "the server", "the host", "this host", "our file service", "the file", "the page",
-    "the requested raw file", "the requested url", "the requested page", "the requested file", "the requested resource", "the object you asked for", "this path", "this blob", "this repository", "this page", "this file",
-    "that revision", "that path", "the site", "this site", "the service",
-)
-_WRONG = (
-    "returned an unexpected reply", "refused the request", "is down for maintenance and will be back soon", "is down for maintenance", "does not exist on this server",
-    "does not exist", "could not be found", "was not found on this server", "was not found", "gave no answer", "is no longer at this address", "is over its limit",
-    "cannot be reached", "timed out after 30 seconds", "timed out", "is private", "is too large to show", "is locked until you sign in", "was moved or removed",
-    "cannot be read right now", "is temporarily unavailable", "is not available",
-)
-_ALONE = (
-    "rate limit reached, slow down", "access denied", "you have sent more requests than this mirror allows", "we could not find the page you were looking for",
-    "no such revision or path", "your session has ended. sign in to see this file", "something went wrong on our side", "something went wrong", "oh no, that link is broken",
-    "try again later", "please try again later", "please retry", "sorry", "oops", "you do not have permission to access this resource", "you don't have permission to access this resource",
-    "seite nicht gefunden", "zugriff verweigert", "page non trouvée", "accès refusé", "página no encontrada", "acceso denegado", "página não encontrada", "acesso negado",
-    "pagina non trovata", "accesso negato", "страница не найдена", "доступ запрещен", "доступ запрещён", "ページが見つかりません", "页面不存在", "找不到页面", "访问被拒绝", "페이지를 찾을 수 없습니다",
-)
-
-# Notices that scripts must be on.
-_SCRIPTS = ("javascript", "client-side scripts", "scripts", "scripting", "java script")
-_ASK = ("you must enable", "please enable", "please turn on", "turn on", "switch on", "you need to allow", "you need to enable", "please activate", "enable")
-_NEED = ("needs", "requires", "depends on", "does not work without", "cannot be shown without", "works best with", "must have")
-_WHAT = ("this page", "this site", "this website", "this app", "this application", "the code viewer", "the file viewer", "the browser view", "our app", "our site")
-_BROWSER = ("does not support", "has blocked", "is not running", "has disabled")
-_AFTER = (
-    "in your browser", "to view this page", "and reload", "to run this app", "before you continue", "to open the file viewer", "which this viewer needs",
-    "to continue", "and cookies to continue", "to use this site",
-)
-_NOTICES = (
-    "javascript is disabled in your browser", "scripts are blocked; the file viewer cannot start",
-    "checking your browser before showing the file. scripts and cookies must be on", "javascript is required", "javascript is disabled",
-    "active javascript para ver este archivo", "ohne skripte kann die datei nicht angezeigt werden", "ative o javascript no navegador para continuar",
-    "veuillez activer javascript pour afficher ce fichier", "veuillez activer javascript", "bitte schalten sie javascript ein, um diese seite zu sehen",
-    "bitte aktivieren sie javascript", "для просмотра файла включите javascript", "включите javascript", "per vedere questa pagina bisogna attivare javascript",
-    "このページを表示するにはjavascriptを有効にしてください", "javascriptを有効にしてください", "请启用javascript", "javascript를 활성화하세요", "habilite javascript", "abilita javascript", "schakel javascript in",
-)
-
-# Sentences and words of filler.
-_FILLER_SENTENCES = (
-    "coming soon", "replace this paragraph with your own words", "add your content here", "write something about this section", "description goes here",
-    "placeholder paragraph", "placeholder text", "dummy text", "sample text", "text goes here", "your text here", "insert text here", "content goes here", "lorem ipsum",
-    "hier steht ein text", "blindtext", "texte à remplacer", "texto de ejemplo", "texto de exemplo", "testo di prova", "текст-заполнитель", "ダミーテキスト", "示例文本",
-)
-FILLER_LATIN = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
-    "exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur "
-    "excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum ullam porta nunc mauris ligula vitae ornare"
-).split()
-FILLER_NOISE = "blah bla yada xxx tbd foo bar baz qux asdf qwerty".split()
-
 TEMPLATE_FOLDERS = frozenset(("template", "templates", "scaffold", "scaffolds", "scaffolding", "skeleton", "skeletons", "boilerplate", "cookiecutter", "archetype", "generators"))
 TEMPLATE_ENDINGS = (".tmpl", ".tpl", ".template", ".j2", ".jinja", ".jinja2", ".erb", ".mustache", ".hbs", ".handlebars", ".ejs", ".in", ".liquid", ".twig", ".dist", ".sample", ".cookiecutter")
 _CODE = frozenset(("py", "pyi", "js", "mjs", "cjs", "jsx", "ts", "tsx", "go", "java", "rs", "c", "h", "cc", "cpp", "hpp", "css", "scss", "sql", "sh", "bash", "kt", "rb", "php", "swift", "scala"))
 
+_PROSE = frozenset(("md", "markdown", "rst", "txt", "adoc", "tex", "org"))
 _HASH = frozenset(("py", "pyi", "sh", "bash", "rb", "php"))
 _DASH = frozenset(("sql",))
 _TRIPLE = frozenset(("py", "pyi", "kt", "java", "scala", "swift"))
@@ -105,9 +40,12 @@ _TICK = frozenset(("js", "mjs", "cjs", "jsx", "ts", "tsx", "go"))
 
 SLOT, PAGE, NOTICE, FILLER = "slot", "page", "notice", "filler"
 
-#: Words of pages that carry an error but say nothing themselves.
+#: Of pages, what is no word: addresses, times, numbers, names of servers with versions, traces of a stack.
 _WRAPPING = re.compile(
-    r"https?://\S+|\b[a-z][\w-]*/\d+(?:\.\d+)+|\bback to (?:start|home|the home page)\b|\b(?=[0-9a-f-]*\d)[0-9a-f-]{6,}\b|\b(?:request|requests|requestid|hostid|resource|reference|ref|id|trace|error|errors|code|reason|message|status|docs|help|terms|oops|http|title|home|contact|back|at|fetch failed|traceback of the exporter follows)\b"
+    r"https?://\S+|\bat [\w.$<>]+\([^()\n]*\)|\b(?:java|javax|org|com)\.[\w.$]+|\b[a-z][\w.-]*/\d+(?:\.\d+)*|\b(?=[\w-]*\d)[\w-]{4,}\b|\b\S*[+/=]\S{12,}|\b(?:[a-z0-9-]+\.)+(?:com|org|net|io|dev|edu|gov|example|local|invalid|test)\b"
+    r"|\b(?:mon|tue|wed|thu|fri|sat|sun|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b|\b(?:gmt|utc|am|pm)\b|\b(?:get|head|post|put) /\S*|\bfetch failed\b|\btraceback of the [a-z]+ follows\b"
+    # Without blanks between words: what such notices say around their phrases.
+    r"|このページ|このサイト|このファイル|お使いの|お探しの|ブラウザ|ページ|ファイル|表示するには|利用するには|続行するには|にしてください|してください|ください|設定|请求的|您的|请在|请|浏览器|中|以继续|以查看|查看|此页面|页面|文件|您|的|이 페이지를|이 사이트를|브라우저에서|브라우저|페이지|파일|보려면|사용하려면|계속하려면|하세요|하십시오|해주세요"
 )
 _ELEMENTS = re.compile(r"<(script|style|title)\b[^>]*>.*?</\1\s*>", re.S)
 _TAG = re.compile(r"</?[a-z!?][^<>\n]*>")
@@ -132,53 +70,53 @@ def automaton():
     import ahocorasick
 
     found: dict[str, str] = {}
-    for field in FIELDS:
+    for field in phrases.FIELDS:
         snake, kebab, tight = field.replace(" ", "_"), field.replace(" ", "-"), field.replace(" ", "")
         for s in {snake, tight, kebab}:
-            found |= {f % s: SLOT for f in _SNAKE}
-        found |= {"{{ %s.%s }}" % (o, snake): SLOT for o in _OWNERS} | {"{{%s.%s}}" % (o, snake): SLOT for o in _OWNERS}
-        found |= {f % field: SLOT for f in _SPACED} | {f % kebab: SLOT for f in _KEBAB}
-    found |= {s: FILLER for s in _FILLER_SENTENCES}
-    found |= {" ".join(x): NOTICE for x in product(_ASK, _SCRIPTS)} | {" ".join(x): NOTICE for x in product(_WHAT, _NEED, _SCRIPTS)}
-    found |= {" ".join(x): NOTICE for x in product(("your browser",), _BROWSER, _SCRIPTS)} | {s: NOTICE for s in (*_NOTICES, *_AFTER)}
-    found |= {" ".join(x): PAGE for x in product(_WHO, _WRONG)} | {s: PAGE for s in (*STATUS, *_ALONE)}
-    found |= {s.replace(" ", by): PAGE for s in STATUS for by in ("", "_", "-") if " " in s}
+            found |= {f % s: SLOT for f in phrases.SNAKE}
+        for o in phrases.OWNERS:
+            found |= {"{{ %s.%s }}" % (o, snake): SLOT, "{{%s.%s}}" % (o, snake): SLOT}
+        found |= {f % field: SLOT for f in phrases.SPACED} | {f % kebab: SLOT for f in phrases.KEBAB}
+    found |= {s: "hint" for s in phrases.SLOT_HINTS if s not in found}
+    found |= {s: FILLER for s in phrases.FILLER_SENTENCES}
+    found |= {s: NOTICE for s in (*phrases.NOTICE, *phrases.NOTICE_ELSEWHERE)}
+    found |= {s: PAGE for s in (*phrases.STATUS, *phrases.WRONG, *phrases.WRONG_ELSEWHERE)}
+    found |= {s.replace(" ", by): PAGE for s in phrases.STATUS for by in ("", "_", "-") if " " in s}
     a = ahocorasick.Automaton()
     for phrase, kind in found.items():
         a.add_word(phrase, (kind, len(phrase)))
     # Words that filler is full of and other text is not: where three are met, paragraphs are weighed.
-    for word in ("lorem", "ipsum", "velit", "cillum", "fugiat", "aliqua", "ligula", "ornare", "ullam", "mauris", "veniam", "blah", "yada", " bla ", " xxx "):
+    for word in ("lorem", "ipsum", "velit", "cillum", "fugiat", "aliqua", "ligula", "ornare", "ullam", "mauris", "veniam", "voluptat", "perspiciatis", "accusam", "dolore", "vestibulum", "blah", "yada", " bla ", " xxx "):
         if word not in found:
             a.add_word(word, ("word", len(word)))
     a.make_automaton()
     return a
 
 
-#: Phrases that begin a page or notice; the others only go on one.
-_GO_ON = frozenset((*_AFTER, "sorry", "oops", "try again later", "please try again later", "please retry"))
+def _joins(a: str, b: str) -> bool:
+    """Whether two neighbouring signs are of one word; scripts without blanks end none."""
+    return a.isalnum() and b.isalnum() and a < "\u2e80" and b < "\u2e80"
 
 
 def _within_word(text: str, begin: int, end: int) -> bool:
     """Whether a match begins or ends inside a longer word."""
-    return (text[begin].isalnum() and begin > 0 and text[begin - 1].isalnum() and text[begin].isascii()) or (
-        text[end - 1].isalnum() and text[end - 1].isascii() and end < len(text) and text[end].isalnum()
-    )
+    return (begin > 0 and _joins(text[begin - 1], text[begin])) or (end < len(text) and _joins(text[end - 1], text[end]))
 
 
-def _covered(text: str, kinds: tuple[str, ...]) -> list[tuple[int, int, bool]]:
-    """Matches of ``kinds`` as disjoint stretches, and whether each can begin a page."""
+def _covered(text: str, kinds: tuple[str, ...]) -> list[tuple[int, int, str]]:
+    """Matches of ``kinds`` as disjoint stretches with the kind of their first."""
     spans = []
     for last, (kind, n) in automaton().iter(text):
         if kind in kinds and not _within_word(text, last + 1 - n, last + 1):
-            spans.append((last + 1 - n, last + 1, text[last + 1 - n : last + 1] not in _GO_ON))
+            spans.append((last + 1 - n, last + 1, kind))
     spans.sort(key=lambda s: (s[0], -s[1]))
-    out: list[tuple[int, int, bool]] = []
-    for lo, hi, begins in spans:
+    out: list[tuple[int, int, str]] = []
+    for lo, hi, kind in spans:
         if out and lo < out[-1][1]:
             if hi > out[-1][1]:
-                out[-1] = (out[-1][0], hi, out[-1][2] or begins)
+                out[-1] = (out[-1][0], hi, out[-1][2])
         else:
-            out.append((lo, hi, begins))
+            out.append((lo, hi, kind))
     return out
 
 
@@ -186,25 +124,86 @@ def _letters(text: str) -> int:
     return sum(map(str.isalpha, text))
 
 
-def is_page(low: str) -> bool:
-    """Whether matches cover most of the text from some line to its end, and lead that line."""
+def _is_neutral(word: str) -> bool:
+    """A word of a page's grammar, or what is left of one in a script without blanks."""
+    return len(word) == 1 or word in phrases.NEUTRAL or len(word) <= 2 and word > "\u2e80" or "-" in word and all(map(_is_neutral, word.split("-")))
+
+
+def _weights(text: str) -> tuple[int, int]:
+    """Letters of words that say something, and of those that pages are made of beside their phrases."""
+    loose = neutral = 0
+    for w in _WORD.findall(_WRAPPING.sub(" ", text)):
+        if _is_neutral(w):
+            neutral += len(w)
+        else:
+            loose += len(w)
+    return loose, neutral
+
+
+#: Before a phrase that leads its line in program text or data: signs of a comment, a value or a call.
+_SAID = re.compile(r"^\s*(?:#|//|/\*|\*|--|;|<!--|\"{3}|'{3})|[\"'`(=]\s*$|[a-z_][\w.\])]*[\"'`]?\s*[:=]\s*[\"'`]?\w*")
+
+#: The same where nothing else is said: comments, and words of program text that pass a phrase on.
+_CALLED = re.compile(r"^\s*(?:#|//|/\*|\*|--|;)|[\"'`(=]\s*$|\b(?:echo|return|throw|raise|print\w*|puts|abort|assert|expect|const|let|var|def|fn|func|class|import|export|select|insert)\b")
+
+_BLANK = "\ufeff \t\r\n"
+
+
+def _leads(before: str) -> bool:
+    """Whether what stands before a phrase on its line leaves it the line's first statement."""
+    words = _WORD.findall(_WRAPPING.sub(" ", before))
+    return not _SAID.search(before) and all(map(_is_neutral, words)) and phrases.CONDITIONAL.isdisjoint(words)
+
+
+def _header_end(low: str) -> int:
+    """Where a few lines of comment end, as a copy of another project's file has before the file itself."""
+    at = lines = 0
+    while lines < 3:
+        end = low.find("\n", at)
+        line = low[at : end if end >= 0 else len(low)]
+        if end < 0 or line.strip() and not _COMMENT.match(line):
+            break
+        lines += bool(line.strip())
+        at = end + 1
+    return at
+
+
+def is_page(low: str, prose: bool = False) -> bool:
+    """Whether matches cover most of the text from some line to its end, and lead that line.
+
+    Words of a page's grammar count for neither side, but phrases must be a part of all.
+    A document that is no prose by its path is judged as a whole more readily.
+    """
+    least = COVERAGE if prose else WHOLE_COVERAGE
+    marked, tagged = "<noscript" in low, low.lstrip(_BLANK)[:1] == "<"
     low = _ELEMENTS.sub(lambda m: "\n" * m.group().count("\n"), low)
     low = _TAG.sub(" ", low)
     spans = _covered(low, (PAGE, NOTICE))
-    if not any(s[2] for s in spans):
-        return False
-    # Letters from each line on, and those that are matched, counted from the end.
-    upto = len(low)
-    loose = matched = 0
-    led = False
-    for lo, hi, begins in reversed(spans):
-        loose += _letters(_WRAPPING.sub(" ", low[hi:upto]))
-        matched += _letters(low[lo:hi])
-        upto, led = lo, led or begins
-        if led and matched >= COVERAGE * (matched + loose):
-            line = low.rfind("\n", 0, lo) + 1
-            if not _letters(_WRAPPING.sub(" ", low[line:lo])):
+    ends = [0, *(hi for _, hi, _ in spans)]
+    gaps = [_weights(low[a:b]) for a, b in zip(ends, [*(lo for lo, _, _ in spans), len(low)])]
+    before = list(accumulate(g[0] for g in gaps))
+    head = _header_end(low)
+    # Letters from each phrase on, and those that are matched, counted from the end.
+    loose = matched = neutral = 0
+    notices = True
+    for i in range(len(spans) - 1, -1, -1):
+        lo, hi, kind = spans[i]
+        loose, neutral, matched = loose + gaps[i + 1][0], neutral + gaps[i + 1][1], matched + _letters(low[lo:hi])
+        notices &= kind == NOTICE
+        line = low.rfind("\n", 0, lo) + 1
+        # The first phrase of a line speaks for it.
+        if line < ends[i] or matched < least * (matched + loose) or matched < MATCHED * (matched + loose + neutral):
+            continue
+        lead = low[line:lo]
+        own = _weights(lead)[0]
+        said = 0 if line <= head else before[i] - own
+        if not said:
+            # The whole document: what stands before on the line is weighed with the rest.
+            begins = low[line if line <= head else 0 :][:200].lstrip(_BLANK)[:1]
+            if matched >= least * (matched + loose + own) and (begins in ("{", "[") or tagged or not _CALLED.search(lead)):
                 return True
+        elif matched >= COVERAGE * (matched + loose) and _leads(lead) and not (marked and notices and said > matched):
+            return True
     return False
 
 
@@ -254,16 +253,28 @@ def _lexed(text: str, ending: str) -> Iterator[tuple[int, int, bool]]:
             yield lo, hi, False
 
 
+_OPEN_SLOT = re.compile("|".join(phrases.OPEN_SLOTS))
+
+
+def _slots(text: str) -> Iterator[tuple[int, int]]:
+    """Slots by their names, and those with any words in a scaffold's own syntax."""
+    hinted = False
+    for last, (kind, n) in automaton().iter(text):
+        lo, hi = last + 1 - n, last + 1
+        hinted |= kind == "hint"
+        if kind != SLOT or _within_word(text, lo, hi) or (text[lo] == "_" and lo and text[lo - 1] == "_") or (text[hi - 1] == "_" and hi < len(text) and text[hi] == "_"):
+            continue
+        yield lo, hi
+    if hinted:
+        for m in _OPEN_SLOT.finditer(text):
+            yield m.span()
+
+
 def has_open_slot(low: str, code: bool, ending: str = "", raw: str = "") -> bool:
     """Whether a slot stands outside code spans; in program text, in a comment or docstring."""
     text = _without_code(low)
     said: list[tuple[int, int]] | None = None
-    for last, (kind, n) in automaton().iter(text):
-        if kind != SLOT:
-            continue
-        lo, hi = last + 1 - n, last + 1
-        if _within_word(text, lo, hi) or (text[lo] == "_" and lo and text[lo - 1] == "_") or (text[hi - 1] == "_" and hi < len(text) and text[hi] == "_"):
-            continue
+    for lo, hi in _slots(text):
         if not code:
             return True
         begin, end = text.rfind("\n", 0, lo) + 1, text.find("\n", hi)
@@ -278,9 +289,6 @@ def has_open_slot(low: str, code: bool, ending: str = "", raw: str = "") -> bool
     return False
 
 
-_LATIN, _NOISE = frozenset(FILLER_LATIN), frozenset(FILLER_NOISE)
-
-
 def _is_filler(unit: str) -> bool:
     words = _WORD.findall(unit)
     if not words:
@@ -289,10 +297,14 @@ def _is_filler(unit: str) -> bool:
     letters = sum(map(len, words))
     if mash >= COVERAGE * letters:
         return True
-    for own in (_LATIN, _NOISE):
-        hits = [w for w in words if w in own]
-        if len(hits) >= FILLER_WORDS and sum(map(len, hits)) >= COVERAGE * letters and (own is not _LATIN or len({w for w in hits if len(w) > 3}) >= 3):
-            return True
+    noise = [w for w in words if w in phrases.NOISE]
+    if len(noise) >= FILLER_WORDS and sum(map(len, noise)) >= COVERAGE * letters:
+        return True
+    # Latin that goes on from the well-known words: they are part of it, and the others end as Latin does.
+    known = [w for w in words if w in phrases.LATIN]
+    latin = sum(len(w) for w in words if w in phrases.LATIN or len(w) > 3 and w.endswith(phrases.LATIN_ENDINGS))
+    if len(known) >= FILLER_WORDS and len({w for w in known if len(w) > 3}) >= 3 and latin >= COVERAGE * letters and sum(map(len, known)) >= COVERAGE / 2 * letters:
+        return True
     spans = [(lo, hi) for lo, hi, _ in _covered(unit, (FILLER,))]
     return len(spans) >= FILLER_SENTENCES and sum(_letters(unit[lo:hi]) for lo, hi in spans) >= COVERAGE * letters
 
@@ -373,9 +385,9 @@ def kinds_of(text: str | None, path: str | None) -> list[str]:
     code = ending in _CODE
     template = is_template_path(path)
     found = []
-    if SLOT in seen and not template and has_open_slot(low, code, ending, text):
+    if (SLOT in seen or "hint" in seen) and not template and has_open_slot(low, code, ending, text):
         found.append(SLOT)
-    if (PAGE in seen or NOTICE in seen) and is_page(low):
+    if (PAGE in seen or NOTICE in seen) and is_page(low, ending in _PROSE):
         found.append(PAGE)
     if (FILLER in seen or seen.get("word", 0) >= 3 or _MASH.search(low)) and not template and has_filler(low, code, ending, not _TEST_PATH.search(path.lower())):
         found.append(FILLER)
