@@ -53,6 +53,16 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p7_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each copy in the mixture with its pass, block and turn."""
+    return mixture.in_order(_mix(spark, sf_dir)[0])
+
+
+def p7_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of a mixture as large as the named sources, the exponent bisected to the repetition limit."""
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), total="corpus")[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
@@ -63,7 +73,7 @@ def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("kind").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_shared, p4_removals, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_kinds)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_shared, p4_removals, p6_ids, p6_round_trip, p7_mix, p7_shares, p7_order, p7_tempered, p8_found, p8_kinds)}
 def _runs(windows: str, name: str) -> str:
     """Windows put together to maximal stretches ``a`` to ``b``."""
     return f"""{name}_m AS (SELECT key, h, n, i, CASE WHEN i - lag(i) OVER (PARTITION BY key, h ORDER BY i) <= 64 THEN 0 ELSE 1 END AS new FROM {windows}),
