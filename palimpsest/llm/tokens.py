@@ -9,6 +9,8 @@ most of it the cut; ids are the same, which the tests hold against it.
 
 from __future__ import annotations
 
+import base64
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -31,7 +33,8 @@ MEMO_SIZE = 400_000
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 
-# The contractions the byte-level pattern cuts off as words of their own.
+# The pattern of byte-level tokenizers, and the contractions it cuts off as words of their own.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
@@ -94,16 +97,89 @@ def pretoken_starts(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-class Encoder:
-    """Encodes texts by a byte-level tokenizer file; one a worker process."""
+class TokenizerError(ValueError):
+    """A tokenizer file that is missing, of a kind that is not known, or not fit for what is asked of it."""
 
-    def __init__(self, folder: str = TOKENIZER_DIR, name: str = TOKENIZER):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        os.environ.setdefault("RAYON_NUM_THREADS", "1")
+
+@lru_cache(8)
+def tokenizer_file(folder: str, name: str) -> str:
+    """The file of a tokenizer: ``name`` with its ending, else the first of .json, .tiktoken, .model that there is."""
+    for ending in ("", ".json", ".tiktoken", ".model"):
+        path = os.path.join(folder, name + ending)
+        if os.path.isfile(path) and path.endswith((".json", ".tiktoken", ".model")):
+            return path
+    raise TokenizerError(f"no tokenizer {name!r} in {folder}")
+
+
+@lru_cache(8)
+def is_byte_level(folder: str, name: str) -> bool:
+    """Whether a tokenizer cuts texts as ``pretoken_starts`` does and its tokens are the bytes of the text.
+
+    Rank files are: they have merges alone and are used with that pattern.  Of the
+    library's files, those without a normalizer, with the plain byte-level pre-tokenizer
+    and a model that marks no word ends.  All others are left to their library.
+    """
+    path = tokenizer_file(folder, name)
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        cut, model = held.get("pre_tokenizer") or {}, held["model"]
+        plain = held.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        return bool(plain and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")))
+    return path.endswith(".tiktoken")
+
+
+def _library(folder: str, name: str):
+    """A function from texts to their lists of ids, by the library that the file is for, without special tokens."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    os.environ.setdefault("RAYON_NUM_THREADS", "1")
+    path = tokenizer_file(folder, name)
+    if path.endswith(".json"):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(os.path.join(folder, f"{name}.json"))
-        self.tokenizer.encode_special_tokens = True
+        tokenizer = Tokenizer.from_file(path)
+        # Their strings in a text are then ordinary text.
+        tokenizer.encode_special_tokens = True
+        return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    if path.endswith(".tiktoken"):
+        import tiktoken
+
+        encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
+        return lambda texts: encoding.encode_ordinary_batch(texts, num_threads=1)
+    import sentencepiece
+
+    processor = sentencepiece.SentencePieceProcessor(model_file=path)
+    return lambda texts: processor.encode(texts, num_threads=1)
+
+
+@lru_cache(2)
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
+class LibraryEncoder:
+    """Encodes whole texts by their library: for tokenizers that normalise, or cut in a way of their own."""
+
+    def __init__(self, folder: str, name: str):
+        self._ids = _library(folder, name)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._ids(texts)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((x for e in ids for x in e), np.int32, int(counts.sum())), counts
+
+    def count(self, texts: list[str]) -> np.ndarray:
+        return self.encode(texts)[1]
+
+
+class Encoder:
+    """Encodes texts by a byte-level tokenizer file; one a worker process.  Other files raise TokenizerError."""
+
+    def __init__(self, folder: str = TOKENIZER_DIR, name: str = TOKENIZER):
+        if not is_byte_level(folder, name):
+            raise TokenizerError(f"{name} is not cut as byte-level tokenizers are")
+        self._ids = _library(folder, name)
         self.memo: dict[str, int] = {}
         self._reset()
 
@@ -118,7 +194,7 @@ class Encoder:
         new = [p for p in pieces if p not in self.memo]
         if not new:
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        ids = self._ids(new)
         for i, p in enumerate(new, len(self.memo)):
             self.memo[p] = i
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -215,8 +291,8 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(2)
-def encoder(folder: str, name: str) -> Encoder:
-    return Encoder(folder, name)
+def encoder(folder: str, name: str) -> Encoder | LibraryEncoder:
+    return (Encoder if is_byte_level(folder, name) else LibraryEncoder)(folder, name)
 
 
 def _passes(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -241,7 +317,9 @@ def encode_column(df: DataFrame, key: str, text: str, folder: str = TOKENIZER_DI
     """``key, ids``: the ids of each row's text, without special tokens.
 
     One row for each row of ``df``, repeated keys too; null and empty texts have no ids
-    (an empty list).  A text that spells a special token is ordinary text.  No shuffle.
+    (an empty list).  A text that spells a special token is ordinary text.  Any file of
+    the three libraries will do; those that normalise or cut otherwise encode whole
+    texts by their library, at its pace.  No shuffle.
     """
     key_type = df.schema[key].dataType
     schema = T.StructType([T.StructField(key, key_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -319,12 +397,19 @@ def token_bytes(folder: str = TOKENIZER_DIR, name: str = TOKENIZER) -> list[byte
     The table gives printable bytes their own character and the others, in order, the
     characters from U+0100 on.
     """
-    import json
-
+    if not is_byte_level(folder, name):
+        raise TokenizerError(f"the tokens of {name} are not the bytes of the text")
+    path = tokenizer_file(folder, name)
+    if path.endswith(".tiktoken"):
+        ranks = _ranks(path)
+        table = [b""] * (1 + max(ranks.values()))
+        for token, rank in ranks.items():
+            table[rank] = token
+        return table
     own = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in own]
     back = {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(others)}
-    with open(os.path.join(folder, f"{name}.json"), encoding="utf-8") as f:
+    with open(path, encoding="utf-8") as f:
         data = json.load(f)
     table = [b""] * (1 + max(data["model"]["vocab"].values()))
     for word, i in data["model"]["vocab"].items():
@@ -349,8 +434,10 @@ def decode_column(df: DataFrame, key: str, ids: str, out: str = "text", folder:
 
     Bytes are put together before they are read as UTF-8, so characters split over
     tokens come back whole; bytes that are no UTF-8 become U+FFFD.  No ids give the
-    empty text, a null list gives null, and an id outside the vocabulary raises.
+    empty text, a null list gives null, and an id outside the vocabulary raises.  Of a
+    tokenizer that does not keep the bytes of a text TokenizerError is raised.
     """
+    token_bytes(folder, name)
     schema = T.StructType([df.schema[key], T.StructField(out, T.StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -373,3 +373,29 @@ def test_residue_column(spark):
 def test_residue_of_a_very_long_text():
     assert residue.kinds_of(CODE * 30_000 + "\n404: Not Found\n", "a.py") == ["page"]
     assert residue.kinds_of("404 Not Found is what | he says " * 20_000, "a.md") == []
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k", "word_bpe_49k", "piece_bpe_32k"])
+def test_ids_of_every_public_tokenizer(spark, name):
+    texts = [*TEXTS, "IT'S FINE", "  Two  spaces\tand CASE"]
+    want = tokens._library(tokens.TOKENIZER_DIR, name)([t or "" for t in texts])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in tokens.encode_column(df, "doc_id", "text", name=name).collect()}
+    assert [i for i, w in enumerate(want) if got[i] != w] == []
+    assert {r.doc_id: r.n for r in tokens.count_tokens(df, "text", "n", name=name).collect()} == {i: len(w) for i, w in enumerate(want)}
+    ids = spark.createDataFrame([(i, w) for i, w in enumerate(want)], "doc_id long, ids array<int>")
+    if tokens.is_byte_level(tokens.TOKENIZER_DIR, name):
+        assert {r.doc_id: r.text for r in tokens.decode_column(ids, "doc_id", "ids", name=name).collect()} == {i: t or "" for i, t in enumerate(texts)}
+    else:
+        with pytest.raises(tokens.TokenizerError):
+            tokens.decode_column(ids, "doc_id", "ids", name=name)
+        with pytest.raises(tokens.TokenizerError):
+            tokens.Encoder(name=name)
+
+
+def test_tokenizers_that_are_not_there(spark, tmp_path):
+    with pytest.raises(tokens.TokenizerError):
+        tokens.tokenizer_file(tokens.TOKENIZER_DIR, "none")
+    (tmp_path / "x.txt").write_text("x")
+    with pytest.raises(tokens.TokenizerError):
+        tokens.encoder(str(tmp_path), "x.txt")
