@@ -1,9 +1,13 @@
 """Differences between two copies of a keyed table by invertible Bloom lookup tables.
 
 Each copy's rows go, by a hash of their key, into buckets; a bucket has a small table
-of cells, each with a count and the XOR of the key hashes and row hashes put there.
-The two copies' tables are subtracted and peeled: what is left are the key hashes of
-rows that differ.  Only the rows of those keys are then fetched and compared.
+of cells, each with a count and sums of the key hashes and row hashes put there.  The
+two copies' tables are subtracted and peeled: what is left are the key hashes of rows
+that differ.  Only the rows of those keys are then fetched and compared.
+
+A first table is small enough that every task sends a fraction of its rows, whatever the
+size of the copies.  Only of buckets that it cannot tell, the hashes are exchanged, into
+finer buckets with a table each; what those cannot tell either is compared whole.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +23,18 @@ from xxhash import xxh64_intdigest
 
 from palimpsest.session import materialize
 
-#: Rows of a bucket to aim at, and its cells: three sub-tables of a third each.  With three
-#: cells a row, a bucket peels while its differing rows are below about 0.8 of its cells.
-ROWS_A_BUCKET = 2048
+#: Cells of a bucket: three sub-tables of a third each.  A bucket peels while its differing
+#: rows are below about 0.8 of its cells.
 CELLS = 768
+#: Of the first table, rows of a task for each bucket: a task sends at most a tenth as many cells as it has rows.
+TASK_ROWS_A_BUCKET = 8192
+#: Rows of a finer bucket to aim at.
+ROWS_A_BUCKET = 2048
+#: Numbers of buckets up to which they are broadcast.
+BROADCAST_BUCKETS = 1_000_000
 
 _KEY_SEED, _ROW_SEED = 0x51ED, 0x7A3C
+_SUMS = ("n", "k1", "k0", "r1", "r0", "chk")
 
 
 def _hashes(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -47,19 +58,27 @@ def _places(rh: int) -> tuple[int, ...]:
 
 
 def _check(kh: int, rh: int) -> int:
-    """What ``xxhash64(kh, rh)`` of the SQL functions gives, as a signed number."""
+    """The low half of what ``xxhash64(kh, rh)`` of the SQL functions gives."""
     seed = xxh64_intdigest(struct.pack("<q", kh), 42)
-    h = xxh64_intdigest(struct.pack("<q", rh), seed)
-    return h - 2**64 if h >= 2**63 else h
+    return xxh64_intdigest(struct.pack("<q", rh), seed) & 0xFFFFFFFF
 
 
-def sketch(rows: DataFrame, sign: int, buckets: int) -> DataFrame:
-    """The cells of a copy's lookup tables; repeated rows count once."""
-    rows = rows.select(F.pmod("__kh", F.lit(buckets)).alias("bucket"), F.col("__kh").alias("kh"), F.col("__rh").alias("rh")).distinct()
-    placed = rows.withColumn("cell", F.explode(F.array(*[_place(i, F.col("rh")) for i in range(3)])))
-    return placed.groupBy("bucket", "cell").agg(
-        F.sum(F.lit(sign).cast("long")).alias("n"), F.bit_xor("kh").alias("kh"), F.bit_xor("rh").alias("rh"), F.bit_xor(F.xxhash64("kh", "rh")).alias("chk")
-    )
+def _signed(high: int, low: int) -> int:
+    x = high << 32 | low
+    return x - 2**64 if x >= 2**63 else x
+
+
+def sketch(rows: DataFrame) -> DataFrame:
+    """The cells of (bucket, kh, rh, n) rows, n the copies of a row, negative on the right.
+
+    Sums, not exclusive ors: a row put in n times comes out with its n, so repeated rows
+    need not be found before; one repeated otherwise on the other side comes out too, as
+    a key to look at.
+    """
+    low, high = (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))), (lambda c: F.shiftrightunsigned(F.col(c), 32))
+    parts = {"k1": high("kh"), "k0": low("kh"), "r1": high("rh"), "r0": low("rh"), "chk": F.xxhash64("kh", "rh").bitwiseAND(F.lit(0xFFFFFFFF))}
+    placed = rows.select("bucket", "n", *[(x * F.col("n")).alias(c) for c, x in parts.items()], F.explode(F.array(*[_place(i, F.col("rh")) for i in range(3)])).alias("cell"))
+    return placed.groupBy("bucket", "cell").agg(*[F.sum(c).alias(c) for c in _SUMS])
 
 
 def peel(cells: dict[int, list[int]]) -> tuple[list[int], bool]:
@@ -68,16 +87,20 @@ def peel(cells: dict[int, list[int]]) -> tuple[list[int], bool]:
     ready = list(cells)
     while ready:
         at = ready.pop()
-        n, kh, rh, chk = cells.get(at, (0, 0, 0, 0))
-        if n not in (1, -1) or at not in (places := _places(rh)) or chk != _check(kh, rh):
+        n, *sums = cells.get(at, (0,) * 6)
+        if not n or any(x % n for x in sums):
+            continue
+        one = [x // n for x in sums]
+        if not all(0 <= x < 2**32 for x in one):
+            continue
+        kh, rh = _signed(*one[:2]), _signed(*one[2:4])
+        if at not in (places := _places(rh)) or one[4] != _check(kh, rh):
             continue
         found.append(kh)
         for c in places:
-            cell = cells.setdefault(c, [0, 0, 0, 0])
-            cell[0] -= n
-            cell[1] ^= kh
-            cell[2] ^= rh
-            cell[3] ^= chk
+            cell = cells.setdefault(c, [0] * 6)
+            for i, x in enumerate((n, *sums)):
+                cell[i] -= x
             ready.append(c)
     return found, not any(any(c) for c in cells.values())
 
@@ -96,12 +119,50 @@ def _peel_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["bucket", "kh"])
 
 
-def suspect_keys(left: DataFrame, right: DataFrame, buckets: int) -> DataFrame:
-    """bucket, kh: hashes of the keys with a differing row; kh null for buckets to be compared whole."""
-    cells = sketch(left, 1, buckets).unionByName(sketch(right, -1, buckets)).groupBy("bucket", "cell")
-    cells = cells.agg(F.sum("n").alias("n"), F.bit_xor("kh").alias("kh"), F.bit_xor("rh").alias("rh"), F.bit_xor("chk").alias("chk"))
-    cells = cells.where("n <> 0 or kh <> 0 or rh <> 0 or chk <> 0").repartition("bucket")
-    return cells.mapInArrow(_peel_partition, "bucket long, kh long").distinct()
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal rows of a batch as one with their number, so that a row with a third of all copies is spread no further."""
+    for batch in batches:
+        bucket, kh, rh, n = (c.to_numpy() for c in batch.columns)
+        order = np.lexsort((kh, rh))
+        bucket, kh, rh, n = bucket[order], kh[order], rh[order], n[order]
+        new = np.ones(len(kh), bool)
+        new[1:] = (kh[1:] != kh[:-1]) | (rh[1:] != rh[:-1])
+        first = np.flatnonzero(new)
+        if len(first):
+            sums = np.add.reduceat(n, first)
+            keep = sums != 0
+            yield pa.record_batch([pa.array(x[first][keep]) for x in (bucket, kh, rh)] + [pa.array(sums[keep])], names=["bucket", "kh", "rh", "n"])
+
+
+def _rows(left: DataFrame, right: DataFrame, buckets: int) -> DataFrame:
+    side = lambda df, n: df.select(F.pmod("__kh", F.lit(buckets)).alias("bucket"), F.col("__kh").alias("kh"), F.col("__rh").alias("rh"), F.lit(n).cast("long").alias("n"))
+    return side(left, 1).unionByName(side(right, -1))
+
+
+def _peeled(cells: DataFrame, tag: str) -> DataFrame:
+    cells = cells.where(" or ".join(f"{c} <> 0" for c in _SUMS))
+    return materialize(cells.mapInArrow(_peel_partition, "bucket long, kh long").distinct(), tag)
+
+
+def _sent(numbers: DataFrame) -> DataFrame:
+    return F.broadcast(numbers) if numbers.count() <= BROADCAST_BUCKETS else numbers
+
+
+def suspect_keys(left: DataFrame, right: DataFrame, rows: int, tasks: int) -> tuple[DataFrame, DataFrame, int]:
+    """``kh``: hashes of the keys with a differing row; and ``b``: finer buckets, of so many, to be compared whole."""
+    coarse = max(1, rows // tasks // TASK_ROWS_A_BUCKET)
+    first = _peeled(sketch(_rows(left, right, coarse)).repartition("bucket"), "suspects")
+    told = first.where("kh is not null").select("kh")
+    unclear = first.where("kh is null").select(F.col("bucket").alias("b"))
+    # Finer buckets lie within coarse ones.
+    fine = coarse * max(1, -(-rows // (coarse * ROWS_A_BUCKET)))
+    if unclear.isEmpty():
+        return told, unclear, fine
+    again = _rows(left, right, fine).join(_sent(unclear), F.pmod("bucket", F.lit(coarse)) == F.col("b"), "left_semi")
+    again = again.mapInArrow(_together, "bucket long, kh long, rh long, n long").repartition("bucket")
+    second = _peeled(sketch(again), "suspects")
+    whole = second.where("kh is null").select(F.col("bucket").alias("b"))
+    return told.unionByName(second.where("kh is not null").select("kh")), whole, fine
 
 
 def field_differences(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -113,18 +174,18 @@ def field_differences(left: DataFrame, right: DataFrame, keys: Sequence[str], fi
     beside keys and fields are ignored.
 
     Buckets hold keys by hash, so a file with a third of the rows is spread over all.
-    A bucket with more differing rows than its cells can tell apart is compared whole.
     """
     copies = [_hashes(df, keys, fields) for df in (left, right)]
-    buckets = max(1, max(df.count() for df in (left, right)) // ROWS_A_BUCKET)
-    suspects = materialize(suspect_keys(*copies, buckets), "suspects")
-    overfull = suspects.where("kh is null").select(F.col("bucket").alias("__b"))
+    rows = max(df.count() for df in (left, right))
+    tasks = max(1, max(df.rdd.getNumPartitions() for df in (left, right)))
+    suspects, overfull, buckets = suspect_keys(*copies, rows, tasks)
+    suspects = suspects.distinct().select(F.col("kh").alias("__kh"))
     whole = not overfull.isEmpty()
     sides = []
     for copy, mark in zip(copies, (True, False)):
-        rows = copy.join(suspects.select(F.col("kh").alias("__kh")), "__kh", "left_semi")
+        rows = copy.join(suspects, "__kh", "left_semi")
         if whole:
-            rows = rows.unionByName(copy.join(overfull, F.pmod("__kh", F.lit(buckets)) == F.col("__b"), "left_semi"))
+            rows = rows.unionByName(copy.join(_sent(overfull), F.pmod("__kh", F.lit(buckets)) == F.col("b"), "left_semi"))
         sides.append(rows.select(*keys, *fields).distinct().withColumn("__left", F.lit(mark)))
     rows = sides[0].unionByName(sides[1])
     values = lambda c, mark: F.array_sort(F.collect_set(F.when(F.col("__left") == mark, F.struct(F.col(c).isNull().alias("z"), F.col(c).alias("v")))))

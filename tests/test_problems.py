@@ -280,5 +280,18 @@ def test_differences_with_an_empty_copy_and_header_lists(spark):
 
 
 def test_peel_reports_what_it_cannot_tell():
-    cells = {i: [2, 5, 6, 7] for i in range(4)}
+    cells = {i: [2, 5, 6, 7, 8, 9] for i in range(4)}
     assert differences.peel(cells) == ([], False)
+
+
+@pytest.mark.parametrize("task_rows", [64, 1 << 20])
+def test_repeats_and_finer_buckets(spark, monkeypatch, task_rows):
+    """Rows repeated unequally are no differences; the first table tells all, or nothing."""
+    monkeypatch.setattr(differences, "TASK_ROWS_A_BUCKET", task_rows)
+    rng = random.Random(task_rows)
+    left = [("f", b"%d" % i, b"v") for i in range(6000)]
+    right = [(n, k, b"w" if rng.random() < 0.2 else v) for n, k, v in left]
+    schema = "name string, key binary, value binary"
+    dfs = [spark.createDataFrame(t, schema).repartition(3) for t in (left + left[:500] * 3 + [("hot", b"h", b"h")] * 3000, [*right, ("hot", b"h", b"h")])]
+    got = [(r.name, bytes(r.key), r.field_name, r.diff_kind) for r in differences.field_differences(*dfs, ["name", "key"], ["value"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_differences(left, right)
