@@ -214,6 +214,8 @@ walk(kv, q, n) AS (
   UNION ALL SELECT kv, {_WALK}, n + 1 FROM walk WHERE {_WALK} <> q),
 paths AS (SELECT kv, rtrim(arg_max(q, n), '/') AS path FROM walk GROUP BY kv),
 small AS (SELECT DISTINCT domain_name, path, {_STEP_OF.format("split_part(path, '/', -1)")} AS seg FROM flush_files JOIN paths USING (kv) WHERE kv_bytes < 16384 AND path LIKE '%.kv')"""
+_ONCE = """once AS (SELECT domain_name, CAST(split_part(seg, '-', 1) AS BIGINT) AS a, CAST(split_part(seg, '-', 2) AS BIGINT) AS b, key, value, min(row_id) AS row_id
+  FROM flush_records JOIN paths USING (kv) JOIN small USING (path) GROUP BY ALL)"""
 
 ORACLE = {
     "scan_pairs": f"WITH {ORDERS} SELECT {PAIR} FROM dom",
@@ -310,10 +312,9 @@ SELECT 'period' AS kind, domain_name, min(a) AS step_from, max(b) AS step_to FRO
 UNION ALL SELECT 'gap', domain_name, reach, a FROM m WHERE a > reach""",
     "p2_found": f"WITH {_STATE} SELECT domain_name, lower(hex(key)) AS key_hex, change_id FROM state",
     "p2_state": f"WITH {_STATE} SELECT domain_name, lower(hex(key)) AS key_hex, CASE WHEN deleted THEN '' ELSE lower(hex(value)) END AS value_hex, deleted FROM state",
-    "p3_found": f"""WITH RECURSIVE {_PATHS},
-once AS (SELECT domain_name, CAST(split_part(seg, '-', 1) AS BIGINT) AS a, CAST(split_part(seg, '-', 2) AS BIGINT) AS b, key, value, min(row_id) AS row_id
-  FROM flush_records JOIN paths USING (kv) JOIN small USING (path) GROUP BY ALL)
-SELECT DISTINCT row_id FROM once""",
+    "p3_found": f"WITH RECURSIVE {_PATHS}, {_ONCE} SELECT DISTINCT row_id FROM once",
+    "p3_files": f"WITH RECURSIVE {_PATHS}, {_ONCE} SELECT count(*) AS rows, true AS whole FROM once",
+    "p3_index": f"""WITH RECURSIVE {_PATHS} SELECT 'held' AS kind, true AS maybe, count(DISTINCT key) AS keys FROM flush_records JOIN paths USING (kv) JOIN small USING (path)""",
     "p3_listing": f"""WITH RECURSIVE {_PATHS},
 f AS (SELECT domain_name, path, count(bt) AS bt, count(kvei) AS kvei, max(key_count) AS kc FROM flush_files JOIN paths USING (kv) WHERE kv_bytes < 16384 AND path LIKE '%.kv' GROUP BY 1, 2),
 r AS (SELECT path, count(*) AS n FROM flush_records JOIN paths USING (kv) GROUP BY 1)

@@ -9,8 +9,9 @@ from palimpsest.functions.steps import resolved_path, step_columns
 from palimpsest.operators.changes import apply_change_feed
 from palimpsest.operators.differences import field_differences, header_differences
 from palimpsest.operators.intervals import periods_and_gaps
-from palimpsest.operators.small_files import SMALL_BYTES, consolidated_records
-from palimpsest.session import table
+from palimpsest.operators import existence
+from palimpsest.operators.small_files import SMALL_BYTES, consolidated_records, write_siblings
+from palimpsest.session import new_path, table
 
 
 def key_hex(name: str = "key"):
@@ -44,9 +45,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The large files made: how many blocks were joined into each, and its rows."""
+    """The rows of the large files by their footers, and whether each has all blocks and rows of its sources."""
     _, manifest = consolidated_records(table(spark, sf_dir, "flush_files"), table(spark, sf_dir, "flush_records"))
-    return manifest.select(F.regexp_extract("path", "part-([0-9]+)", 1).cast("long").alias("file_no"), "blocks", "rows")
+    whole = F.bool_and(F.expr("blocks = want_blocks and rows = want_rows")).alias("whole")
+    return manifest.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), whole)
+
+
+def p3_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the filter written beside the large files says of their keys: all may be there."""
+    records, _ = consolidated_records(table(spark, sf_dir, "flush_files"), table(spark, sf_dir, "flush_records"))
+    paths = write_siblings(records, new_path(spark, "siblings") + "/all.0-1", 9)
+    probes = records.select("key").distinct().select(F.lit("held").alias("kind"), "key")
+    held = existence.read_filter(spark, paths.kvei)
+    return existence.contains(probes, held, 9).groupBy("kind", "maybe").agg(F.count("*").alias("keys"))
 
 
 def p3_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +79,4 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(headers.select("name", F.lit("").alias("key_hex"), "field_name", "diff_kind"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_state, p3_found, p3_files, p3_listing, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_state, p3_found, p3_files, p3_index, p3_listing, p5_found)}

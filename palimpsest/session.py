@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,28 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Removes what this application has written to the shared folder so far; tables read from it end with it."""
+    app = spark.sparkContext.applicationId
+    if app in _made:
+        remove(spark, _made[app])
+
+
+def sweep(spark: SparkSession, older_than_hours: float = 24) -> list[str]:
+    """Removes what applications that were killed left in the shared folder: folders in which nothing has changed for so long."""
+    where, fs = _hadoop(spark, shared_dir(spark))
+    own, now, gone = f"palimpsest-{spark.sparkContext.applicationId}", time.time() * 1000, []
+    for found in fs.listStatus(where) if fs.exists(where) else []:
+        name = found.getPath().getName()
+        if not name.startswith("palimpsest-") or name == own or not found.isDirectory():
+            continue
+        changed = max([found.getModificationTime(), *(f.getModificationTime() for f in fs.listStatus(found.getPath()))])
+        if now - changed > older_than_hours * 3_600_000:
+            fs.delete(found.getPath(), True)
+            gone.append(name)
+    return gone
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 

@@ -106,6 +106,14 @@ def names(folder: str) -> list[str]:
     return [f.base_name for f in fs.get_file_info(pafs.FileSelector(inner, allow_not_found=True)) if f.type == pafs.FileType.File]
 
 
+def children(folder: str) -> list[tuple[str, int, bool]]:
+    """(path, bytes, whether a folder) of what is in a folder, hidden things left out; none where there is no such folder."""
+    fs, inner = of(folder)
+    found = fs.get_file_info(pafs.FileSelector(inner, allow_not_found=True))
+    told = [(f"{folder.rstrip('/')}/{f.base_name}", f.size or 0, f.type == pafs.FileType.Directory) for f in found]
+    return sorted(t for t in told if not name(t[0]).startswith(("_", ".")))
+
+
 def make_folder(path: str) -> None:
     fs, inner = of(path)
     fs.create_dir(inner, recursive=True)

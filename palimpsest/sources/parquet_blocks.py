@@ -6,10 +6,13 @@ fields this module does not know are kept.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from dataclasses import dataclass
 from typing import Any, BinaryIO
 
+from palimpsest.sources import files
+
 # Fixed values of the Thrift compact protocol and the Parquet format.
 _BOOL_TRUE, _BOOL_FALSE, _BYTE, _I16, _I32, _I64, _DOUBLE, _BINARY, _LIST, _SET, _MAP, _STRUCT = range(1, 13)
 _MAGIC = b"PAR1"
@@ -136,6 +139,18 @@ def read_footer(file: BinaryIO, size: int) -> dict[int, tuple[int, Any]]:
     return _Reader(file.read(length)).struct()
 
 
+def describe(path: str) -> tuple[str, int, int]:
+    """A digest of a file's schema, and its blocks and rows, by its footer."""
+    fs, inner = files.of(path)
+    with fs.open_input_file(inner) as f:
+        try:
+            footer = read_footer(f, f.size())
+            shape = hashlib.sha256(_write(*footer[_SCHEMA])).hexdigest()
+            return shape, len(footer.get(_ROW_GROUPS, (_LIST, (_STRUCT, [])))[1][1]), footer[_NUM_ROWS][1]
+        except (IndexError, KeyError, struct.error) as e:
+            raise BlockError(f"a footer that cannot be read: {path}") from e
+
+
 @dataclass
 class Joined:
     files: int
@@ -144,8 +159,8 @@ class Joined:
     size: int
 
 
-def join_files(fs: Any, paths: list[str], out: str) -> Joined:
-    """Writes the column chunks of ``paths``, in order, to ``out``, undecoded.
+def join_files(paths: list[str], out: str) -> Joined:
+    """Writes the column chunks of ``paths``, in order, to ``out``, undecoded; each on its own file system.
 
     The files must have equal schemas; their row groups become row groups of the new
     file.  Page and Bloom indexes are left out, as their offsets are optional.  Raises
@@ -154,10 +169,12 @@ def join_files(fs: Any, paths: list[str], out: str) -> Joined:
     groups: list[dict] = []
     first: dict[int, tuple[int, Any]] | None = None
     want_rows = want_blocks = at = 0
-    with fs.open_output_stream(out) as target:
+    to, inner_out = files.of(out)
+    with to.open_output_stream(inner_out) as target:
         at += target.write(_MAGIC)
         for path in paths:
-            with fs.open_input_file(path) as source:
+            fs, inner = files.of(path)
+            with fs.open_input_file(inner) as source:
                 footer = read_footer(source, source.size())
                 first = first or footer
                 if footer[_SCHEMA] != first[_SCHEMA]:

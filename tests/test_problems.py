@@ -3,7 +3,6 @@
 import random
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import pytest
 
@@ -188,32 +187,31 @@ def test_stream_into_versioned_table(spark, tmp_path):
 
 
 def test_blocks_are_joined_undecoded(tmp_path):
-    fs = pafs.LocalFileSystem()
     tables, paths = [], []
     for i, compression in enumerate(["snappy", "zstd", "none"]):
         t = pa.table({"a": pa.array([None, *range(i * 100, i * 100 + 99)], pa.int64()), "b": pa.array([b"x%d" % (j % 3) for j in range(100)], pa.binary()), "c": pa.array([[j] * (j % 3) for j in range(100)], pa.list_(pa.int32()))})
         paths.append(str(tmp_path / f"{i}.parquet"))
         pq.write_table(t, paths[-1], compression=compression, row_group_size=30, use_dictionary=i != 1, write_page_index=i == 0)
         tables.append(t)
-    done = join_files(fs, paths, str(tmp_path / "out.parquet"))
+    done = join_files(paths, str(tmp_path / "out.parquet"))
     assert (done.files, done.blocks, done.rows) == (3, 12, 300)
     assert done.size == (tmp_path / "out.parquet").stat().st_size
     assert pq.read_table(tmp_path / "out.parquet").equals(pa.concat_tables(tables))
     assert pq.read_table(tmp_path / "out.parquet", filters=[("a", ">", 250)]).num_rows == 48
     pq.write_table(pa.table({"a": [1]}), tmp_path / "other.parquet")
     with pytest.raises(BlockError):
-        join_files(fs, [paths[0], str(tmp_path / "other.parquet")], str(tmp_path / "bad.parquet"))
+        join_files([paths[0], str(tmp_path / "other.parquet")], str(tmp_path / "bad.parquet"))
     (tmp_path / "junk").write_bytes(b"PAR1" * 5)
     with pytest.raises(BlockError):
-        join_files(fs, [str(tmp_path / "junk")], str(tmp_path / "bad.parquet"))
+        join_files([str(tmp_path / "junk")], str(tmp_path / "bad.parquet"))
     with pytest.raises(BlockError):
-        join_files(fs, [], str(tmp_path / "bad.parquet"))
+        join_files([], str(tmp_path / "bad.parquet"))
 
 
 def test_consolidate_folder(spark, tmp_path):
     df = spark.range(10_000).selectExpr("id", "cast(id as string) as s")
     df.repartition(40).write.parquet(f"file://{tmp_path}/many")
-    sizes = [s for _, s in small_files.list_files(spark, f"file://{tmp_path}/many")]
+    sizes = [r.bytes for r in small_files.list_files(spark, f"file://{tmp_path}/many").collect()]
     manifest = small_files.consolidate(spark, f"file://{tmp_path}/many", f"file://{tmp_path}/few", target=sum(sizes) // 3)
     assert manifest.count() in (3, 4)
     again = small_files.read_consolidated(spark, manifest, df.schema)
@@ -222,6 +220,39 @@ def test_consolidate_folder(spark, tmp_path):
     assert small_files.read_consolidated(spark, small_files.consolidate(spark, f"file://{tmp_path}/none", f"file://{tmp_path}/n2"), spark.createDataFrame([], "a long").schema).count() == 0
 
 
+def test_consolidate_what_differs(spark, tmp_path):
+    """Files of two schemas, in folders of folders, by two spellings of one file system; an empty file; one that is none."""
+    a = spark.range(1000).selectExpr("id", "cast(id as string) as s")
+    b = spark.range(500).selectExpr("cast(id as int) as other")
+    a.repartition(10).write.parquet(f"file://{tmp_path}/in/x/y")
+    a.repartition(5).write.parquet(f"file://{tmp_path}/in/x/z")
+    b.repartition(7).write.parquet(f"file://{tmp_path}/in/w")
+    (tmp_path / "in" / "x" / "nothing.parquet").write_bytes(b"")
+    (tmp_path / "in" / ".hidden").write_bytes(b"x")
+    manifest = small_files.consolidate(spark, f"{tmp_path}/in", f"file://{tmp_path}/out")
+    assert manifest.agg({"files": "sum"}).first()[0] == 22
+    kinds = {}
+    for r in manifest.collect():
+        schema = tuple(pq.read_schema(r.path.removeprefix("file://")).names)
+        kinds[schema] = kinds.get(schema, 0) + r.rows
+    assert kinds == {("id", "s"): 2000, ("other",): 500}
+    (tmp_path / "in" / "bad.parquet").write_bytes(b"no parquet at all")
+    with pytest.raises(BlockError):
+        small_files.consolidate(spark, f"{tmp_path}/in", f"file://{tmp_path}/out2")
+
+
+def test_index_and_filter_of_consolidated_records(spark, tmp_path):
+    from palimpsest.operators import existence
+
+    rows = [("d", 0, 1, b"k%05d" % i, b"v", i) for i in range(1000)]
+    spark.createDataFrame(rows, "domain_name string, step_from long, step_to long, key binary, value binary, row_id long").coalesce(1).sortWithinPartitions("key").write.parquet(f"file://{tmp_path}/kv")
+    records = spark.read.parquet(f"file://{tmp_path}/kv")
+    paths = small_files.write_siblings(records, f"file://{tmp_path}/all", 7)
+    assert sorted(bytes(r.key) for r in spark.read.parquet(paths.bt).collect()) == [b"k%05d" % i for i in range(0, 1000, 256)]
+    f = existence.read_filter(spark, paths.kvei)
+    assert existence.contains(records, f, 7).where("not maybe").count() == 0
+
+
 def test_small_file_records(spark):
     files = spark.createDataFrame(
         [

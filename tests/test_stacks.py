@@ -234,3 +234,14 @@ def test_stack_lookups_ask_the_filters(spark, tmp_path):
     plan = resolved._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
     assert resolved.count() == 2001 and resolved.where("key = cast('all' as binary)").first().value == b"3"
+
+
+def test_left_folders_are_swept(spark):
+    from palimpsest import session
+
+    mine = session.new_path(spark, "x")
+    spark.range(3).write.parquet(mine)
+    left = f"{session.shared_dir(spark)}/palimpsest-killed"
+    spark.range(3).write.parquet(left + "/x")
+    assert session.sweep(spark, 1) == [] and session.exists(spark, left)
+    assert session.sweep(spark, -1) == ["palimpsest-killed"] and not session.exists(spark, left) and session.exists(spark, mine)
