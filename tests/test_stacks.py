@@ -236,12 +236,13 @@ def test_stack_lookups_ask_the_filters(spark, tmp_path):
     assert resolved.count() == 2001 and resolved.where("key = cast('all' as binary)").first().value == b"3"
 
 
-def test_left_folders_are_swept(spark):
+def test_left_folders_are_swept(spark, tmp_path, monkeypatch):
     from palimpsest import session
 
-    mine = session.new_path(spark, "x")
-    spark.range(3).write.parquet(mine)
-    left = f"{session.shared_dir(spark)}/palimpsest-killed"
-    spark.range(3).write.parquet(left + "/x")
-    assert session.sweep(spark, 1) == [] and session.exists(spark, left)
-    assert session.sweep(spark, -1) == ["palimpsest-killed"] and not session.exists(spark, left) and session.exists(spark, mine)
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
+    own = f"palimpsest-{spark.sparkContext.applicationId}"
+    for name in (own, "palimpsest-killed", "other"):
+        spark.range(3).write.parquet(f"file://{tmp_path}/{name}/x")
+    assert session.sweep(spark, 1) == []
+    assert session.sweep(spark, -1) == ["palimpsest-killed"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["other", own]
