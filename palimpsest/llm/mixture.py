@@ -220,3 +220,16 @@ def in_order(chosen: DataFrame, seed: int = 17) -> DataFrame:
     # Blocks by hash, as many at any size.
     block = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(4096))
     return copies.select("source", "doc_id", "pass", F.xxhash64(F.lit(seed), "pass", block).alias("block"), F.xxhash64(F.lit(seed + 1), "pass", "doc_id").alias("turn"))
+
+
+def checked(chosen: DataFrame, report: DataFrame) -> DataFrame:
+    """``source, within_repeats, near_target`` of each target: no document too often, and no farther from its share than half a median document.
+
+    The share is that among the sources that have documents; of a source without any nothing is asked.
+    """
+    sizes = chosen.groupBy("source").agg((F.median("n_tokens") / 2).alias("half"))
+    everything = F.sum("tokens").over(Window.partitionBy())
+    there = F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(Window.partitionBy())
+    told = report.join(F.broadcast(sizes), "source", "left").withColumn("off", F.abs(F.col("tokens") - everything * F.col("target_share") / there))
+    near = (F.col("tokens") == 0) | (F.col("off") <= F.col("half"))
+    return told.select("source", (F.col("most_copies") <= F.coalesce("max_repeats", F.lit(0))).alias("within_repeats"), near.alias("near_target"))

@@ -53,6 +53,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each source keeps its repeats and reaches its target."""
+    return mixture.checked(*_mix(spark, sf_dir))
+
+
 def p7_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each copy in the mixture with its pass, block and turn."""
     return mixture.in_order(_mix(spark, sf_dir)[0])
@@ -73,7 +78,7 @@ def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("kind").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_shared, p4_removals, p6_ids, p6_round_trip, p7_mix, p7_shares, p7_order, p7_tempered, p8_found, p8_kinds)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_shared, p4_removals, p6_ids, p6_round_trip, p7_mix, p7_shares, p7_checks, p7_order, p7_tempered, p8_found, p8_kinds)}
 def _runs(windows: str, name: str) -> str:
     """Windows put together to maximal stretches ``a`` to ``b``."""
     return f"""{name}_m AS (SELECT key, h, n, i, CASE WHEN i - lag(i) OVER (PARTITION BY key, h ORDER BY i) <= 64 THEN 0 ELSE 1 END AS new FROM {windows}),
@@ -97,5 +102,6 @@ ORACLE: dict[str, str] = {
     "p4_found": f"WITH {_SPANS} SELECT DISTINCT lower(hex(key)) AS key_hex, a AS span_from, b AS span_to FROM s",
     "p4_shared": f"WITH {_SPANS} SELECT lower(hex(key)) AS key_hex, n AS n_bytes, CAST(sum(b - a) AS BIGINT) AS shared_bytes, sum(b - a) / n AS shared_part FROM s GROUP BY key, h, n",
     "p4_removals": f"WITH {_CUT} SELECT DISTINCT lower(hex(key)) AS key_hex, min(p) AS span_from, max(p) + 1 AS span_to FROM isle GROUP BY key, h, isle",
+    "p7_checks": "SELECT source, true AS within_repeats, true AS near_target FROM mix_targets",
     "p6_round_trip": "SELECT CAST(0 AS BIGINT) AS doc_id WHERE false",
 }
