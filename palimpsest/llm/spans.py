@@ -32,8 +32,8 @@ from palimpsest.session import materialize
 LENGTH = 64
 #: Bytes of values that one column-wise pass handles; a longer value is handled in pieces.
 PASS_BYTES = 1 << 20
-#: Windows of a run at most, so that those shared fit the bits of a number.
-RUN_WINDOWS = 32
+#: Windows of a run at most, so that those shared fit the bits of a number; a fingerprint that occurs once leads half a window and one.
+RUN_WINDOWS = 60
 
 #: Fingerprints (8 bytes each) up to which those that two keys have are broadcast; more are met by a shuffle of the runs.
 BROADCAST_PRINTS = 1_000_000
@@ -223,7 +223,7 @@ def _emit_windows(length: int, pass_bytes: int):
 
 def _covers(owner: np.ndarray, place: np.ndarray, mask: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """owner, begin, end of the maximal stretches that the windows of the masks cover; rows come by owner and place."""
-    bits = np.unpackbits(mask.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    bits = np.unpackbits(mask.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     row, nth = np.nonzero(bits)
     owner, at = owner[row], place[row] + nth
     if not len(at):
@@ -335,7 +335,8 @@ def shared_spans(df: DataFrame, key: str, value: str, length: int = LENGTH, remo
     # One row a kind of run: who holds it, and one place where it is.
     kinds = runs.groupBy("ca", "cb").agg(F.min("kid").alias("kmin"), F.max("kid").alias("kmax"), *[F.first(c).alias(c) for c in ("fp", *_KEYS, "place", "windows")])
     kinds = materialize(kinds, "kinds")
-    several = kinds.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    # Where every kind is held by two keys, all its windows are shared; which key keeps one is another matter.
+    several = kinds.groupBy("fp").agg(F.count("*").alias("n"), F.bool_or(F.expr("kmin = kmax")).alias("open")).where("n > 1" if removable else "n > 1 and open").select("fp")
     asked = kinds.join(several, "fp", "left_semi").groupBy(*_KEYS).agg(F.collect_list(F.struct("place", "windows", "ca", "cb", "kmin", "kmax")).alias("runs"))
     # Repeated rows have one id and the same windows; one of them will do.
     texts = values.select(*_KEYS, "value").join(asked, list(_KEYS)).select("runs", "value")
