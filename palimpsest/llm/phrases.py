@@ -25,34 +25,57 @@ STATUS = sorted(
     }
 )
 
+
+def _made(*parts: tuple[str, ...]) -> list[str]:
+    """Every phrase that takes one of each part."""
+    return [" ".join(x) for x in product(*parts)]
+
+
 #: What is wrong with a page or a server, without saying which.
 WRONG = (
-    "could not be found", "couldn't be found", "cannot be found", "can't be found", "can not be found", "was not found", "were not found", "is not found", "wasn't found", "not be located",
-    "does not exist", "doesn't exist", "do not exist", "did not exist", "no longer exists", "no longer exist", "does not appear to exist", "doesn't appear to exist", "no longer at this address",
-    "is not available", "isn't available", "is unavailable", "not available", "no longer available", "temporarily unavailable", "currently unavailable", "is not accessible", "is not valid",
+    *_made(("cannot be", "can't be", "can not be", "could not be", "couldn't be"), ("found", "reached", "read", "loaded", "displayed", "shown", "opened", "accessed", "served", "located", "retrieved", "resolved", "verified", "processed", "completed", "rendered", "fetched")),
+    *_made(("no longer",), ("exists", "exist", "available", "here", "there", "online", "active", "at this address", "at this url", "at this location", "on this server", "part of", "supported")),
+    *_made(("returned", "sent", "received", "got", "gave", "produced"), ("an invalid", "an unexpected", "an empty", "a bad", "no", "an unknown"), ("response", "reply", "answer")),
+    *_made(("returned", "sent", "produced"), ("an error", "nothing", "an invalid header")),
+    *_made(("refused", "rejected", "dropped", "declined"), ("the request", "the connection", "your request", "to connect", "this request")),
+    *_made(("was", "were", "been", "is", "has been", "have been"), ("moved or removed", "moved or deleted", "removed or renamed", "renamed or removed", "renamed or deleted")),
+    *_made(("may have been", "might have been", "could have been"), ("removed", "moved", "deleted", "renamed")),
+    *_made(("over", "above", "beyond"), ("its limit", "its quota", "your limit", "your quota", "the limit", "the quota", "its capacity")),
+    *_made(("too large", "too big", "too long"), ("to show", "to display", "to preview", "to render", "to view")),
+    *_made(("sign in", "log in", "login", "authenticate"), ("to see", "to view", "to continue", "to access", "to proceed", "to read")),
+    *_made(("until you", "before you"), ("sign in", "log in")),
+    *_made(("page", "file", "resource", "url", "document", "object", "item", "content", "site"), ("you were looking for", "you are looking for", "you're looking for", "you requested", "you asked for", "you are trying to", "you tried to", "you were trying to", "you want")),
+    *_made(("no such", "unknown", "nonexistent"), ("revision", "repository", "object", "page", "resource", "path", "route", "branch", "commit", "document", "user", "project", "package", "version")),
+    *_made(("the specified", "specified"), ("key", "bucket", "object", "resource", "blob", "container")),
+    *_made(("be back", "back online", "back up", "return"), ("soon", "shortly", "in a moment", "in a few minutes")),
+    *_made(("more requests", "too many requests", "requests too", "too many connections"), ("than", "from", "quickly", "fast")),
+    *_made(("right now", "at this time", "at the moment", "for now"), ("unavailable", "not available", "offline")),
+    "was not found", "were not found", "is not found", "wasn't found", "not be located",
+    "does not exist", "doesn't exist", "do not exist", "did not exist", "does not appear to exist", "doesn't appear to exist", 
+    "is not available", "isn't available", "is unavailable", "not available", "temporarily unavailable", "currently unavailable", "is not accessible", "is not valid",
     "has been moved", "has been removed", "has been deleted", "has been disabled", "has been suspended", "has been blocked", "has been denied", "has been archived", "have been blocked",
-    "have been removed", "been moved or deleted", "was moved or removed", "was removed", "was deleted", "was blocked", "was denied", "was rejected", "was moved", "had its name changed",
-    "is private", "is down for maintenance", "is down", "under maintenance", "is offline", "went offline", "undergoing maintenance", "scheduled maintenance", "be back soon", "is invalid", "http error", "exception has occurred", "back online soon",
-    "cannot be reached", "can't be reached", "could not be reached", "couldn't be reached", "is unreachable", "refused to connect", "refused the connection", "refused the request", "gave no answer",
+    "have been removed", "was removed", "was deleted", "was blocked", "was denied", "was rejected", "was moved", "had its name changed",
+    "is private", "is down for maintenance", "is down", "under maintenance", "is offline", "went offline", "undergoing maintenance", "scheduled maintenance", "is invalid", "http error", "exception has occurred", 
+    "is unreachable", 
     "closed the connection", "unexpectedly closed", "is not responding", "not responding", "did not respond", "didn't respond", "took too long to respond", "timed out", "time limit exceeded",
-    "cannot be displayed", "can't be displayed", "could not be displayed", "cannot be read right now", "cannot be shown", "could not be loaded", "couldn't load", "could not load", "failed to load",
-    "failed to fetch", "cannot be loaded", "is too large to show", "is too large to display", "returned an error", "returned an unexpected reply", "returned an invalid", "returned nothing",
-    "sent an invalid response", "received an invalid response", "encountered an error", "encountered an internal error", "encountered an unexpected condition", "misconfiguration and was unable",
+    "couldn't load", "could not load", "failed to load",
+    "failed to fetch", 
+    "encountered an error", "encountered an internal error", "encountered an unexpected condition", "misconfiguration and was unable",
     "prevented it from fulfilling", "unable to complete your request", "unable to process your request", "unable to handle this request", "unable to handle the request", "unable to service your request",
     "unable to connect", "unable to fetch", "unable to find", "unable to load", "unable to retrieve", "unable to verify", "could not process", "could not complete", "could not connect", "could not resolve",
-    "could not understand", "could not verify", "could not satisfy", "couldn't find", "could not find", "cannot find", "can't find", "cannot serve", "can't be served", "cannot be served", "not understand",
+    "could not understand", "could not verify", "could not satisfy", "couldn't find", "could not find", "cannot find", "can't find", "cannot serve", "not understand",
     "is forbidden", "is restricted", "is denied", "is not allowed", "not allowed to access", "is not permitted", "are not permitted", "is not supported", "not supported for", "is not authorized",
     "are not authorized", "aren't authorized", "do not have permission", "don't have permission", "does not have permission", "do not have access", "don't have access", "lacks permission", "need permission",
-    "not have the required", "must be authenticated", "requires authentication", "must be logged in", "must be signed in", "need to sign in", "need to log in", "until you sign in", "sign in to see", "sign in to view",
-    "sign in to continue", "log in to continue", "session has expired", "session has ended", "session expired", "token has expired", "link has expired", "link is broken", "broken link", "this link may be broken",
-    "sent too many requests", "too many requests", "more requests than", "exceeded a secondary rate limit", "exceeded the rate limit", "exceeded your", "rate limit", "is over its limit", "slow down",
+    "not have the required", "must be authenticated", "requires authentication", "must be logged in", "must be signed in", "need to sign in", "need to log in", 
+    "session has expired", "session has ended", "session expired", "token has expired", "link has expired", "link is broken", "broken link", "this link may be broken",
+    "sent too many requests", "too many requests", "exceeded a secondary rate limit", "exceeded the rate limit", "exceeded your", "rate limit", "slow down",
     "an error occurred", "an error has occurred", "error occurred while processing", "error was encountered while", "there was an error", "there was a problem", "there has been a critical error", "we encountered a problem",
     "something went wrong", "something has gone wrong", "things went wrong", "went wrong on our", "server logs", "server administrator", "site administrator", "site owner", "webmaster", "ray id", "reference #",
     "no server is available", "no healthy upstream", "no healthy backends", "upstream connect error", "overloaded", "over capacity", "heavy load", "no explicit mapping for", "seeing this as a fallback",
-    "page you were looking for", "page you are looking for", "page you're looking for", "page you requested", "the page you are trying to", "resource you are looking for", "object you asked for", "file you requested",
+    
     "site can't be reached", "try again later", "try again in a few", "try again in 30 seconds", "please try again", "please retry", "try reloading", "try refreshing", "check the url", "check the address", "mistyped the address",
-    "typed the address", "page may have moved", "may have been removed", "may have been moved", "may have been deleted", "might have been removed", "might have been moved", "may have moved", "nothing here", "nothing was found",
-    "does not match any", "no such revision", "no such repository", "no such object", "no such page", "unknown revision", "specified key", "specified bucket", "security service to protect itself", "triggered the security solution",
+    "typed the address", "page may have moved", "may have moved", "nothing here", "nothing was found",
+    "does not match any", "security service to protect itself", "triggered the security solution",
     "you are unable to access", "attention required", "error establishing a database connection", "there isn't a github pages site here", "request could not be satisfied", "cannot get /", "cannot post /", "cannot head /",
     "you have been blocked", "used cloudflare to restrict access", "banned your access", "incident id", "fault filter abort", "varnish cache server", "guru meditation", "origin web server", "bad request to",
 )
@@ -157,9 +180,14 @@ SLOT_HINTS = ("cookiecutter", "copier_", "scaffold.", "[insert ", "[enter ", "[y
 
 #: Sentences of filler.
 FILLER_SENTENCES = (
-    "coming soon", "replace this paragraph with your own words", "replace this text", "add your content here", "add content here", "add text here", "write something about this section", "write something here", "description goes here",
-    "placeholder paragraph", "placeholder text", "placeholder content", "this is a placeholder", "this is placeholder text", "dummy text", "dummy content", "sample text", "sample content", "text goes here", "your text here", "your text goes here",
-    "your content here", "your content goes here", "insert text here", "insert content here", "enter text here", "content goes here", "some text here", "lorem ipsum", "body text here", "section text goes here", "to be written", "to be added later",
+    *_made(("replace this",), ("text", "paragraph", "section", "sentence", "line", "content", "block"), ("with your own words", "with your own text", "with your own content", "with your text", "with real content")),
+    *_made(("write", "add", "insert", "enter", "put", "type"), ("something", "some text", "text", "content", "your text", "your content", "a few words", "a description", "details"), ("here", "about this section", "about this", "in this section")),
+    *_made(("text", "content", "description", "your text", "your content", "your description", "body text", "section text", "more text", "title", "some text"), ("goes here", "here")),
+    *_made(("placeholder", "dummy", "sample", "filler", "example"), ("text", "content", "paragraph", "copy", "sentence")),
+    *_made(("replace this",), ("text", "paragraph", "placeholder")),
+    "coming soon", 
+    "this is a placeholder", "this is placeholder text", 
+    "lorem ipsum", "to be written", "to be added later",
     "the quick brown fox jumps over the lazy dog", "bacon ipsum", "your description here", "describe your project here", "short description of the project", "one paragraph of project description goes here",
     "hier steht ein text", "hier steht ihr text", "blindtext", "platzhaltertext", "texte à remplacer", "votre texte ici", "faux texte", "texto de ejemplo", "texto de relleno", "su texto aquí", "texto de exemplo", "seu texto aqui", "testo di prova", "testo segnaposto",
     "текст-заполнитель", "текст-рыба", "здесь будет текст", "ダミーテキスト", "ここにテキスト", "示例文本", "占位文本", "此处填写", "더미 텍스트", "샘플 텍스트",

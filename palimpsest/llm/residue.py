@@ -43,7 +43,7 @@ SLOT, PAGE, NOTICE, FILLER = "slot", "page", "notice", "filler"
 #: Of pages, what is no word: addresses, times, numbers, names of servers with versions, traces of a stack.
 _WRAPPING = re.compile(
     r"https?://\S+|\bat [\w.$<>]+\([^()\n]*\)|\b(?:java|javax|org|com)\.[\w.$]+|\b[a-z][\w.-]*/\d+(?:\.\d+)*|\b(?=[\w-]*\d)[\w-]{4,}\b|\b\S*[+/=]\S{12,}|\b(?:[a-z0-9-]+\.)+(?:com|org|net|io|dev|edu|gov|example|local|invalid|test)\b"
-    r"|\b(?:mon|tue|wed|thu|fri|sat|sun|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b|\b(?:gmt|utc|am|pm)\b|\b(?:get|head|post|put) /\S*|\bfetch failed\b|\btraceback of the [a-z]+ follows\b"
+    r"|\b(?:mon|tue|wed|thu|fri|sat|sun|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b|\b(?:gmt|utc|am|pm)\b|\b(?:get|head|post|put) /\S*"
     # Without blanks between words: what such notices say around their phrases.
     r"|このページ|このサイト|このファイル|お使いの|お探しの|ブラウザ|ページ|ファイル|表示するには|利用するには|続行するには|にしてください|してください|ください|設定|请求的|您的|请在|请|浏览器|中|以继续|以查看|查看|此页面|页面|文件|您|的|이 페이지를|이 사이트를|브라우저에서|브라우저|페이지|파일|보려면|사용하려면|계속하려면|하세요|하십시오|해주세요"
 )
