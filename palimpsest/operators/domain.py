@@ -25,6 +25,9 @@ DEFAULT_FANOUT = 256
 
 #: Columns of a written domain's files: number of the file, place in it, bytes before it in it, whether its key rises.
 NO, AT, UPTO, RISES = "__no", "__at", "__upto", "__rises"
+#: Schemas of what a domain has on disk, so that reading one need not look into its files first.
+_KV = f"key binary, value binary, {NO} int, {AT} long, {UPTO} long, {RISES} boolean"
+_FILES = f"{NO} int, keys long, bytes long, empty_words long, first_key binary, last_key binary, fanout long, falls long, first_ordinal long, first_offset long"
 
 
 class DomainError(ValueError):
@@ -141,37 +144,38 @@ def write_domain(df: DataFrame, base: str, salt: int | None = None, fanout: int
     rows = rows.select("key", "value", F.spark_partition_id().alias(NO), F.col("__m.at").alias(AT), F.col("__m.upto").alias(UPTO), F.col("__m.rises").alias(RISES))
     writer = rows.write.option("parquet.bloom.filter.enabled#key", "true")
     (writer.option("compression", "zstd") if compress else writer).parquet(out.kv)
-    stored = spark.read.schema(rows.schema).parquet(out.kv)
-    # The column is true throughout but in a bad domain, so statistics leave out every row group.
-    bad = stored.where(f"not {RISES}").select("key").limit(1).collect()
-    if bad:
-        remove(spark, out.kv)
-        raise DomainError(f"keys must be strictly increasing: {bad[0].key!r} is null or occurs again")
+    stored = spark.read.schema(_KV).parquet(out.kv)
     empty = lambda c: F.count_if(F.octet_length(c) == 0)
     parts = stored.groupBy(NO).agg(
         F.count("*").alias("keys"), F.max(F.col(UPTO) + F.octet_length("key") + F.octet_length("value")).alias("bytes"), (empty("key") + empty("value")).alias("empty_words"),
-        F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.lit(max(1, fanout)).cast("long").alias("fanout"),
+        F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.lit(max(1, fanout)).cast("long").alias("fanout"), F.count_if(~F.col(RISES)).alias("falls"),
     )
     _first_of(parts).coalesce(1).write.parquet(f"{out.bt}/files")
+    told = file_parts(spark, base).agg(F.coalesce(F.sum("keys"), F.lit(0)).alias("keys"), F.coalesce(F.sum("falls"), F.lit(0)).alias("falls")).first()
+    if told.falls:
+        bad = stored.where(f"not {RISES}").select("key").first()
+        for path in (out.kv, out.bt):
+            remove(spark, path)
+        raise DomainError(f"keys must be strictly increasing: {bad.key!r} is null or occurs again")
     key_nodes(read_domain(spark, base).select("ordinal", "logical_offset", "key"), fanout).write.parquet(f"{out.bt}/nodes")
     if salt is not None:
-        existence.write_filter(stored.select("key"), salt, out.kvei, count=file_parts(spark, base).agg(F.coalesce(F.sum("keys"), F.lit(0))).first()[0])
+        existence.write_filter(stored.select("key"), salt, out.kvei, count=told.keys)
     return out
 
 
 def file_parts(spark: SparkSession, base: str) -> DataFrame:
     """A row a file of a written domain: keys, bytes, empty words, key range, and what comes before it."""
-    return spark.read.parquet(f"{base}.bt/files")
+    return spark.read.schema(_FILES).parquet(f"{base}.bt/files")
 
 
 def read_pairs(spark: SparkSession, base: str) -> DataFrame:
     """``key, value`` alone: a predicate on key reaches the scan, and files of other key ranges are left out by their statistics."""
-    return spark.read.parquet(f"{base}.kv").select("key", "value")
+    return spark.read.schema(_KV).parquet(f"{base}.kv").select("key", "value")
 
 
 def read_domain(spark: SparkSession, base: str) -> DataFrame:
     """``key, value, ordinal, logical_offset``; order by key where order matters."""
-    kv = spark.read.parquet(f"{base}.kv")
+    kv = spark.read.schema(_KV).parquet(f"{base}.kv")
     # A row a file.
     first = F.broadcast(file_parts(spark, base).select(NO, "first_ordinal", "first_offset"))
     return kv.join(first, NO).select("key", "value", (F.col("first_ordinal") + F.col(AT)).alias("ordinal"), (F.col("first_offset") + F.col(UPTO)).alias("logical_offset"))
@@ -182,7 +186,7 @@ def pairs_at(spark: SparkSession, base: str, ordinals: Sequence[int]) -> DataFra
     parts = file_parts(spark, base).select(NO, "keys", "first_ordinal").orderBy(NO).toArrow()
     first = parts.column("first_ordinal").to_numpy()
     upto = first + parts.column("keys").to_numpy()
-    kv = spark.read.parquet(f"{base}.kv")
+    kv = spark.read.schema(_KV).parquet(f"{base}.kv")
     where, number = F.lit(False), F.lit(None).cast("long")
     for i in sorted({int(o) for o in ordinals}):
         part = int(np.searchsorted(upto, i, "right"))
@@ -206,7 +210,7 @@ def counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def inspect(spark: SparkSession, base: str) -> DataFrame:
     """One row about a domain: name, step range, counts, bytes, fanout, filter.  Data files are not opened but for their sizes."""
-    held = spark.read.parquet(f"{base}.kv").select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s")).distinct()
+    held = spark.read.schema(_KV).parquet(f"{base}.kv").select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s")).distinct()
     size = held.agg(F.count("*").alias("files"), F.coalesce(F.sum("s"), F.lit(0)).alias("file_bytes")).first()
     parts = file_parts(spark, base)
     sums = parts.agg(F.coalesce(F.sum("keys"), F.lit(0)), F.coalesce(F.sum("empty_words"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0)), F.max("fanout")).first()

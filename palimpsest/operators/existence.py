@@ -27,6 +27,7 @@ SLICE_WORDS, HELD_SLICES, CHUNK = 1 << 19, 16, 1 << 20
 #: Sampled keys a salt must all find to be believed, and those the search tries.
 VALIDATE_KEYS, SEARCH_KEYS = 64, 16
 SALTS = 1 << 32
+_META, _WORD_ROWS = "kind string, m long, keys string, salt long", "word long, bits long"
 
 
 @dataclass
@@ -206,21 +207,23 @@ def write_filter(keys: DataFrame, salt: int, path: str, count: int | None = None
     """Saves a filter for ``keys``: its words in order, so that statistics find them, and one row of what is needed to probe it."""
     f = build_filter(keys, salt, count=count)
     spark = keys.sparkSession
-    spark.createDataFrame([(f.kind, f.m, json.dumps(f.keys), salt)], "kind string, m long, keys string, salt long").coalesce(1).write.parquet(f"{path}/meta")
+    spark.createDataFrame([(f.kind, f.m, json.dumps(f.keys), salt)], _META).coalesce(1).write.parquet(f"{path}/meta")
     if f.words is not None:
-        f.words.repartitionByRange("word").sortWithinPartitions("word").write.parquet(f"{path}/words")
+        # A small filter is one file; a larger one is cut into ranges of words.
+        ranges = f.words.coalesce(1) if -(-f.m // 64) <= SLICE_WORDS else f.words.repartitionByRange("word")
+        ranges.sortWithinPartitions("word").write.parquet(f"{path}/words")
     return f
 
 
 def filter_meta(spark: SparkSession, path: str) -> dict | None:
-    return spark.read.parquet(f"{path}/meta").first().asDict() if exists(spark, f"{path}/meta") else None
+    return spark.read.schema(_META).parquet(f"{path}/meta").first().asDict() if exists(spark, f"{path}/meta") else None
 
 
 def read_filter(spark: SparkSession, path: str) -> Filter | None:
     meta = filter_meta(spark, path)
     if meta is None:
         return None
-    words = spark.read.parquet(f"{path}/words") if meta["kind"] == "bloom" else None
+    words = spark.read.schema(_WORD_ROWS).parquet(f"{path}/words") if meta["kind"] == "bloom" else None
     return Filter(words, meta["m"], tuple(json.loads(meta["keys"])), meta["kind"], meta["salt"])
 
 

@@ -348,7 +348,8 @@ def huffman_depths(spark, d):
 def write_and_inspect(spark, d):
     base = new_path(spark, "domain") + "/v1.1-orders.0-16"
     domain.write_domain(orders_domain(spark, d), base, salt=SALT)
-    return domain.inspect(spark, base).select("name", "step_from", "step_to", "words_count", "empty_words_count", "key_count", "filter_kind", "salt")
+    about = domain.inspect(spark, base).withColumn("has_bytes", F.col("file_bytes") > F.col("logical_bytes") / 100)
+    return about.select("name", "step_from", "step_to", "words_count", "empty_words_count", "key_count", "logical_bytes", "fanout", "filter_kind", "filter_accelerates", "salt", "has_bytes")
 
 
 def _compared(source: DataFrame, again: DataFrame) -> DataFrame:
@@ -445,6 +446,21 @@ def stack_shape(spark, d):
     return spark.createDataFrame([(len(stack), stack.is_empty(), stack.bloom_count(), stack.salt)], "runs long, empty boolean, filters_in_use long, salt long")
 
 
+def stack_find(spark, d):
+    """A stack whose salt is not known: found in its oldest run, checked against each, and used."""
+    base = _write_runs(spark, buyer_runs(spark, d), SALT)
+    stack = Stack.open_dir(spark, base, "buyers", salt="find", search_limit=1 << 12)
+    unknown = Stack.open_dir(spark, base, "buyers")
+    return spark.createDataFrame([("find", stack.salt, stack.bloom_count()), ("none", unknown.salt, unknown.bloom_count())], "policy string, salt long, filters_in_use long")
+
+
+def stack_readers(spark, d):
+    """The readers of a written stack, oldest first, with what each is made of."""
+    stack = _written_buyers(spark, d)
+    found = [(r.name, i, *r.steps, r.filters, r.salt) for i, r in enumerate(stack.runs)]
+    return spark.createDataFrame(found, "name string, rank long, step_from long, step_to long, filter_in_use boolean, salt long")
+
+
 def rejected_writes(spark, d):
     """What a write does with rows that are no domain: a repeated key, a null key, and no runs to merge."""
     from palimpsest.operators.merge import merge
@@ -627,7 +643,8 @@ def word_files(spark, d):
 
     told = _words(spark, d).repartition(4).select("word").mapInArrow(write, "n long").agg(F.sum("n")).first()[0]
     read = spark.read.format("kvseg").option("words", "true").load(folder)
-    return read.groupBy(_hex("word")).agg(F.count("*").alias("copies")).withColumn("written", F.lit(told).cast("long"))
+    left = sum(not n.endswith(".kv") for n in files.names(folder))
+    return read.groupBy(_hex("word")).agg(F.count("*").alias("copies")).select("word_hex", "copies", F.lit(told).cast("long").alias("written"), F.lit(left).cast("long").alias("left_over"))
 
 
 def stream_upserts(spark, d):
@@ -737,7 +754,7 @@ QUERIES = {
         smallest_run, smallest_by_bytes, ordinals, nth_key, every_mth_key, offsets_prefix_sum, evenly_spaced_sample, stride_sample, order_violations, repeated_keys,
         inspect_counts, length_histogram, step_names, murmur3_h1, murmur3_long_keys, bloom_bits, bloom_word_or, bloom_contains, salt_validate, find_salt, salt_file,
         ngram_top_patterns, ngram_top_all_lengths, greedy_cover, pattern_usage, distance_histogram, huffman_depths, write_and_inspect, recode_identity,
-        codec_round_trip, domain_get, domain_range, domain_prefix, domain_nth, domain_ordinals, domain_batch_get, domain_nodes, stack_get, stack_written, stack_shape,
+        codec_round_trip, domain_get, domain_range, domain_prefix, domain_nth, domain_ordinals, domain_batch_get, domain_nodes, stack_get, stack_written, stack_shape, stack_find, stack_readers,
         rejected_writes, foreign_scan, foreign_words, foreign_cursor, foreign_get_indexed, foreign_get_scanned, foreign_headers, foreign_metadata, foreign_filter,
         foreign_stack, foreign_merge, word_files, stream_upserts, merge_written, stack_filtered_get_many, uvarints, uvarints_read, elias_fano_offsets, elias_fano_get,
         select_bits, lockstep_positions, foreign_inspect, stream_intervals,

@@ -260,7 +260,7 @@ ORACLE = {
     "murmur3_long_keys": _long_hash(),
     "ngram_top_patterns": f"WITH {_GRAM_WORDS}, g AS ({_ALL_GRAMS}), c AS (SELECT g, n, count(*) AS uses FROM g GROUP BY g, n HAVING count(*) >= 2) SELECT lower(g) AS ngram_hex, uses, (n - 4) * (uses - 1) AS score FROM c ORDER BY score DESC, g LIMIT 8192",
     "ngram_top_all_lengths": f"WITH {_GRAM_WORDS}, g AS ({_grams(64)} UNION ALL {_grams(32)} UNION ALL {_grams(16)} UNION ALL {_grams(8)}), c AS (SELECT g, n, count(*) AS uses FROM g GROUP BY g, n HAVING count(*) >= 2) SELECT lower(g) AS ngram_hex, uses, (n - 4) * (uses - 1) AS score FROM c ORDER BY score DESC, g LIMIT 100",
-    "write_and_inspect": "SELECT 'v1.1-orders.0-16.kv' AS name, CAST(0 AS BIGINT) AS step_from, CAST(16 AS BIGINT) AS step_to, 2 * count(*) AS words_count, CAST(0 AS BIGINT) AS empty_words_count, count(*) AS key_count, 'bloom' AS filter_kind, CAST(9 AS BIGINT) AS salt FROM orders",
+    "write_and_inspect": f"WITH {ORDERS} SELECT 'v1.1-orders.0-16.kv' AS name, CAST(0 AS BIGINT) AS step_from, CAST(16 AS BIGINT) AS step_to, 2 * count(*) AS words_count, CAST(0 AS BIGINT) AS empty_words_count, count(*) AS key_count, CAST(sum(strlen(k) + strlen(v)) AS BIGINT) AS logical_bytes, CAST(256 AS BIGINT) AS fanout, 'bloom' AS filter_kind, true AS filter_accelerates, CAST(9 AS BIGINT) AS salt, true AS has_bytes FROM dom",
     "recode_identity": "SELECT count(*) AS source_rows, count(*) AS read_rows, CAST(0 AS BIGINT) AS differing FROM orders",
     "codec_round_trip": "SELECT count(*) AS source_rows, count(*) AS read_rows, CAST(0 AS BIGINT) AS differing FROM orders",
     "greedy_cover": f"WITH RECURSIVE {_COVER} SELECT pos, CAST(start AS INTEGER) AS start, CAST(pid AS INTEGER) AS pattern_id FROM cover",
@@ -279,6 +279,8 @@ SELECT CAST(symbol AS BIGINT) AS symbol, count(*) AS uses FROM d GROUP BY 1""",
     "stack_get": f"WITH {BUYERS} SELECT {PAIR} FROM ({_newest('buyers')}) WHERE k IN ('c00000000', 'c00000001', 'c00000002', 'c00000042', 'c00000077', 'nothing')",
     "stack_written": f"WITH {BUYERS} SELECT {PAIR} FROM ({_newest('buyers')})",
     "stack_shape": f"WITH {BUYERS} SELECT count(DISTINCT s) AS runs, false AS empty, count(DISTINCT s) AS filters_in_use, CAST(9 AS BIGINT) AS salt FROM buyers",
+    "stack_find": f"WITH {BUYERS}, r AS (SELECT count(DISTINCT s) AS runs FROM buyers) SELECT 'find' AS policy, CAST(9 AS BIGINT) AS salt, runs AS filters_in_use FROM r UNION ALL SELECT 'none', NULL, 0",
+    "stack_readers": f"WITH {BUYERS}, f AS (SELECT DISTINCT CAST(s AS BIGINT) AS s FROM buyers) SELECT 'v1.1-buyers.' || s || '-' || (s + 1) || '.kv' AS name, row_number() OVER (ORDER BY s) - 1 AS rank, s AS step_from, s + 1 AS step_to, true AS filter_in_use, CAST(9 AS BIGINT) AS salt FROM f",
     "rejected_writes": "SELECT * FROM (VALUES ('repeated', 'DomainError'), ('null', 'DomainError'), ('no runs', 'StackError')) AS t(\"case\", result)",
     "foreign_scan": f"WITH {ORDERS} SELECT {PAIR} FROM dom",
     "foreign_metadata": f"WITH {ORDERS} SELECT {PAIR} FROM dom",
@@ -292,7 +294,7 @@ FROM (VALUES ('v1.1-orders.0-16.kv', 16, 0, 0, 256, 'bloom'), ('paged.0-1.kv', 1
     "foreign_filter": _contains(),
     "foreign_stack": f"WITH {BUYERS}, p AS (SELECT DISTINCT 'c' || lpad(CAST(c_custkey * 2 AS VARCHAR), 8, '0') AS k FROM customer) SELECT {PAIR} FROM p LEFT JOIN ({_newest('buyers')}) USING (k)",
     "foreign_merge": f"WITH {USERS} SELECT {PAIR} FROM ({_newest('users')}) WHERE v <> ''",
-    "word_files": f"WITH {_GRAM_WORDS} SELECT lower(w) AS word_hex, count(*) AS copies, (SELECT count(*) FROM words) AS written FROM words GROUP BY w",
+    "word_files": f"WITH {_GRAM_WORDS} SELECT lower(w) AS word_hex, count(*) AS copies, (SELECT count(*) FROM words) AS written, CAST(0 AS BIGINT) AS left_over FROM words GROUP BY w",
     "smallest_by_bytes": f"WITH {BUYERS}, {_BY_RUN} SELECT 'v1.1-buyers.' || s || '-' || (s + 1) || '.kv' AS name, CAST(sum(strlen(k) + strlen(v)) AS BIGINT) AS bytes FROM per_run GROUP BY s ORDER BY bytes, name LIMIT 1",
     "uvarints_read": "SELECT o_orderkey, o_orderkey * 1000003 AS number, o_orderkey * 1000003 AS again, CAST(0 AS BIGINT) AS cut FROM orders",
     "elias_fano_get": f"WITH {ORDERS}, {_NUMBERED}, o AS (SELECT ordinal, {_OFFSET} FROM numbered) SELECT * FROM o WHERE ordinal % 7 = 3",
