@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,9 @@ DEFAULT_FANOUT = 256
 SPLIT_BYTES = 64 << 20
 
 
+_ENDINGS = ("kv", "bt", "kvei")
+
+
 def _fail(what: str) -> FormatError:
     return FormatError(f"invalid .kv file: {what}")
 
@@ -234,25 +239,35 @@ class WordFile:
 
 def encode_words(words: Iterable[bytes], compress: bool = False) -> bytes:
     """A .kv file of ``words``; ``compress`` mines a pattern dictionary from them first."""
-    return encode_with_offsets(words, compress)[0]
+    words, out = list(words), []
+    write_words(lambda: words, out.append, compress)
+    return b"".join(out)
 
 
-def encode_with_offsets(words: Iterable[bytes], compress: bool = False) -> tuple[bytes, list[int]]:
-    """The same, and where each word begins among the words."""
-    words = list(words)
-    cover = Cover(mine_words(words) if compress else [])
-    covers = [cover.of(w) for w in words] if cover.patterns else [[]] * len(words)
+def write_words(words: Callable[[], Iterable[bytes]], write: Callable[[bytes], object], compress: bool = False, lengths: Counter[int] | None = None) -> tuple[array, int]:
+    """Writes a .kv file of words that can be gone through more than once: where each begins among the words, and the file's size.
+
+    Once to mine patterns (the first ones only) and once to count codes, if not told
+    the ``lengths``, then once to write: of the words themselves none is kept.
+    """
+    cover = Cover(mine_words(words()) if compress else [])
     uses: Counter[int] = Counter()
     pattern_uses: Counter[int] = Counter()
-    for w, c in zip(words, covers):
-        uses[len(w) + 1] += 1
+    if lengths is None or cover.patterns:
+        lengths = Counter()
+        for w in words():
+            lengths[len(w)] += 1
+            last = 0
+            for start, pattern in cover.of(w) if cover.patterns else ():
+                uses[start - last + 1] += 1
+                pattern_uses[pattern] += 1
+                last = start
+    count = sum(lengths.values())
+    for n, c in lengths.items():
+        uses[n + 1] += c
+    if count:
         # An uncompressed file counts the terminator for the empty word as well; either way the reader's codes agree.
-        uses[0] += 1
-        last = 0
-        for start, pattern in c:
-            uses[start - last + 1] += 1
-            pattern_uses[pattern] += 1
-            last = start
+        uses[0] += count
     kept = sorted(pattern_uses)
     pattern_code, pattern_dict = {}, b""
     for i, depth, code in huffman([(pattern_uses[p], i) for i, p in enumerate(kept)]):
@@ -264,43 +279,138 @@ def encode_with_offsets(words: Iterable[bytes], compress: bool = False) -> tuple
     for i, depth, code in huffman([(uses[p], p) for p in places]):
         place_code[places[i]] = (code, depth)
         place_dict += uvarint(depth) + uvarint(places[i])
-    out = [struct.pack(">QQQ", len(words), sum(not w for w in words), len(pattern_dict)), pattern_dict, struct.pack(">Q", len(place_dict)), place_dict]
+    head = struct.pack(">QQQ", count, lengths[0], len(pattern_dict)) + pattern_dict + struct.pack(">Q", len(place_dict)) + place_dict
+    write(head)
     bits = BitWriter()
-    offsets, at = [], 0
+    offsets, at = array("q"), 0
+    held: list[bytes] = []
+    size = 0
     # Words without a pattern begin alike where they are of a length.
     plain: dict[int, bytes] = {}
-    for w, c in zip(words, covers):
+    for w in words():
         offsets.append(at)
+        c = cover.of(w) if cover.patterns else ()
         if not c and (begun := plain.get(len(w))) is not None:
-            out += (begun, w)
-            at += len(begun) + len(w)
-            continue
-        bits.put(*place_code[len(w) + 1])
-        loose, last, upto = [], 0, 0
-        if w:
-            for start, pattern in c:
-                bits.put(*place_code[start - last + 1])
-                bits.put(*pattern_code[pattern])
-                loose.append(w[upto:start])
-                last, upto = start, start + len(cover.patterns[pattern])
-            bits.put(*place_code[0])
-        parts = [bits.flush(), *loose, w[upto:]]
-        if not c:
-            plain[len(w)] = parts[0]
-        out += parts
-        at += sum(map(len, parts))
-    return b"".join(out), offsets
+            parts = [begun, w]
+        else:
+            bits.put(*place_code[len(w) + 1])
+            loose, last, upto = [], 0, 0
+            if w:
+                for start, pattern in c:
+                    bits.put(*place_code[start - last + 1])
+                    bits.put(*pattern_code[pattern])
+                    loose.append(w[upto:start])
+                    last, upto = start, start + len(cover.patterns[pattern])
+                bits.put(*place_code[0])
+            parts = [bits.flush(), *loose, w[upto:]]
+            if not c:
+                plain[len(w)] = parts[0]
+        n = sum(map(len, parts))
+        at, size = at + n, size + n
+        held += parts
+        if size >= _FLUSH:
+            write(b"".join(held))
+            held, size = [], 0
+    write(b"".join(held))
+    return offsets, len(head) + at
+
+
+#: Bytes put together before they are written.
+_FLUSH = 1 << 20
+
+
+class Spool:
+    """Words in a hidden file beside their target until their codes are known; memory holds how many there are of each length."""
+
+    def __init__(self, target: str):
+        folder, mark, name = target.rpartition("/")
+        self.path = f"{folder}{mark}{name if name.startswith('.') else '.' + name}.{uuid.uuid4().hex}.words"
+        self.count, self.lengths = 0, Counter()
+        fs, inner = files.of(self.path)
+        self.out = fs.open_output_stream(inner)
+        self.held = bytearray()
+
+    def add(self, word: bytes) -> None:
+        self.count += 1
+        self.lengths[len(word)] += 1
+        self.held += struct.pack("<I", len(word)) + word
+        if len(self.held) >= _FLUSH:
+            self.out.write(bytes(self.held))
+            self.held.clear()
+
+    def words(self) -> Iterator[bytes]:
+        if not self.out.closed:
+            self.out.write(bytes(self.held))
+            self.held.clear()
+            self.out.close()
+        fs, inner = files.of(self.path)
+        with fs.open_input_stream(inner, buffer_size=_FLUSH) as f:
+            for _ in range(self.count):
+                (n,) = struct.unpack("<I", f.read(4))
+                yield f.read(n) if n else b""
+
+    def write_to(self, path: str, compress: bool) -> tuple[array, int]:
+        """The .kv file of the words, under its name only once it is whole."""
+        fs, inner = files.of(path)
+        temporary = f"{self.path}.kv"
+        try:
+            with fs.open_output_stream(files.of(temporary)[1]) as f:
+                told = write_words(self.words, f.write, compress, self.lengths)
+            files.move(temporary, path)
+            return told
+        finally:
+            if files.exists(temporary):
+                files.remove(temporary)
+
+    def remove(self) -> None:
+        if not self.out.closed:
+            self.out.close()
+        if files.exists(self.path):
+            files.remove(self.path)
+
+
+class KeyNotes:
+    """What an index and a filter need of the keys: each M-th one, and a hash of each."""
+
+    def __init__(self, fanout: int = 256, salt: int | None = None):
+        self.fanout, self.salt, self.count = max(1, fanout), salt, 0
+        self.nodes: list[bytes] = []
+        self.hashes: list[np.ndarray] = []
+        self.held: list[bytes] = []
+
+    def add(self, key: bytes) -> None:
+        if self.count % self.fanout == 0:
+            self.nodes.append(key)
+        self.count += 1
+        if self.salt is not None:
+            self.held.append(key)
+            if len(self.held) >= 1 << 16:
+                self._hash()
+
+    def _hash(self) -> None:
+        self.hashes.append(murmur3_array(pa.array(self.held, pa.binary()), self.salt))
+        self.held = []
+
+    def filter_file(self) -> bytes:
+        self._hash()
+        return _filter_of(np.concatenate(self.hashes))
 
 
 def encode_filter(keys: Sequence[bytes], salt: int) -> bytes:
     """A .kvei file; below two keys it is empty and matches everything."""
-    n = len(keys)
+    return _filter_of(murmur3_array(pa.array(keys, pa.binary()), salt))
+
+
+def _filter_of(hashes: np.ndarray) -> bytes:
+    n = len(hashes)
     if n < 2:
         return b""
     m, mixed = max(2, optimal_bits(n)), filter_keys(n)
-    bits = np.zeros(-(-m // 64) * 64, np.uint8)
-    bits[bit_positions(murmur3_array(pa.array(keys, pa.binary()), salt), mixed, m).ravel()] = 1
-    return _BLOOM_MAGIC + struct.pack("<6Q", HASHES, n, m, *mixed) + np.packbits(bits, bitorder="little").tobytes() + bytes(_BLOOM_TAIL)
+    bits = np.zeros(-(-m // 64) * 8, np.uint8)
+    for begin in range(0, n, 1 << 20):
+        at = bit_positions(hashes[begin : begin + (1 << 20)], mixed, m).ravel()
+        np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    return _BLOOM_MAGIC + struct.pack("<6Q", HASHES, n, m, *mixed) + bits.tobytes() + bytes(_BLOOM_TAIL)
 
 
 @dataclass
@@ -345,6 +455,11 @@ class FilterFile:
 
 def encode_index(offsets: Sequence[int], keys: Sequence[bytes], most: int, layout: str = "legacy", fanout: int = DEFAULT_FANOUT, magic: bytes = bytes(8)) -> bytes:
     """A .bt file.  The footer layout ends in eight bytes of ``magic``, which the reader of the file sets."""
+    return index_of(offsets, keys[:: max(1, fanout)], most, layout, fanout, magic)
+
+
+def index_of(offsets: Sequence[int], nodes: Sequence[bytes], most: int, layout: str = "legacy", fanout: int = DEFAULT_FANOUT, magic: bytes = bytes(8)) -> bytes:
+    """The same from every ``fanout``-th key."""
     if not len(offsets):
         return b""
     sequence = ef_encode(offsets, most)
@@ -354,7 +469,7 @@ def encode_index(offsets: Sequence[int], keys: Sequence[bytes], most: int, layou
         raise ValueError("layout is legacy or footer, magic eight bytes")
     fanout = max(1, fanout)
     out = bytearray([_FOOTER_FIRST])
-    for key in keys[::fanout]:
+    for key in nodes:
         if len(key) > 0xFFFF:
             raise FormatError("an indexed key is longer than 65535 bytes")
         out += struct.pack(">H", len(key)) + key
@@ -402,24 +517,53 @@ class IndexFile:
         return self.offsets.get(i) if self.offsets is not None and 0 <= i < len(self.offsets) else None
 
 
+class TripleWriter:
+    """Pairs one by one into ``base``.kv, .bt and, with a salt, .kvei; keys must strictly rise.
+
+    Words wait in a spool beside the target; of each key memory holds its offset and hash.
+    """
+
+    def __init__(self, base: str, compress: bool = False, salt: int | None = None, layout: str = "footer", fanout: int = DEFAULT_FANOUT, magic: bytes = bytes(8)):
+        self.base, self.compress, self.layout, self.magic = base, compress, layout, magic
+        self.notes, self.spool, self.last = KeyNotes(fanout, salt), Spool(base), None
+
+    @property
+    def key_count(self) -> int:
+        return self.notes.count
+
+    def add(self, key: bytes, value: bytes | None) -> None:
+        key = bytes(key)
+        if self.last is not None and key <= self.last:
+            raise FormatError(f"keys must be strictly increasing: {key!r} after {self.last!r}")
+        self.last = key
+        self.notes.add(key)
+        self.spool.add(key)
+        self.spool.add(bytes(value or b""))
+
+    def finish(self) -> dict[str, str | None]:
+        """The paths of the triple's files."""
+        try:
+            offsets, size = self.spool.write_to(f"{self.base}.kv", self.compress)
+            files.write(f"{self.base}.bt", index_of(offsets[::2], self.notes.nodes, size, self.layout, self.notes.fanout, self.magic))
+            if self.notes.salt is not None:
+                files.write(f"{self.base}.kvei", self.notes.filter_file())
+        finally:
+            self.abandon()
+        return {e: f"{self.base}.{e}" if e != "kvei" or self.notes.salt is not None else None for e in _ENDINGS}
+
+    def abandon(self) -> None:
+        self.spool.remove()
+
+
 def write_triple(base: str, pairs: Iterable[tuple[bytes, bytes]], compress: bool = False, salt: int | None = None, layout: str = "footer", fanout: int = DEFAULT_FANOUT, magic: bytes = bytes(8)) -> dict[str, str | None]:
-    """Writes ``base``.kv, .bt and, with a salt, .kvei; keys must strictly rise."""
-    keys: list[bytes] = []
-    words: list[bytes] = []
-    for key, value in pairs:
-        key, value = bytes(key), bytes(value or b"")
-        if keys and key <= keys[-1]:
-            raise FormatError("keys must be strictly increasing")
-        keys.append(key)
-        words += (key, value)
-    data, offsets = encode_with_offsets(words, compress)
-    contents: dict[str, bytes | None] = {"kv": data, "bt": encode_index(offsets[::2], keys, len(data), layout, fanout, magic), "kvei": encode_filter(keys, salt) if salt is not None else None}
-    out: dict[str, str | None] = {}
-    for ending, content in contents.items():
-        out[ending] = None if content is None else f"{base}.{ending}"
-        if content is not None:
-            files.write(f"{base}.{ending}", content)
-    return out
+    """Writes a triple of ``pairs``, which are gone through once; their paths."""
+    writer = TripleWriter(base, compress, salt, layout, fanout, magic)
+    try:
+        for key, value in pairs:
+            writer.add(key, value)
+        return writer.finish()
+    finally:
+        writer.abandon()
 
 
 @dataclass
@@ -514,9 +658,6 @@ class _Written(WriterCommitMessage):
     part: int = 0
 
 
-_ENDINGS = ("kv", "bt", "kvei")
-
-
 class _Writer(DataSourceWriter):
     """Tasks write hidden files with names of their own; ``commit`` gives them final names none else has.
 
@@ -540,14 +681,13 @@ class _Writer(DataSourceWriter):
     def write(self, iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        pairs = [(r["key"], r["value"]) for r in iterator]
-        if not pairs:
+        first = next(iterator := iter(iterator), None)
+        if first is None:
             return _Written(None)
         files.make_folder(self.folder)
-        part = TaskContext.get().partitionId()
         base = f"{self.folder}/.{self.job}-{uuid.uuid4().hex}"
-        write_triple(base, pairs, self.compress, self.salt, self.layout, self.fanout)
-        return _Written(base, part)
+        write_triple(base, ((r["key"], r["value"]) for r in chain([first], iterator)), self.compress, self.salt, self.layout, self.fanout)
+        return _Written(base, TaskContext.get().partitionId())
 
     def _mine(self, file: str) -> bool:
         """Whether an old file is to go: with a name, only that name's."""

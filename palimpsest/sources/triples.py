@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -94,40 +94,54 @@ class TripleReader:
 
 
 class WordWriter:
-    """Words one by one into a .kv file; nothing is left under its name before ``finish``."""
+    """Words one by one into a .kv file; nothing is under its name before ``finish``, and nothing left when given up.
+
+    Words wait in a spool beside the target, so memory does not grow with them.
+    """
 
     def __init__(self, path: str, compress: bool = False):
         self.path, self.compress = path, compress
-        self.words: list[bytes] = []
+        self.spool = kvseg.Spool(path)
 
     @property
     def words_count(self) -> int:
-        return len(self.words)
+        return self.spool.count
 
     def add(self, word: bytes) -> None:
-        self.words.append(bytes(word))
+        self.spool.add(bytes(word))
 
     def finish(self) -> None:
-        temporary = f"{self.path}.{uuid.uuid4().hex}.tmp"
         try:
-            files.write(temporary, kvseg.encode_words(self.words, self.compress))
-            files.move(temporary, self.path)
+            self.spool.write_to(self.path, self.compress)
         finally:
-            if files.exists(temporary):
-                files.remove(temporary)
+            self.abandon()
+
+    def abandon(self) -> None:
+        self.spool.remove()
+
+    def __enter__(self) -> WordWriter:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.abandon()
 
 
 def build_index(kv: str, out: str, layout: str = "footer", fanout: int = kvseg.DEFAULT_FANOUT, magic: bytes = bytes(8)) -> int:
     """Writes the index of a .kv file; its number of keys."""
-    file = kvseg.WordFile.open(kv, block=1 << 22)
-    words = list(file.keys())
-    files.write(out, kvseg.encode_index([o for o, _ in words], [k for _, k in words], file.size, layout, fanout, magic))
-    return len(words)
+    file, notes, offsets = kvseg.WordFile.open(kv, block=1 << 22), kvseg.KeyNotes(fanout), array("q")
+    for offset, key in file.keys():
+        notes.add(key)
+        offsets.append(offset)
+    files.write(out, kvseg.index_of(offsets, notes.nodes, file.size, layout, notes.fanout, magic))
+    return notes.count
 
 
 def build_filter(kv: str, salt: int, out: str) -> None:
     """Writes the existence filter of a .kv file."""
-    files.write(out, kvseg.encode_filter([k for _, k in kvseg.WordFile.open(kv, block=1 << 22).keys()], salt))
+    notes = kvseg.KeyNotes(salt=salt)
+    for _, key in kvseg.WordFile.open(kv, block=1 << 22).keys():
+        notes.add(key)
+    files.write(out, notes.filter_file())
 
 
 _ABOUT = (

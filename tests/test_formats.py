@@ -323,3 +323,24 @@ def test_filters_without_proof_are_not_used(spark, tmp_path):
     (tmp_path / "d.kv").write_bytes(kvseg.encode_words([]))
     (tmp_path / "d.bt").unlink()
     assert not triples.TripleReader(str(tmp_path / "d.kv")).enable_bloom(5)
+
+
+def test_writers_leave_nothing_behind(tmp_path):
+    from palimpsest.sources import triples
+
+    with triples.WordWriter(str(tmp_path / "a.kv")) as w:
+        w.add(b"x" * 3_000_000)
+        w.add(b"y")
+    assert list(tmp_path.iterdir()) == []
+    with pytest.raises(coding.FormatError):
+        kvseg.write_triple(str(tmp_path / "b"), [(b"b", b"1"), (b"a", b"2")])
+    assert list(tmp_path.iterdir()) == []
+    w = triples.WordWriter(str(tmp_path / "c.kv"), compress=True)
+    words = WORDS[4] + [b"z" * 2_500_000, b""]
+    for x in words:
+        w.add(x)
+    w.finish()
+    assert [p.name for p in tmp_path.iterdir()] == ["c.kv"]
+    assert (tmp_path / "c.kv").read_bytes() == kvseg.encode_words(words, True)
+    kvseg.write_triple(str(tmp_path / "none"), [], salt=1)
+    assert kvseg.IndexFile.parse((tmp_path / "none.bt").read_bytes()).key_count == 0 and list(kvseg.WordFile((tmp_path / "none.kv").read_bytes()).words()) == []
