@@ -16,6 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,9 +48,9 @@ def is_deletion(op: Column, value: Column) -> Column:
     return F.coalesce(spelled, F.lit(False)) | value.isNull() | (F.octet_length(value) == 0)
 
 
-def with_positions(feed: DataFrame) -> DataFrame:
-    """Adds the file (a 64-bit hash of its path) and the position in it to a scan of Parquet files."""
-    return feed.select("*", F.xxhash64(F.col("_metadata.file_path")).alias(FILE), F.col("_metadata.row_index").alias(POS))
+def with_positions(feed: DataFrame, by: str = "file_path") -> DataFrame:
+    """Adds the file (a 64-bit hash of its path, or name) and the position in it to a scan of Parquet files."""
+    return feed.select("*", F.xxhash64(F.col(f"_metadata.{by}")).alias(FILE), F.col("_metadata.row_index").alias(POS))
 
 
 def key_index(images: DataFrame, keys: Sequence[str], rank: Sequence[str]) -> DataFrame:
@@ -177,12 +178,16 @@ def read_live(images: DataFrame, root: str, commits: dict[int, str]) -> DataFram
 
 
 def current_state(feed: DataFrame, keys: Sequence[str], rank: Sequence[str]) -> DataFrame:
-    """The deciding image of each key, all columns, of a feed that is a scan of Parquet files.
+    """The deciding image of each key, all columns, of a feed.
 
     Order of arrival, repeats and ties do not matter.  Null keys are keys of their
-    own; a null rank is the lowest; an empty feed gives no rows.
+    own; a null rank is the lowest; an empty feed gives no rows.  A feed that is no scan
+    of Parquet files is written down as such first.
     """
-    images = with_positions(feed)
+    try:
+        images = with_positions(feed)
+    except AnalysisException:
+        images = with_positions(materialize(feed, "feed"))
     index = key_index(images.select(*keys, *rank, FILE, POS), keys, rank)
     root, commits = new_path(feed.sparkSession, "delete-vectors"), {0: "once"}
     write_vectors(root, commits, 0, commits[0], file_lengths(images), index)
@@ -226,8 +231,9 @@ class VersionedTable:
 
     The index is a list of runs; a batch adds a run with the keys it has, and of the
     held runs only those keys' rows are taken.  Every INDEX_RUNS runs they are made one.
-    Bitmaps are written anew only of files in which a bit changes.  A batch older than
-    what the table holds is appended with its bits set; null keys are keys of their own.
+    Bitmaps are written anew only of files in which a bit changes, and go by the names of
+    files, which Spark makes unique, so a table may be moved.  A batch older than what
+    the table holds is appended with its bits set; null keys are keys of their own.
     """
 
     INDEX_RUNS = 16
@@ -268,7 +274,7 @@ class VersionedTable:
         number, attempt = self.version + 1, uuid.uuid4().hex[:12]
         data = f"{self.path}/data/{number:08d}-{attempt}"
         batch.write.parquet(data)
-        images = with_positions(self.spark.read.schema(batch.schema).parquet(data))
+        images = with_positions(self.spark.read.schema(batch.schema).parquet(data), "file_name")
         both = fresh = key_index(images.select(*self.keys, *self.rank, FILE, POS), self.keys, self.rank)
         old = lost = None
         if self.index:
@@ -309,4 +315,4 @@ class VersionedTable:
     def read(self) -> DataFrame:
         if not self.data:
             raise VersionError(f"the table at {self.path} has no version yet")
-        return read_live(with_positions(self.spark.read.parquet(*self.data)), self._vectors, self.commits)
+        return read_live(with_positions(self.spark.read.parquet(*self.data), "file_name"), self._vectors, self.commits)

@@ -177,6 +177,21 @@ def test_versioned_table_outlives_its_writer(spark, tmp_path, monkeypatch):
         changes.VersionedTable(spark, path, ["key"], rank)
 
 
+def test_versioned_table_is_moved(spark, tmp_path):
+    data = feed_rows(200, 8)
+    held = changes.VersionedTable(spark, f"file://{tmp_path}/t", ["domain_name", "key"], ["step", "txn", "change_id"])
+    for part in (data[:120], data[120:]):
+        held.apply(spark.createDataFrame(part, FEED).repartition(2))
+    (tmp_path / "t").rename(tmp_path / "moved")
+    assert state_of(changes.VersionedTable.open(spark, f"file://{tmp_path}/moved").read()) == brute_state(data, {})
+
+
+def test_feed_that_is_no_scan(spark):
+    data = feed_rows(200, 9)
+    feed = spark.createDataFrame(data, FEED).withColumn("step", __import__("pyspark").sql.functions.col("step") + 0)
+    assert state_of(changes.current_state(feed, ["domain_name", "key"], ["step", "txn", "change_id"])) == brute_state(data, {})
+
+
 def test_stream_into_versioned_table(spark, tmp_path):
     data = feed_rows(300, 3)
     spark.createDataFrame(data, FEED).repartition(3).write.parquet(str(tmp_path / "in"))
