@@ -8,7 +8,7 @@ import pytest
 
 from palimpsest.functions import coding, hashing
 from palimpsest.operators.ngrams import Cover
-from palimpsest.sources import kvseg
+from palimpsest.sources import files, kvseg, triples
 
 
 @pytest.mark.parametrize(
@@ -344,3 +344,35 @@ def test_writers_leave_nothing_behind(tmp_path):
     assert (tmp_path / "c.kv").read_bytes() == kvseg.encode_words(words, True)
     kvseg.write_triple(str(tmp_path / "none"), [], salt=1)
     assert kvseg.IndexFile.parse((tmp_path / "none.bt").read_bytes()).key_count == 0 and list(kvseg.WordFile((tmp_path / "none.kv").read_bytes()).words()) == []
+
+
+@pytest.mark.parametrize("compress", [False, True])
+@pytest.mark.parametrize("size", [1, 100, 1 << 20])
+def test_pairs_are_read_in_blocks(tmp_path, compress, size):
+    pairs = [(b"k%05d" % i, [b"", b"http://www.example.com/%d" % i, bytes([i % 256]) * (i % 300)][i % 3]) for i in range(2000)]
+    kvseg.write_triple(str(tmp_path / "d"), pairs, compress=compress)
+    file = kvseg.WordFile.open(str(tmp_path / "d.kv"))
+    assert [p for k, v in file.pair_blocks(size=size) for p in zip(k.to_pylist(), v.to_pylist())] == pairs
+    at = [o for o, _ in file.keys()]
+    assert [p for k, v in file.pair_blocks(at[7], at[900], size) for p in zip(k.to_pylist(), v.to_pylist())] == pairs[7:900]
+
+
+def test_ordered_lookups_without_an_index_share_one_scan(tmp_path, monkeypatch):
+    kvseg.write_triple(str(tmp_path / "d"), [(b"k%06d" % i, b"v%d" % i) for i in range(20000)], salt=5)
+    (tmp_path / "d.bt").unlink()
+    r = triples.TripleReader(str(tmp_path / "d.kv"))
+    assert r.enable_bloom(5)
+    read = []
+    monkeypatch.setattr(files, "read_range", lambda path, at, size, f=files.read_range: read.append(size * path.endswith(".kv")) or f(path, at, size))
+    probes = [b"k%06d" % i for i in range(0, 30000, 3)] + [b"x"]
+    found = [v for i in range(0, len(probes), 500) for v in r.get_many(pa.array(probes[i : i + 500], pa.binary())).to_pylist()]
+    assert found == [b"v%d" % i if i < 20000 else None for i in range(0, 30000, 3)] + [None]
+    assert sum(read) <= 2 * (tmp_path / "d.kv").stat().st_size
+    assert r.get_many(pa.array([b"k000009", None, b"k000003", b"k000003"], pa.binary())).to_pylist() == [b"v9", None, b"v3", b"v3"]
+
+
+def test_scanned_lookups_of_unordered_keys_are_as_one_by_one(tmp_path):
+    files.write(str(tmp_path / "d.kv"), kvseg.encode_words([b"b", b"1", b"b", b"2", b"a", b"3", b"d", b"4", b"c", b"5", b"e"]))
+    r = triples.TripleReader(str(tmp_path / "d.kv"))
+    keys = [b"a", b"b", b"c", b"d", b"e", b"f"]
+    assert r.get_many(pa.array(keys, pa.binary())).to_pylist() == [r.get(k) for k in keys] == [None, b"1", None, b"4", b"", None]
