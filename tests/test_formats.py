@@ -376,3 +376,52 @@ def test_scanned_lookups_of_unordered_keys_are_as_one_by_one(tmp_path):
     r = triples.TripleReader(str(tmp_path / "d.kv"))
     keys = [b"a", b"b", b"c", b"d", b"e", b"f"]
     assert r.get_many(pa.array(keys, pa.binary())).to_pylist() == [r.get(k) for k in keys] == [None, b"1", None, b"4", b"", None]
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_indexed_lookups_of_many_keys_are_as_one_by_one(tmp_path, monkeypatch, compress):
+    random.seed(3)
+    pairs = [(b"k%06d" % i, [b"", b"http://www.example.com/%d" % i, bytes([i % 256]) * (i % 30)][i % 3]) for i in range(0, 40000, 2)]
+    kvseg.write_triple(str(tmp_path / "d"), pairs, compress=compress, salt=5)
+    r = triples.TripleReader(str(tmp_path / "d.kv"))
+    near, far = [b"k%06d" % i for i in range(9000, 11000)], [b"", b"k", *(b"k%06d" % i for i in random.sample(range(50000), 30)), b"x"]
+    for salt in (None, 5):
+        r.salt = salt
+        for probes in (near, far, near + far, near[4:5], []):
+            assert r.get_many(pa.array(probes, pa.binary())).to_pylist() == [dict(pairs).get(p) for p in probes]
+    assert r.get_many(pa.array([b"k000004", None, b"k000001", b"k000004"], pa.binary())).to_pylist() == [r.get(b"k000004"), None, None, r.get(b"k000004")]
+    # Keys that lie close together share their searches, and a filter's blocks are read once.
+    r = triples.TripleReader(str(tmp_path / "d.kv"))
+    assert r.enable_bloom(5)
+    words, read = [], []
+    monkeypatch.setattr(kvseg.WordFile, "word", lambda self, offset, f=kvseg.WordFile.word: words.append(1) or f(self, offset))
+    monkeypatch.setattr(files, "read_range", lambda path, at, size, f=files.read_range: read.append(path) or f(path, at, size))
+    assert sum(v is not None for v in r.get_many(pa.array(near, pa.binary())).to_pylist()) == 1000
+    assert len(words) < (100 if not compress else 4000) and sum(p.endswith(".kvei") for p in read) <= 1
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_pairs_written_many_at_once_are_as_one_by_one(tmp_path, compress):
+    pairs = [(b"%07d" % i * (1 + i % 2), [b"", b"http://www.example.com/%d" % i, bytes([i % 256]) * (i % 300)][i % 3]) for i in range(3000)]
+    kvseg.write_triple(str(tmp_path / "one"), pairs, compress=compress, salt=5)
+    writer = kvseg.TripleWriter(str(tmp_path / "many"), compress, 5)
+    for i in range(0, 3000, 700):
+        writer.add_all(pa.array([k for k, _ in pairs[i : i + 700]]), pa.array([v or None for _, v in pairs[i : i + 700]], pa.binary()))
+    assert writer.key_count == 3000
+    writer.finish()
+    for ending in ("kv", "bt", "kvei"):
+        assert (tmp_path / f"one.{ending}").read_bytes() == (tmp_path / f"many.{ending}").read_bytes()
+    left = len(list(tmp_path.iterdir()))
+    for keys in ([b"b", b"a"], [b"a", b"a"], [b"a", None]):
+        writer = kvseg.TripleWriter(str(tmp_path / "bad"))
+        with pytest.raises(coding.FormatError):
+            writer.add_all(pa.array(keys, pa.binary()), pa.array([b"1", b"2"]))
+        writer.abandon()
+    with pytest.raises(coding.FormatError):
+        writer = kvseg.TripleWriter(str(tmp_path / "bad"))
+        try:
+            writer.add_all(pa.array([b"b"]), pa.array([b"1"]))
+            writer.add_all(pa.array([b"a"]), pa.array([b"1"]))
+        finally:
+            writer.abandon()
+    assert len(list(tmp_path.iterdir())) == left
